@@ -84,7 +84,7 @@ def slug(c: Column, limit: int = 60) -> Column:
 
 # Rows of these types never give a headline; lines with these starts are skipped.
 NOISE_TYPES = ("tool_result",)
-JUNK_LINE_STARTS = ("confidence:", "evidence:", "recalls:", "status:", "source ", "source:")
+JUNK_LINE_STARTS = ("[tool_result:", "confidence:", "evidence:", "recalls:", "status:", "source ", "source:")
 BARE_LINES = ("", "{", "}", "[", "]", "```")
 
 

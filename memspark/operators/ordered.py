@@ -7,8 +7,10 @@ row per (group, partition).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,3 +88,76 @@ def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def chunked_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    fold: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str]],
+    schema: str,
+) -> DataFrame:
+    """A sequential fold per key whose carried state is small, run over range chunks in parallel.
+
+    ``fold(rows in order, state) -> (output rows, state)``; the state is a string, None at the start of a key. Chunks
+    start from the state their predecessor ended with in the last pass; only chunks whose start changed run again.
+    When nothing changes the result equals the sequential fold. Folds that soon forget their start settle in two
+    or three passes; at worst one pass per chunk is needed.
+    """
+    rows = range_chunks(df, keys, order)
+    on = [*keys, CHUNK]
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in on)
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, state = fold(pdf.sort_values(POS), pdf["_start"].iloc[0])
+        return pdf[on].head(1).assign(_end=state)
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fold(pdf.sort_values(POS), pdf["_start"].iloc[0])[0]
+
+    chunks = materialize(rows.select(*on).distinct().withColumn("_start", F.lit(None).cast("string")))
+    state = None
+    todo = chunks
+    while True:
+        ran = rows.join(todo.select(*on, "_start"), on).groupBy(*on).applyInPandas(ends, f"{key_schema}, _end string")
+        if state is not None:
+            ran = ran.unionByName(state.join(todo.select(*on), on, "left_anti").select(*on, "_end"))
+        state = materialize(ran)
+        w = Window.partitionBy(*keys).orderBy(CHUNK)
+        starts = materialize(state.withColumn("_new", F.lag("_end").over(w)).join(chunks, on))
+        todo = materialize(
+            starts.filter(~F.col("_new").eqNullSafe(F.col("_start"))).select(*on, F.col("_new").alias("_start"))
+        )
+        chunks = starts.select(*on, F.col("_new").alias("_start"))
+        if todo.isEmpty():
+            break
+    return rows.join(chunks, on).groupBy(*on).applyInPandas(emit, schema)
+
+
+def leading_edge(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, interval: int) -> DataFrame:
+    """Throttle: an event passes when at least ``interval`` has gone by since the last one that passed.
+
+    ``ts`` is an integer time. Adds accepted and previous (time of the last accepted event before this one).
+    """
+
+    def fold(pdf: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
+        times = pdf[ts].to_numpy(dtype=np.int64)
+        accepted = np.zeros(len(times), dtype=bool)
+        last = int(state) if state is not None else None
+        i = 0 if last is None else int(np.searchsorted(times, last + interval))
+        while i < len(times):
+            accepted[i] = True
+            last = int(times[i])
+            i = int(np.searchsorted(times, last + interval))
+        carried = pd.Series(np.where(accepted, times, np.nan), dtype="float64").ffill().shift()
+        start = int(state) if state is not None else None
+        previous = [start if v != v else int(v) for v in carried]
+        out = pd.DataFrame({id_col: pdf[id_col].to_numpy(), "accepted": accepted})
+        out["previous"] = pd.array(previous, dtype="Int64")
+        return out, str(last) if last is not None else ""
+
+    kinds = dict(df.dtypes)
+    marks = chunked_fold(
+        df.select(*keys, id_col, ts), keys, [ts, id_col], fold, f"{id_col} {kinds[id_col]}, accepted boolean, previous bigint"
+    )
+    return df.join(marks, id_col)
