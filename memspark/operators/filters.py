@@ -104,7 +104,7 @@ def expand_scopes(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     joined = queries.join(aliases, "user_id", "left")
     own = F.array(F.col("user_id"))
     scopes = F.array_distinct(F.concat(own, F.coalesce("aliases", F.array().cast("array<string>"))))
-    return joined.drop("aliases").select("*", F.posexplode(scopes).alias("scope_rank", "scope"))
+    return joined.select("*", F.posexplode(scopes).alias("scope_rank", "scope")).drop("aliases")
 
 
 def merge_scopes(hits: DataFrame) -> DataFrame:

@@ -77,6 +77,17 @@ VIEWS: dict[str, str] = {
           CASE WHEN toxic = 1 THEN 'error' ELSE 'stored' END AS last_status
         FROM (SELECT d.*, l.quality, l.toxic, CASE WHEN l.quality = 0 THEN content || ' (old)' ELSE content END AS c
               FROM doc_collection d JOIN labels l ON l.doc_id = d.doc_id)""",
+    "entities": """
+        SELECT 'r' || r_regionkey AS id, r_name AS name, 'region' AS type, 0.9e0 AS importance FROM region
+        UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 0.8e0 FROM nation
+        UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier', round(s_acctbal / 20000, 4) FROM supplier
+        UNION ALL SELECT 'c' || c_custkey, c_name, 'customer', round(c_acctbal / 20000, 4) FROM customer""",
+    "relations": """
+        SELECT *, source_id || '>' || target_id AS relation_id, 1e0 AS weight FROM (
+          SELECT 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id, 'part_of' AS relation_type FROM nation
+          UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in' FROM supplier
+          UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'located_in' FROM customer
+          UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'ordered_by' FROM orders)""",
     "bm25_hits": """
         SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 9) AS score
         FROM (

@@ -139,6 +139,35 @@ class Tables:
         return d.select(F.col("doc_id").cast("string").alias("id"), F.split("text", "\n", 2)[0].alias("heading"),
                         F.col("text").alias("content"))
 
+    # -- knowledge graph ---------------------------------------------------------------------------------
+
+    def entities(self) -> DataFrame:
+        """Regions, nations, suppliers and customers as entities."""
+        n = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+        parts = (
+            ("region", "r", "r_regionkey", "r_name", F.lit(0.9)),
+            ("nation", "n", "n_nationkey", "n_name", F.lit(0.8)),
+            ("supplier", "s", "s_suppkey", "s_name", F.round(F.col("s_acctbal") / 20000, 4)),
+            ("customer", "c", "c_custkey", "c_name", F.round(F.col("c_acctbal") / 20000, 4)),
+        )
+        out = None
+        for table, prefix, key, name, weight in parts:
+            e = self.raw(table).select(
+                n(prefix, key).alias("id"), F.col(name).alias("name"), F.lit(table).alias("type"), weight.alias("importance")
+            )
+            out = e if out is None else out.unionByName(e)
+        return out
+
+    def relations(self) -> DataFrame:
+        """part_of, located_in, and orders as ordered_by edges whose order end is not an entity."""
+        c = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+        nation = self.raw("nation").select(c("n", "n_nationkey").alias("source_id"), c("r", "n_regionkey").alias("target_id"), F.lit("part_of").alias("relation_type"))
+        supplier = self.raw("supplier").select(c("s", "s_suppkey").alias("source_id"), c("n", "s_nationkey").alias("target_id"), F.lit("located_in").alias("relation_type"))
+        customer = self.raw("customer").select(c("c", "c_custkey").alias("source_id"), c("n", "c_nationkey").alias("target_id"), F.lit("located_in").alias("relation_type"))
+        order = self.raw("orders").select(c("o", "o_orderkey").alias("source_id"), c("c", "o_custkey").alias("target_id"), F.lit("ordered_by").alias("relation_type"))
+        every = nation.unionByName(supplier).unionByName(customer).unionByName(order)
+        return every.withColumn("relation_id", F.concat_ws(">", "source_id", "target_id")).withColumn("weight", F.lit(1.0))
+
     # -- feeds ------------------------------------------------------------------------------------------
 
     def chat(self) -> DataFrame:
