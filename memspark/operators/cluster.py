@@ -16,9 +16,9 @@ from memspark.session import materialize, small_enough
 BROADCAST_ROWS = 200_000
 
 
-def _by_tag(rows: DataFrame, per_tag: DataFrame) -> DataFrame:
+def _by_tag(rows: DataFrame, per_tag: DataFrame, small: bool) -> DataFrame:
     """Join tag rows with one row per tag; a tag may be on a large share of the rows."""
-    if small_enough(per_tag, BROADCAST_ROWS):
+    if small:
         return rows.join(F.broadcast(per_tag), "tag")
     return join_hot(rows, per_tag, ["tag"], F.col("ord"))
 
@@ -31,21 +31,23 @@ def star_clusters(rows: DataFrame, id_col: str = "id", tags_col: str = "tags", o
     """
     base = materialize(rows.select(F.col(id_col).alias("id"), F.col(order_col).cast("bigint").alias("ord"),
                                    F.array_distinct(F.coalesce(tags_col, F.array().cast("array<string>"))).alias("tags")))
-    untagged = base.filter(F.size("tags") == 0).select("id", "ord", F.col("ord").alias("seed"))
-    todo = materialize(base.filter(F.size("tags") > 0).select("id", "ord", F.explode("tags").alias("tag")))
-    done = untagged
+    tagged = materialize(base.filter(F.size("tags") > 0).select("id", "ord", F.explode("tags").alias("tag")))
+    todo, seeds = tagged, None
+    few_tags = small_enough(tagged.select("tag").distinct(), BROADCAST_ROWS)
     while not todo.isEmpty():
         first = todo.groupBy("tag").agg(F.min("ord").alias("first"))
         # A row that comes first under each of its tags has no earlier undecided neighbour.
-        heads = _by_tag(todo, first).groupBy("ord").agg(F.max(F.col("first") < F.col("ord")).alias("blocked"))
-        heads = materialize(heads.filter(~F.col("blocked")).select(F.col("ord").alias("seed")))
-        seed_tags = todo.join(heads, todo["ord"] == heads["seed"]).select("tag", "seed")
-        # A tag can have one new seed only: seeds are pairwise without shared tags.
-        taken = _by_tag(todo, seed_tags).groupBy("id", "ord").agg(F.min("seed").alias("seed"))
-        taken = materialize(taken)
-        done = done.unionByName(taken)
-        todo = materialize(todo.join(taken.select("ord"), "ord", "left_anti"))
-    return done
+        heads = _by_tag(todo, first, few_tags).groupBy("ord").agg(F.max(F.col("first") < F.col("ord")).alias("blocked"))
+        heads = heads.filter(~F.col("blocked")).select(F.col("ord").alias("seed"))
+        # Seeds never share a tag, so this has one row per tag.
+        seed_tags = materialize(todo.join(heads, todo["ord"] == heads["seed"]).select("tag", "seed"))
+        seeds = seed_tags if seeds is None else seeds.unionByName(seed_tags)
+        near = _by_tag(todo, seed_tags, few_tags).select("ord").distinct()
+        todo = materialize(todo.join(near, "ord", "left_anti"))
+    done = base.filter(F.size("tags") == 0).select("id", "ord", F.col("ord").alias("seed"))
+    if seeds is None:
+        return done
+    return done.unionByName(_by_tag(tagged, seeds, few_tags).groupBy("id", "ord").agg(F.min("seed").alias("seed")))
 
 
 def dedupe_vectors(rows: DataFrame, order_col: str = "ord", threshold: float = 0.9, sweep: int = 2048) -> DataFrame:

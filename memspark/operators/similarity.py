@@ -78,11 +78,12 @@ def _search_block(best: _Best, qs: pd.DataFrame, qm: np.ndarray, rows: dict[str,
 
 def _emit(best: _Best, query_ids: list) -> pd.DataFrame:
     counts = [len(d) for d, _ in best.kept]
+    ids = np.concatenate([i for _, i in best.kept]) if best.kept else np.zeros(0, dtype=object)
     return pd.DataFrame(
         {
-            "query_id": np.repeat(np.asarray(query_ids, dtype=object), counts),
-            "id": np.concatenate([i for _, i in best.kept]) if best.kept else [],
-            "distance": np.concatenate([d for d, _ in best.kept]) if best.kept else [],
+            "query_id": pd.Series(np.repeat(np.asarray(query_ids, dtype=object), counts), dtype=object),
+            "id": pd.Series(ids, dtype=object),
+            "distance": np.concatenate([d for d, _ in best.kept]) if best.kept else np.zeros(0),
         }
     )
 
@@ -161,7 +162,7 @@ def _topk_blocks(c: DataFrame, q: DataFrame, k: int, schema: str) -> DataFrame:
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return _emit(_Best(k, 0), [])
         qm = _unit(np.stack(left["embedding"].to_numpy()).astype(np.float64))
         cm = _unit(np.stack(right["embedding"].to_numpy()).astype(np.float64))
         meta = left[["query_id", *_FILTERS, "exclude_noise"]].astype({n: object for n in _FILTERS})
@@ -190,7 +191,8 @@ def _block_pairs(rows: DataFrame, cols: list[str], block_rows: int, scope: list[
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     left = rows.select(*keys, *cols, F.col("_block").alias("_a"), others.alias("_b"))
-    right = rows.select(*keys, *cols, F.col("_block").alias("_b"), others.alias("_a"))
+    # New names for the columns, or the two sides cannot be told apart.
+    right = rows.select(*[F.col(c).alias(c) for c in (*keys, *cols)], F.col("_block").alias("_b"), others.alias("_a"))
     return left, right, [*keys, "_a", "_b"]
 
 
@@ -213,9 +215,8 @@ def knn_within(
     left, right, keys = _block_pairs(r, ["id", "embedding", "_t"], block_rows, scope)
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
         if a.empty or b.empty:
-            return empty
+            return _emit(_Best(k, 0), []).set_axis(["id", "neighbour", "similarity"], axis=1)
         am = _unit(np.stack(a["embedding"].to_numpy()).astype(np.float64))
         bm = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
         ai, bi = a["id"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
@@ -232,9 +233,9 @@ def knn_within(
             if min_similarity is not None:
                 ok &= sims[i] >= min_similarity
             best.add(i, -sims[i][ok], bi[ok])
-        out = _emit(best, ai.tolist()).rename(columns={"query_id": "id", "id": "neighbour", "distance": "similarity"})
+        out = _emit(best, ai.tolist()).set_axis(["id", "neighbour", "similarity"], axis=1)
         out["similarity"] = -out["similarity"]
-        return out if len(out) else empty
+        return out
 
     partial = (
         left.groupBy(*keys)
@@ -256,14 +257,14 @@ def earliest_match(
     r_blocks = max(1, -(-rows.count() // block_rows))
     left = rows.select("id", "ord", "embedding").withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(r_blocks)).cast("int"))
     left = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    right = targets.select("id", "ord", "embedding").withColumn(
+    right = targets.select(*[F.col(c).alias(c) for c in ("id", "ord", "embedding")]).withColumn(
         "_b", F.pmod(F.xxhash64("id"), F.lit(t_blocks)).cast("int")
     )
     right = right.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "match": []})
+            return pd.DataFrame({"id": pd.Series([], dtype=object), "match": np.zeros(0, dtype=np.int64)})
         am = _unit(np.stack(a["embedding"].to_numpy()).astype(np.float64))
         bm = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
         hit = np.round(am @ bm.T, DIGITS) >= threshold
@@ -273,7 +274,8 @@ def earliest_match(
         none = np.iinfo(np.int64).max
         first = np.where(hit, bo[None, :], none).min(axis=1)
         found = first < none
-        return pd.DataFrame({"id": a["id"].to_numpy()[found], "match": first[found]})
+        ids = pd.Series(a["id"].to_numpy(dtype=object)[found], dtype=object)
+        return pd.DataFrame({"id": ids, "match": first[found]})
 
     partial = (
         left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(search, "id string, match bigint")
