@@ -15,8 +15,7 @@ from memspark.functions import lexicons as lx
 from memspark.functions import text as tx
 from memspark.functions.time import clamp
 from memspark.operators import filters as fl
-from memspark.operators.ordered import CHUNK, POS, leading_edge, range_chunks
-from memspark.session import materialize
+from memspark.operators.ordered import CHUNK, key_segments, leading_edge, range_chunks
 
 Lexicon = Sequence[Mapping[str, Mapping[str, float]]]
 FULL: Lexicon = (lx.TRIGGERS, lx.MORE_TRIGGERS)
@@ -129,11 +128,19 @@ def _then_clamp(f, j: int):
     f[3][j] = min(1.0, max(0.0, f[3][j]))
 
 
-def _event_maps(pdf: pd.DataFrame, base: np.ndarray):
+def _event_maps(elapsed: np.ndarray, steps: np.ndarray):
+    """(pull towards the baseline, [(dimension, shift), ...]) of each event."""
     at = {d: j for j, d in enumerate(DIMS)}
-    for elapsed, ops in zip(pdf["_elapsed"].to_numpy(), pdf["steps"]):
-        rate = 0.0 if elapsed != elapsed else min(DECAY_PER_HOUR * elapsed / 3.6e9, DECAY_CAP)
-        yield rate, [(at[o["dim"]], o["shift"]) for o in (ops if ops is not None else []) if o["dim"] in at], base
+    for gap, ops in zip(elapsed, steps):
+        rate = 0.0 if gap != gap else min(DECAY_PER_HOUR * gap / 3.6e9, DECAY_CAP)
+        yield rate, [(at[o["dim"]], o["shift"]) for o in (ops if ops is not None else ()) if o["dim"] in at]
+
+
+def _advance(x: np.ndarray, base: np.ndarray, rate: float, ops) -> np.ndarray:
+    x = x + (base - x) * rate if rate else x.copy()
+    for j, s in ops:
+        x[j] = min(1.0, max(0.0, x[j] + s))
+    return x
 
 
 def fold_states(
@@ -143,61 +150,76 @@ def fold_states(
 
     Events need an integer time in microseconds and ``steps``. Before an event is applied the state is pulled towards
     the baseline by half the elapsed hours (at most half way), unless the last pull is under 3.6 seconds ago; then
-    the steps follow in order, each bounded to 0..1.
+    the steps follow in order, each bounded to 0..1. Keys must not be null.
     """
-    pulls = leading_edge(events.select(*keys, id_col, ts), keys, id_col, ts, MIN_DECAY_MICROS)
-    elapsed = F.when(F.col("accepted"), (F.col(ts) - F.col("previous")).cast("double"))
-    timed = events.join(pulls.select(id_col, elapsed.alias("_elapsed")), id_col)
-    rows = range_chunks(timed.select(*keys, id_col, ts, "_elapsed", "steps"), keys, [ts, id_col])
-    on = [*keys, CHUNK]
-    kinds = dict(rows.dtypes)
-    head = ", ".join(f"`{k}` {kinds[k]}" for k in on)
+    pulls = leading_edge(events, keys, id_col, ts, MIN_DECAY_MICROS)
+    gap = F.when(F.col("accepted"), F.col(ts).cast("double") - F.col("previous"))
+    timed = events.select(*keys, id_col, ts, "steps").join(pulls.select(id_col, gap.alias("_gap")), id_col)
+    rows = range_chunks(timed, keys, [ts, id_col])
     base = np.array([baseline[d] for d in DIMS])
+    shared = rows.sparkSession.sparkContext
+
+    def condense(batches):
+        """Per chunk: the map of its first key's events, and the end state of its last key if that is another."""
+        chunk = first = key = None
+        f = [x.copy() for x in _identity(len(DIMS))]
+        x = base
+        for pdf in batches:
+            for i, j, k in key_segments(pdf, keys) if len(pdf) else ():
+                if chunk is None:
+                    chunk, first, key = int(pdf[CHUNK].iat[0]), k, k
+                elif k != key:
+                    key, x = k, base
+                for rate, ops in _event_maps(pdf["_gap"].to_numpy()[i:j], pdf["steps"].to_numpy()[i:j]):
+                    if key != first:
+                        x = _advance(x, base, rate, ops)
+                        continue
+                    if rate:
+                        f = list(_then_affine(f, 1.0 - rate, base * rate))
+                    for d, s in ops:
+                        f[1][d] += s
+                        f[2][d] += s
+                        f[3][d] += s
+                        _then_clamp(f, d)
+        if chunk is not None:
+            end = None if key == first else x.tolist()
+            yield pd.DataFrame({"chunk": [chunk], "first": [first], "last": [key], "end": [end], "a": [f[0].tolist()],
+                                "c": [f[1].tolist()], "lo": [f[2].tolist()], "hi": [f[3].tolist()]})
+
+    shape = "chunk int, first string, last string, end array<double>, a array<double>, c array<double>, lo array<double>, hi array<double>"
+    starts: dict[int, list[float]] = {}
+    if rows.rdd.getNumPartitions() > 1:
+        chunks = sorted(rows.mapInPandas(condense, shape).collect(), key=lambda r: r["chunk"])  # one row per chunk
+        last, end = None, None
+        for r in chunks:
+            x = np.array(end) if r["first"] == last else base
+            starts[r["chunk"]] = x.tolist()
+            after = np.minimum(r["hi"], np.maximum(r["lo"], np.array(r["a"]) * x + np.array(r["c"])))
+            last, end = r["last"], (r["end"] if r["end"] is not None else after.tolist())
+    given = shared.broadcast(starts)
+
+    def apply(batches):
+        chunk = key = None
+        x = base
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = np.empty((len(pdf), len(DIMS)))
+            gaps, steps_ = pdf["_gap"].to_numpy(), pdf["steps"].to_numpy()
+            for i, j, k in key_segments(pdf, keys):
+                if chunk is None:
+                    chunk, key = int(pdf[CHUNK].iat[0]), k
+                    x = np.array(given.value.get(chunk, base))
+                elif k != key:
+                    key, x = k, base
+                for n, (rate, ops) in enumerate(_event_maps(gaps[i:j], steps_[i:j]), i):
+                    x = _advance(x, base, rate, ops)
+                    out[n] = x
+            yield pd.concat([pdf[[*keys, id_col, ts]].reset_index(drop=True), pd.DataFrame(out, columns=list(DIMS))], axis=1)
 
-    def condense(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = _identity(len(DIMS))
-        f = tuple(x.copy() for x in f)
-        for rate, ops, b in _event_maps(pdf.sort_values(POS), base):
-            if rate:
-                f = _then_affine(f, 1.0 - rate, b * rate)
-            for j, s in ops:
-                f[1][j] += s
-                f[2][j] += s
-                f[3][j] += s
-                _then_clamp(f, j)
-        return pdf[on].head(1).assign(a=[f[0].tolist()], c=[f[1].tolist()], lo=[f[2].tolist()], hi=[f[3].tolist()])
-
-    maps = rows.groupBy(*on).applyInPandas(
-        condense, head + ", a array<double>, c array<double>, lo array<double>, hi array<double>"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, starts = base.copy(), []
-        pdf = pdf.sort_values(CHUNK)
-        for a, c, lo, hi in zip(pdf["a"], pdf["c"], pdf["lo"], pdf["hi"]):
-            starts.append(x.tolist())
-            x = np.minimum(hi, np.maximum(lo, np.asarray(a) * x + np.asarray(c)))
-        return pdf[on].assign(start=starts)
-
-    # One row per key and range partition: no key has more rows here than there are partitions.
-    grouped = maps.groupBy(*keys) if keys else maps.groupBy(F.lit(0))
-    starts = materialize(grouped.applyInPandas(chain, head + ", start array<double>"))
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS)
-        x = np.array(pdf["start"].iloc[0])
-        out = np.empty((len(pdf), len(DIMS)))
-        for i, (rate, ops, b) in enumerate(_event_maps(pdf, base)):
-            if rate:
-                x = x + (b - x) * rate
-            for j, s in ops:
-                x[j] = min(1.0, max(0.0, x[j] + s))
-            out[i] = x
-        result = pdf[[*keys, id_col, ts]].reset_index(drop=True)
-        return pd.concat([result, pd.DataFrame(out, columns=list(DIMS))], axis=1)
-
-    shape = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, id_col, ts]) + ", " + ", ".join(f"{d} double" for d in DIMS)
-    return rows.join(starts, on).groupBy(*on).applyInPandas(apply, shape)
+    kinds = dict(rows.dtypes)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, id_col, ts])
+    return rows.mapInPandas(apply, head + ", " + ", ".join(f"{d} double" for d in DIMS))
 
 
 def last_states(states: DataFrame, keys: Sequence[str], id_col: str, ts: str) -> DataFrame:
@@ -233,14 +255,14 @@ def named_value(name: Column, field: int) -> Column:
     return F.element_at(table, name)
 
 
-def intensity(name: Column) -> Column:
+def intensity(name: Column, digits: int = 2) -> Column:
     """Value of the dimension behind the named state; for calm, how close all dimensions are to rest."""
     out = None
     for state, _, d, _, _ in lx.NAMED_STATES:
         if d is not None:
             out = F.when(name == state, F.col(d)) if out is None else out.when(name == state, F.col(d))
     spread = sum((F.abs(F.col(d) - v) for d, v in lx.DEFAULT_STATE.items()), F.lit(0.0)) / len(DIMS)
-    return F.round(out.otherwise(F.greatest(F.lit(0.0), 1.0 - spread * 2)), 2)
+    return F.round(out.otherwise(F.greatest(F.lit(0.0), 1.0 - spread * 2)), digits)
 
 
 def primary_emotion() -> Column:

@@ -7,7 +7,8 @@ row per (group, partition).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -90,74 +91,114 @@ def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def key_segments(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int, str]]:
+    """(start, end, key text) of the stretches with equal keys in a sorted batch."""
+    if not keys:
+        return [(0, len(pdf), "")]
+    changes = np.zeros(len(pdf), dtype=bool)
+    changes[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        changes[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(changes)
+    ends = [*at[1:].tolist(), len(pdf)]
+    return [(i, j, json.dumps([str(pdf[k].iat[i]) for k in keys])) for i, j in zip(at.tolist(), ends)]
+
+
+Columns = dict[str, np.ndarray]
+
+
 def chunked_fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    fold: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str]],
+    fold: Callable[[Columns, str | None], tuple[Columns, str]],
     schema: str,
 ) -> DataFrame:
     """A sequential fold per key whose carried state is small, run over range chunks in parallel.
 
-    ``fold(rows in order, state) -> (output rows, state)``; the state is a string, None at the start of a key. Chunks
-    start from the state their predecessor ended with in the last pass; only chunks whose start changed run again.
-    When nothing changes the result equals the sequential fold. Folds that soon forget their start settle in two
-    or three passes; at worst one pass per chunk is needed.
+    ``fold(columns of rows in order, state) -> (output columns, state)``; the state is a string, None at the start of
+    a key. Only the first key of a chunk can have begun earlier, so a chunk needs one state from its predecessor: the
+    driver holds one row per chunk. Chunks start from the state their predecessor ended with in the last pass, and
+    only chunks whose start changed run again; when nothing changes the result is the sequential one. Folds that soon
+    forget their start settle in two or three passes; at worst one pass per chunk is needed.
     """
     rows = range_chunks(df, keys, order)
-    on = [*keys, CHUNK]
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in on)
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state = fold(pdf.sort_values(POS), pdf["_start"].iloc[0])
-        return pdf[on].head(1).assign(_end=state)
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values(POS), pdf["_start"].iloc[0])[0]
-
-    chunks = materialize(rows.select(*on).distinct().withColumn("_start", F.lit(None).cast("string")))
-    state = None
-    todo = chunks
-    while True:
-        ran = rows.join(todo.select(*on, "_start"), on).groupBy(*on).applyInPandas(ends, f"{key_schema}, _end string")
-        if state is not None:
-            ran = ran.unionByName(state.join(todo.select(*on), on, "left_anti").select(*on, "_end"))
-        state = materialize(ran)
-        w = Window.partitionBy(*keys).orderBy(CHUNK)
-        starts = materialize(state.withColumn("_new", F.lag("_end").over(w)).join(chunks, on))
-        todo = materialize(
-            starts.filter(~F.col("_new").eqNullSafe(F.col("_start"))).select(*on, F.col("_new").alias("_start"))
-        )
-        chunks = starts.select(*on, F.col("_new").alias("_start"))
-        if todo.isEmpty():
-            break
-    return rows.join(chunks, on).groupBy(*on).applyInPandas(emit, schema)
+    shared = rows.sparkSession.sparkContext
+
+    def walk(starts: dict[int, str], emit: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        given = shared.broadcast(starts)
+
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            chunk = first = key = state = None
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+                outs = []
+                for i, j, k in key_segments(pdf, keys):
+                    if chunk is None:
+                        chunk, first, key = int(pdf[CHUNK].iat[0]), k, k
+                        state = given.value.get(chunk)
+                    elif k != key:
+                        key, state = k, None
+                    out, state = fold({c: a[i:j] for c, a in arrays.items()}, state)
+                    outs.append(out)
+                if emit:
+                    yield pd.DataFrame({c: np.concatenate([o[c] for o in outs]) for c in outs[0]})
+            if not emit and chunk is not None:
+                yield pd.DataFrame({"chunk": [chunk], "first": [first], "last": [key], "state": [state]})
+
+        return go
+
+    starts: dict[int, str] = {}
+    if rows.rdd.getNumPartitions() > 1:
+        ends: dict[int, tuple[str, str, str]] = {}
+        todo = rows
+        while True:
+            ran = todo.mapInPandas(walk(starts, False), "chunk int, first string, last string, state string")
+            for r in ran.collect():  # one row per chunk
+                ends[r["chunk"]] = (r["first"], r["last"], r["state"])
+            new: dict[int, str] = {}
+            before = None
+            for c in sorted(ends):
+                if before is not None and ends[before][1] == ends[c][0]:
+                    new[c] = ends[before][2]
+                before = c
+            changed = [c for c in ends if new.get(c) != starts.get(c)]
+            starts = new
+            if not changed:
+                break
+            todo = rows.filter(F.col(CHUNK).isin(changed))
+    return rows.mapInPandas(walk(starts, True), schema)
 
 
 def leading_edge(df: DataFrame, keys: Sequence[str], id_col: str, ts: str, interval: int) -> DataFrame:
     """Throttle: an event passes when at least ``interval`` has gone by since the last one that passed.
 
-    ``ts`` is an integer time. Adds accepted and previous (time of the last accepted event before this one).
+    ``ts`` is an integer time. Gives the keys, id and time with accepted and previous (time of the last accepted event
+    before this one).
     """
 
-    def fold(pdf: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
-        times = pdf[ts].to_numpy(dtype=np.int64)
+    def fold(cols: Columns, state: str | None) -> tuple[Columns, str]:
+        times = cols[ts].astype(np.int64)
         accepted = np.zeros(len(times), dtype=bool)
-        last = int(state) if state is not None else None
+        start = int(state) if state is not None else None
+        last = start
         i = 0 if last is None else int(np.searchsorted(times, last + interval))
         while i < len(times):
             accepted[i] = True
             last = int(times[i])
             i = int(np.searchsorted(times, last + interval))
-        carried = pd.Series(np.where(accepted, times, np.nan), dtype="float64").ffill().shift()
-        start = int(state) if state is not None else None
-        previous = [start if v != v else int(v) for v in carried]
-        out = pd.DataFrame({id_col: pdf[id_col].to_numpy(), "accepted": accepted})
-        out["previous"] = pd.array(previous, dtype="Int64")
-        return out, str(last) if last is not None else ""
+        # Index of the latest accepted event strictly before each event.
+        seen = np.maximum.accumulate(np.where(accepted, np.arange(len(times)), -1))
+        seen = np.concatenate([[-1], seen[:-1]])
+        none = np.nan if start is None else float(start)
+        previous = np.where(seen >= 0, times[seen].astype(float), none)
+        out = {c: cols[c] for c in (*keys, id_col, ts)}
+        return {**out, "accepted": accepted, "previous": previous}, str(last)
 
     kinds = dict(df.dtypes)
-    marks = chunked_fold(
-        df.select(*keys, id_col, ts), keys, [ts, id_col], fold, f"{id_col} {kinds[id_col]}, accepted boolean, previous bigint"
-    )
-    return df.join(marks, id_col)
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, id_col, ts))
+    slim = df.select(*keys, id_col, ts)
+    return chunked_fold(slim, keys, [ts, id_col], fold, f"{head}, accepted boolean, previous double")

@@ -69,8 +69,8 @@ def near_duplicates_given(t: Tables) -> DataFrame:
     return cl.dedupe_vectors(v, "ord", 0.25).select(F.col("id").cast("long").alias("id"))
 
 
-@query("v04_stale_flags", """WITH m AS (SELECT * FROM memories_base WHERE status = 'active'),
-    r AS (SELECT a.id, b.id AS old, trim(a.content) = trim(b.content) AS same, a.created_at,
+@query("v04_stale_flags", """WITH m AS MATERIALIZED (SELECT id, user_id, agent_id, type, created_at, sha256(trim(content, ' ' || chr(10) || chr(9))) AS h FROM memories_base WHERE status = 'active'),
+    r AS (SELECT a.id, b.id AS old, a.h = b.h AS same, a.created_at,
         round(1 - coalesce(sum(x.w * y.w), 0), 9) AS distance
       FROM m a JOIN m b ON a.user_id = b.user_id AND a.agent_id = b.agent_id AND a.type = b.type AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))
       LEFT JOIN memory_vectors x ON x.id = a.id LEFT JOIN memory_vectors y ON y.id = b.id AND y.dim = x.dim
