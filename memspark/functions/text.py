@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -183,7 +184,7 @@ def strip_prefixes(c: Column, prefixes: Sequence[str], limit: int = 120) -> Colu
     """Drop leading labels in the given order, at most once each, then cut."""
     s = collapse_spaces(c)
     for p in prefixes:
-        s = F.when(s.startswith(p), strip(F.substring(s, len(p) + 1, 1_000_000_000))).otherwise(s)
+        s = F.regexp_replace(s, "^" + re.escape(p) + "\\s*", "")
     return F.nullif(F.substring(s, 1, limit), F.lit(""))
 
 

@@ -30,4 +30,5 @@ def half_life(age: Column, days: float) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))

@@ -76,8 +76,8 @@ def running_sum(
     local = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*keys, CHUNK).agg(F.sum("_value").alias("_total"))
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0))).drop("_total")
-    out = _join_chunks(rows.withColumn("_run", F.sum("_value").over(local)), offsets, keys)
-    return out.withColumn(name, F.col("_run") + F.col("_offset")).drop("_run", "_offset", "_value", CHUNK, POS)
+    out = _join_chunks(rows.withColumn("_here", F.sum("_value").over(local)), offsets, keys)
+    return out.withColumn(name, F.col("_here") + F.col("_offset")).drop("_here", "_offset", "_value", CHUNK, POS)
 
 
 def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, salts: int = 16) -> DataFrame:

@@ -82,10 +82,10 @@ DIMS = ("happiness", "curiosity", "fatigue", "worry", "closeness", "focus", "exc
 BASE = "(VALUES ('happiness', 0.6e0), ('curiosity', 0.7e0), ('fatigue', 0.2e0), ('worry', 0.1e0), ('closeness', 0.5e0), ('focus', 0.6e0), ('excitement', 0e0)) b(dim, base)"
 
 
-def FOLD(events: str) -> str:
+def FOLD(events: str, source: str = "ev") -> str:
     """Sequential fold in SQL: ``ev(key, eid, us, ops)`` with ops a list of (dim, shift)."""
     return f"""{events},
-    num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, eid) AS rn FROM ev),
+    num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, eid) AS rn FROM {source}),
     fold AS (
       SELECT k.key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS last, b.dim, b.base, b.base AS x, CAST(0 AS BIGINT) AS eid FROM (SELECT DISTINCT key FROM num) k CROSS JOIN {BASE}
       UNION ALL

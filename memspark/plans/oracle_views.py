@@ -77,6 +77,20 @@ VIEWS: dict[str, str] = {
           CASE WHEN toxic = 1 THEN 'error' ELSE 'stored' END AS last_status
         FROM (SELECT d.*, l.quality, l.toxic, CASE WHEN l.quality = 0 THEN content || ' (old)' ELSE content END AS c
               FROM doc_collection d JOIN labels l ON l.doc_id = d.doc_id)""",
+    "markdown_files": """
+        SELECT page_id, folder, folder || '/p' || page_id || '.md' AS path, host, heading, body,
+          '# ' || heading || chr(10) || chr(10) || '## Web' || chr(10) || chr(10) || body AS inner_text
+        FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]*)', 1) AS host, regexp_extract(url, '^https?://[^/]*/([^/?]*)', 1) AS folder,
+          trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages)""",
+    "workspace": """
+        SELECT doc_id, CASE lang WHEN 'en' THEN 'projects' WHEN 'fr' THEN 'rules' WHEN 'de' THEN 'memory' ELSE 'other' END || '/' || source || '/'
+            || CASE WHEN n_chars % 10 = 0 THEN 'README.md' ELSE 'd-' || doc_id || '.md' END AS path, source, lang,
+          CASE WHEN n_chars % 2 = 0 THEN '# Note ' || doc_id || ' #tag-a #tag_b' || chr(10) || chr(10) || text ELSE text END AS content
+        FROM documents""",
+    "patches": """
+        SELECT CAST(doc_id AS VARCHAR) AS id, quality * 0.5e0 + 0.25e0 AS importance, CASE WHEN toxic = 1 THEN 'discarded' END AS status,
+          CASE WHEN toxic = 1 THEN 'reviewed' END AS summary
+        FROM labels""",
     "entities": """
         SELECT 'r' || r_regionkey AS id, r_name AS name, 'region' AS type, 0.9e0 AS importance FROM region
         UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 0.8e0 FROM nation

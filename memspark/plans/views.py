@@ -139,6 +139,45 @@ class Tables:
         return d.select(F.col("doc_id").cast("string").alias("id"), F.split("text", "\n", 2)[0].alias("heading"),
                         F.col("text").alias("content"))
 
+    def markdown_files(self) -> DataFrame:
+        """Markdown files made from the raw pages: front matter, the page heading, one section, the plain text."""
+        p = self.raw("pages")
+        host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+        folder = F.regexp_extract("url", "^https?://[^/]*/([^/?]*)", 1)
+        heading = F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))
+        body = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "\\s+", " "))
+        front = F.concat(
+            F.lit("---\ntags: web, "), host, F.when(F.col("page_id") % 2 == 0, F.lit("\nimportance: 1.7\ntype: page")).otherwise(""),
+            F.lit("\n---\n"),
+        )
+        text = F.concat(front, F.lit("# "), heading, F.lit("\n\n## Web\n\n"), body, F.lit("\n"))
+        return p.select("page_id", folder.alias("folder"), F.concat(folder, F.lit("/p"), "page_id", F.lit(".md")).alias("path"), text.alias("text"))
+
+    def workspace(self) -> DataFrame:
+        """Documents as files of a workspace: the language decides the top folder."""
+        top = F.when(F.col("lang") == "en", "projects").when(F.col("lang") == "fr", "rules").when(F.col("lang") == "de", "memory").otherwise("other")
+        name = F.when(F.col("n_chars") % 10 == 0, "README.md").otherwise(F.concat(F.lit("d-"), "doc_id", F.lit(".md")))
+        content = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("# Note "), "doc_id", F.lit(" #tag-a #tag_b\n\n"), "text")).otherwise(F.col("text"))
+        return self.raw("documents").select("doc_id", F.concat_ws("/", top, "source", name).alias("path"), content.alias("content"))
+
+    def chunks(self) -> DataFrame:
+        """Outside text chunks: every document under two roots, the second copy later."""
+        d = self.raw("documents")
+        both = d.withColumn("root", F.explode(F.array(F.lit("a"), F.lit("b"))))
+        return both.select(
+            F.concat("root", F.lit("-"), "doc_id").alias("chunk_id"), F.concat_ws("/", "root", "source", F.col("doc_id").cast("string")).alias("path"),
+            "text", (F.col("doc_id") + F.when(F.col("root") == "b", 1_000_000).otherwise(0)).alias("updated_at"),
+        )
+
+    def patches(self) -> DataFrame:
+        """Partial updates from the labels: quality sets importance, a toxic text is discarded, then summarised anew."""
+        l = self.raw("labels")
+        one = l.select(F.col("doc_id").cast("string").alias("id"), F.lit(1).alias("at"), (F.col("quality") * 0.5 + 0.25).alias("importance"),
+                       F.when(F.col("toxic") == 1, "discarded").alias("status"), F.lit(None).cast("string").alias("summary"))
+        two = l.filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"), F.lit(2).alias("at"), F.lit(None).cast("double").alias("importance"),
+                                           F.lit(None).cast("string").alias("status"), F.lit("reviewed").alias("summary"))
+        return one.unionByName(two)
+
     # -- knowledge graph ---------------------------------------------------------------------------------
 
     def entities(self) -> DataFrame:

@@ -25,9 +25,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings that results depend on: timestamps are naive UTC everywhere."""
+    """Pin what results depend on (naive UTC timestamps) and the state store that custom stream state needs."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
 
