@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.filters import top_per_group
-from memspark.session import small_enough
 
 # Queries up to this many are sent to every task as one matrix (at 1024 dimensions: 16 MB).
 BROADCAST_QUERIES = 2048
@@ -116,8 +115,9 @@ def vector_topk(
     id_type = q.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, id string, distance double"
 
-    if small_enough(q, max_broadcast):
-        partial = _topk_broadcast(c, q, k, schema)
+    few = q.limit(max_broadcast + 1).toPandas()  # never more than the bound
+    if len(few) <= max_broadcast:
+        partial = _topk_broadcast(c, few, k, schema)
     else:
         partial = _topk_blocks(c, q, k, schema)
     return top_per_group(partial, ["query_id"], [F.col("distance"), F.col("id")], k)
@@ -129,14 +129,13 @@ def _rows_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return cols
 
 
-def _topk_broadcast(c: DataFrame, q: DataFrame, k: int, schema: str) -> DataFrame:
-    pdf = q.toPandas()
+def _topk_broadcast(c: DataFrame, pdf: pd.DataFrame, k: int, schema: str) -> DataFrame:
     if pdf.empty:
-        return q.sparkSession.createDataFrame([], schema)
+        return c.sparkSession.createDataFrame([], schema)
     qm = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
     meta = pdf.drop(columns="embedding").astype({n: object for n in _FILTERS})
     keep = qm.any(axis=1)
-    shared = q.sparkSession.sparkContext.broadcast((meta[keep].reset_index(drop=True), qm[keep]))
+    shared = c.sparkSession.sparkContext.broadcast((meta[keep].reset_index(drop=True), qm[keep]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, m = shared.value

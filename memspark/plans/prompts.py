@@ -55,7 +55,7 @@ def prompts(t: Tables) -> DataFrame:
 @query("k03_session_recall", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, agent_id ORDER BY created_at DESC, id) AS recency FROM memories_base WHERE status = 'active'),
     p AS (SELECT *, row_number() OVER (PARTITION BY user_id, agent_id ORDER BY importance DESC, recency) AS position FROM r WHERE recency <= 20)
     SELECT user_id, agent_id, '[auto-recalled memories]' || chr(10) || string_agg('- ' || left(split_part(CASE WHEN summary <> '' THEN summary ELSE content END, chr(10), 1), 160), chr(10) ORDER BY position)
-      || CASE WHEN agent_id = 'en' THEN chr(10) || '[emotion] curious' ELSE '' END AS text FROM p WHERE position <= 5 GROUP BY ALL""")
+      || CASE WHEN agent_id = 'en' THEN chr(10) || '[emotion] curious' ELSE '' END AS text FROM p WHERE position <= 5 GROUP BY user_id, agent_id""")
 def recall(t: Tables) -> DataFrame:
     m = t.memories_base()
     mood = m.filter("agent_id = 'en'").select("user_id", "agent_id").distinct().withColumn("mood", F.lit("curious"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as tx
 from memspark.functions import vectors as vec
 from memspark.functions.time import ntz
+from memspark.session import spread
 
 AS_OF = "2024-01-31 00:00:00"
 DIM = 1024
@@ -19,13 +20,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self.seen: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self.seen:
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            # The text tables feed regular expressions and vectors: worth all cores.
+            self.seen[name] = spread(df) if name in ("documents", "pages") else df
+        return self.seen[name]
 
     @cached_property
     def n_documents(self) -> int:
-        return self.raw("documents").count()
+        return self.spark.read.parquet(f"{self.dir}/documents.parquet").count()
 
     # -- memories ---------------------------------------------------------------------------------------
 
