@@ -18,9 +18,10 @@ from memspark.functions import text as tx
 _TOKEN = re.compile(r"\w+")
 
 
-def _dim_and_sign(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.sha256(token.encode("utf-8")).digest()
-    return int.from_bytes(digest[:2], "big") % dim, 1.0 if digest[2] & 1 else -1.0
+def _dims_and_signs(tokens: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    digests = [hashlib.sha256(t.encode("utf-8")).digest() for t in tokens]
+    dims = np.array([int.from_bytes(d[:2], "big") % dim for d in digests], dtype=np.int64)
+    return dims, np.array([1.0 if d[2] & 1 else -1.0 for d in digests])
 
 
 def hash_embedding(text: Column, dim: int = 1024) -> Column:
@@ -31,17 +32,16 @@ def hash_embedding(text: Column, dim: int = 1024) -> Column:
 
     @arrow_udf(T.ArrayType(T.DoubleType()))
     def embed(batch: pa.Array) -> pa.Array:
-        seen: dict[str, tuple[int, float]] = {}
-        out = np.zeros((len(batch), dim))
-        for i, s in enumerate(batch.to_pylist()):
-            for token in _TOKEN.findall((s or "").lower()):
-                slot = seen.get(token)
-                if slot is None:
-                    slot = seen[token] = _dim_and_sign(token, dim)
-                out[i, slot[0]] += slot[1]
+        found = [_TOKEN.findall((s or "").lower()) for s in batch.to_pylist()]
+        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        words = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
+        dims, signs = _dims_and_signs(words.dictionary.to_pylist(), dim)
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        sums = np.bincount(rows * dim + dims[codes], weights=signs[codes], minlength=len(found) * dim)
+        out = sums.reshape(len(found), dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norms, out=out, where=norms > 0)
-        offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim)
+        offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
     return embed(text)

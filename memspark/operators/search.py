@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,11 @@ from memspark.operators.ordered import join_hot
 from memspark.operators.similarity import vector_topk
 from memspark.session import materialize, small_enough
 
+try:
+    import ahocorasick
+except ImportError:  # substring search then joins on first characters
+    ahocorasick = None
+
 # Query-side tables up to this many rows are broadcast (a few MB); beyond it both sides are shuffled.
 BROADCAST_ROWS = 100_000
 RRF_K = 60
@@ -45,19 +52,44 @@ def _query_terms(queries: DataFrame, scopes: Sequence[str]) -> DataFrame:
     return q.filter(F.size("terms") > 0)
 
 
+def _count_terms(vocabulary: list[str]):
+    """Vectorised count of the given terms in each token list: list<string> -> map<string,int>."""
+
+    @arrow_udf(T.MapType(T.StringType(), T.IntegerType()))
+    def count(batch: pa.Array) -> pa.Array:
+        terms = pa.array(vocabulary, pa.string())
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        codes = pc.fill_null(pc.index_in(batch.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(batch)), sizes)[codes >= 0]
+        slots, counts = np.unique(rows * len(terms) + codes[codes >= 0], return_counts=True)
+        offsets = np.searchsorted(slots, np.arange(len(batch) + 1) * len(terms)).astype(np.int32)
+        return pa.MapArray.from_arrays(
+            pa.array(offsets), terms.take(pa.array(slots % max(1, len(terms)))), pa.array(counts.astype(np.int32))
+        )
+
+    return count
+
+
 def _doc_terms(corpus: DataFrame, vocabulary: DataFrame, scopes: Sequence[str], positions: bool) -> DataFrame:
-    """Per document: id, length, and a map term -> count (or positions) of the terms any query asks for."""
+    """Per document: id, length, and a map term -> count (or positions) of the terms any query asks for.
+
+    Counts against a vocabulary of bounded size need no shuffle. Otherwise the wanted tokens are grouped by document.
+    """
     docs = corpus.select("id", *scopes, "tokens", F.size("tokens").alias("len"))
-    flat = docs.select("id", *scopes, "len", F.posexplode("tokens").alias("pos", "term"))
-    if small_enough(vocabulary, BROADCAST_ROWS):
-        flat = flat.join(F.broadcast(vocabulary), "term", "left_semi")
+    words = [r[0] for r in vocabulary.limit(BROADCAST_ROWS + 1).collect()]
+    few = len(words) <= BROADCAST_ROWS
+    if few and not positions:
+        return docs.select("id", *scopes, "len", _count_terms(sorted(words))(F.col("tokens")).alias("uses"))
+    flat = docs.select("id", *scopes, "len", F.posexplode_outer("tokens").alias("pos", "term"))
+    known = vocabulary.withColumn("_known", F.lit(True))
+    if few:
+        flat = flat.join(F.broadcast(known), "term", "left")
     else:
-        flat = join_hot(flat, vocabulary, ["term"], F.col("id"))
-    use = F.array_sort(F.collect_list("pos")) if positions else F.count("*")
-    counted = flat.groupBy("id", *scopes, "len", "term").agg(use.alias("use"))
-    return counted.groupBy("id", *scopes, "len").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "use"))).alias("uses")
-    )
+        flat = flat.join(known, "term", "left")
+    use = F.array_sort(F.collect_list("pos")) if positions else F.count("*").cast("int")
+    counted = flat.groupBy("id", *scopes, "len", F.when(F.col("_known"), F.col("term")).alias("term")).agg(use.alias("use"))
+    entry = F.when(F.col("term").isNotNull(), F.struct("term", "use"))
+    return counted.groupBy("id", *scopes, "len").agg(F.map_from_entries(F.collect_list(entry)).alias("uses"))
 
 
 @arrow_udf(T.DoubleType())
@@ -93,7 +125,7 @@ def search_fulltext(
     q = _query_terms(queries, scopes)
     each = q.select("*", F.explode("terms").alias("term"))
     docs = materialize(_doc_terms(corpus, each.select("term").distinct(), scopes, ranker == "cover_density"))
-    totals = corpus.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
+    totals = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = float(totals["n"]), float(totals["avg"] or 1.0)
     flat = docs.select("*", F.explode(F.map_keys("uses")).alias("term"))
     df = flat.groupBy("term").count().withColumnRenamed("count", "df")
@@ -212,23 +244,51 @@ def rerank(
 # --- Substrings ---------------------------------------------------------------------------------------
 
 
-def _gram_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """Pairs of a text row and a needle that share the needle's first characters (at most three).
+def _literals_in(literals: list[str]):
+    """Which of the literals occur in each text, in one pass over the text: string -> array<string>."""
+    plain = [x for x in literals if x]
+    always = [""] if "" in literals else []
+    machine = ahocorasick.Automaton()
+    for x in plain:
+        machine.add_word(x, x)
+    machine.make_automaton()
+
+    @arrow_udf(T.ArrayType(T.StringType()))
+    def find(batch: pa.Array) -> pa.Array:
+        out = []
+        for text in batch.to_pylist():
+            found = {x for _, x in machine.iter(text)} if plain and text else set()
+            out.append(always + list(found))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return find
+
+
+def literal_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """Pairs of a text row and a needle whose ``literal`` occurs in the text; an empty literal occurs everywhere.
 
-    ``texts`` has id and low (lower-case text, repeats of id allowed); ``needles`` has key (its first characters,
-    possibly empty) and any other columns. Every text that holds the needle is among the pairs.
+    ``texts`` has id and low (lower-case text); ``needles`` has literal (lower case) and any other columns. A bounded
+    set of needles is looked for in one pass over each text. A larger one meets the texts in an equality join on the
+    first characters (at most three) of the literal, and the literal is then checked.
     """
-    lengths = sorted(r[0] for r in needles.select(F.length("key")).distinct().collect())
+    if ahocorasick is not None:
+        literals = [r[0] for r in needles.select("literal").distinct().limit(BROADCAST_ROWS + 1).collect()]
+        if len(literals) <= BROADCAST_ROWS:
+            hits = texts.select("*", F.explode(_literals_in(literals)(F.col("low"))).alias("literal"))
+            return _meet(hits, needles, ["literal"], F.col("id"))
+    keyed = needles.withColumn("_key", F.substring("literal", 1, 3))
+    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())
     grams = [F.array(F.lit(""))] if 0 in lengths else []
     grams += [tx.ngrams(F.col("low"), n) for n in lengths if n > 0]
     keys = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    return _meet(texts.select("*", F.explode(keys).alias("key")), needles, ["key"], F.col("id"))
+    pairs = _meet(texts.select("*", F.explode(keys).alias("_key")), keyed, ["_key"], F.col("id"))
+    return pairs.filter(F.contains("low", F.col("literal"))).drop("_key")
 
 
 def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(id, needle) for every needle contained in a text. ``texts``: id, low. ``needles``: needle, lower case."""
-    n = needles.select("needle").filter("needle <> ''").distinct().withColumn("key", F.substring("needle", 1, 3))
-    return _gram_join(texts, n).filter(F.contains("low", F.col("needle"))).select("id", "needle")
+    n = needles.select("needle").filter("needle <> ''").distinct().withColumn("literal", F.col("needle"))
+    return literal_pairs(texts, n).select("id", "needle")
 
 
 def search_substring(
@@ -236,16 +296,16 @@ def search_substring(
 ) -> DataFrame:
     """Case-insensitive substring search on content or summary, newest first: a page and the total per query.
 
-    ``%`` and ``_`` in a query act as wildcards. Candidates come from an equality join on the first characters of the
-    longest plain stretch of the pattern; the full pattern is then checked.
+    ``%`` and ``_`` in a query act as wildcards. Candidates hold the longest plain stretch of the pattern; the full
+    pattern is then checked.
     """
     stretches = F.array_sort(
-        F.split(F.lower("text"), "[%_]"),
+        F.split(F.lower("text"), "[%_\\\\]"),
         lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0),
     )
     q = queries.select(
         "query_id", *[F.col(s).alias(f"_want_{s}") for s in scopes], "text",
-        F.substring(F.get(stretches, F.lit(0)), 1, 3).alias("key"),
+        F.coalesce(F.get(stretches, F.lit(0)), F.lit("")).alias("literal"),
         F.col("text").rlike("[%_\\\\]").alias("wild"),
     )
     summary = tx.text_or_empty(F.col("summary"))
@@ -256,7 +316,7 @@ def search_substring(
     pattern = F.concat(F.lit("%"), "text", F.lit("%"))
     plain = F.contains(F.lower("content"), F.lower("text")) | F.contains(F.lower("summary"), F.lower("text"))
     wild = F.ilike("content", pattern) | F.ilike("summary", pattern)
-    pairs = _in_scope(_gram_join(texts, q), scopes)
+    pairs = _in_scope(literal_pairs(texts, q), scopes)
     hits = materialize(
         pairs.filter(F.when(F.col("wild"), wild).otherwise(plain)).select("query_id", "id", "created_at")
     )
