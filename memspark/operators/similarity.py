@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.filters import top_per_group
+from memspark.session import materialize
 
 # Queries up to this many are sent to every task as one matrix (at 1024 dimensions: 16 MB).
 BROADCAST_QUERIES = 2048
@@ -100,12 +102,13 @@ def vector_topk(
     direction, so it matches nothing. A modest query table travels to the corpus; a larger one is cut into blocks
     that meet the blocks of the corpus in a shuffle.
     """
-    c = corpus.filter(F.col("embedding").isNotNull())
+    # Null vectors are dropped inside the tasks: a filter on a vector that is still to be made would make it twice.
+    c = corpus
     for name, kind in (("user_id", "string"), ("agent_id", "string"), ("type", "string"), ("importance", "double")):
         if name not in c.columns:
             c = c.withColumn(name, F.lit(None).cast(kind))
     c = c.select("id", "user_id", "agent_id", "type", F.col("importance").cast("double"), "embedding")
-    q = queries.filter(F.col("embedding").isNotNull())
+    q = queries
     for name in _FILTERS:
         if name not in q.columns:
             q = q.withColumn(name, F.lit(None).cast("string"))
@@ -117,9 +120,10 @@ def vector_topk(
 
     few = q.limit(max_broadcast + 1).toPandas()  # never more than the bound
     if len(few) <= max_broadcast:
-        partial = _topk_broadcast(c, few, k, schema)
+        partial = _topk_broadcast(c, few[few["embedding"].notna()], k, schema)
     else:
-        partial = _topk_blocks(c, q, k, schema)
+        have = F.col("embedding").isNotNull()
+        partial = _topk_blocks(materialize(c).filter(have), materialize(q).filter(have), k, schema)
     return top_per_group(partial, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
@@ -141,6 +145,7 @@ def _topk_broadcast(c: DataFrame, pdf: pd.DataFrame, k: int, schema: str) -> Dat
         qs, m = shared.value
         best = _Best(k, len(qs))
         for b in batches:
+            b = b.filter(pc.is_valid(b.column("embedding")))
             _search_block(best, qs, m, _rows_of(b), _matrix(b.column("embedding")))
         out = _emit(best, qs["query_id"].tolist())
         if len(out):
@@ -209,8 +214,8 @@ def knn_within(
     before, by (that column, id), are neighbours. Each task returns at most ``k`` rows per row of its block.
     """
     scope = list(scope or [])
-    r = rows.filter(F.col("embedding").isNotNull())
-    r = r.select("id", "embedding", *scope, (F.col(earlier_by) if earlier_by else F.lit(0)).cast("bigint").alias("_t"))
+    when = (F.col(earlier_by) if earlier_by else F.lit(0)).cast("bigint").alias("_t")
+    r = materialize(rows.select("id", "embedding", *scope, when)).filter(F.col("embedding").isNotNull())
     left, right, keys = _block_pairs(r, ["id", "embedding", "_t"], block_rows, scope)
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
