@@ -37,7 +37,7 @@ def hash_embedding(text: Column, dim: int = 1024) -> Column:
         words = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
         dims, signs = _dims_and_signs(words.dictionary.to_pylist(), dim)
         codes = words.indices.to_numpy(zero_copy_only=False)
-        sums = np.bincount(rows * dim + dims[codes], weights=signs[codes], minlength=len(found) * dim)
+        sums = np.bincount(rows * dim + dims[codes], weights=signs[codes], minlength=len(found) * dim).astype(np.float64)
         out = sums.reshape(len(found), dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norms, out=out, where=norms > 0)

@@ -157,11 +157,11 @@ def _topk_broadcast(c: DataFrame, pdf: pd.DataFrame, k: int, schema: str) -> Dat
 def _topk_blocks(c: DataFrame, q: DataFrame, k: int, schema: str) -> DataFrame:
     q_blocks = -(-q.count() // BLOCK_ROWS)
     c_blocks = max(1, -(-c.count() // BLOCK_ROWS))
-    qx = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
+    qx = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
         "_cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
     )
     cx = c.withColumn("_cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int")).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint")
+        "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
