@@ -13,7 +13,7 @@ from memspark.functions import text as tx
 from memspark.functions.time import age_days, half_life, micros, whole_days
 from memspark.operators import filters as fl
 from memspark.operators.cluster import dedupe_vectors, star_clusters
-from memspark.operators.ordered import row_numbers
+from memspark.operators.ordered import meet, row_numbers
 from memspark.session import materialize
 
 # Windows, thresholds and weights.
@@ -100,7 +100,7 @@ def rem(memories: DataFrame, signals: DataFrame, runs: DataFrame | None, as_of:
     ordered = materialize(in_creation_order(rows.select("id", "created_at", "tags")))
     clusters = materialize(star_clusters(ordered))
     summary = materialize(cluster_summary(clusters, ordered, min_size))
-    members = clusters.join(F.broadcast(summary) if summary.count() < 100_000 else summary, "seed")
+    members = meet(clusters, summary, ["seed"], F.col("id"))
     fresh = not_signalled_today(members, signals, "rem", as_of)
     new = fresh.select(
         F.col("id").alias("memory_id"), F.lit("rem").alias("phase"), F.lit(REM_BOOST).alias("boost"),

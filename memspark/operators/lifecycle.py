@@ -11,6 +11,8 @@ from memspark.functions import lexicons as lx
 from memspark.functions import text as tx
 from memspark.functions.time import age_days, clamp
 from memspark.operators import filters as fl
+from memspark.operators.ordered import meet
+from memspark.session import materialize
 
 # Fixed values.
 ARCHIVE_BELOW = 0.15
@@ -187,8 +189,9 @@ def review_noise(rows: DataFrame, scorer: Scorer = rule_scorer, tag: str = REVIE
     pending = rows.filter(~F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), tag))
     hashed = pending.withColumn("content_hash", F.sha2("content", 256))
     texts = hashed.groupBy("content_hash").agg(F.first("content").alias("content"), F.min("source").alias("source"))
-    verdict = scorer(texts)
-    out = hashed.join(verdict, "content_hash")
+    verdict = materialize(scorer(texts))
+    # One text may be on a large share of the rows.
+    out = meet(hashed, verdict, ["content_hash"], F.col("id"))
     return out.withColumns(
         {
             "status": F.when(F.col("keep"), F.col("status")).otherwise("discarded"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memspark.session import materialize
+from memspark.session import materialize, small_enough
 
 CHUNK = "_chunk"
 POS = "_pos"
@@ -80,15 +80,26 @@ def running_sum(
     return out.withColumn(name, F.col("_here") + F.col("_offset")).drop("_here", "_offset", "_value", CHUNK, POS)
 
 
-def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, salts: int = 16) -> DataFrame:
-    """Inner join where a key of ``big`` may hold a large share of its rows.
+# Lookup tables up to this many rows are broadcast (a few MB).
+BROADCAST_ROWS = 100_000
+
+
+def meet(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Join on a key that may be hot in ``big``: the other side is broadcast if its counted size allows, else salted."""
+    if small_enough(small, bound):
+        return big.join(F.broadcast(small), list(on), how)
+    return join_hot(big, small, on, spread, how=how)
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Inner or left join where a key of ``big`` may hold a large share of its rows.
 
     ``small`` holds few rows per key. The rows of ``big`` are spread over ``salts`` sub-keys by the hash of
     ``spread`` and ``small`` is repeated once per sub-key, so no key lands in a single task.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def key_segments(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int, str]]:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 from memspark.functions import text as tx
 from memspark.functions import vectors as vec
 from memspark.operators.filters import top_per_group
-from memspark.operators.ordered import join_hot
+from memspark.operators.ordered import meet
 from memspark.operators.similarity import vector_topk
 from memspark.session import materialize, small_enough
 
@@ -37,10 +37,7 @@ def _in_scope(hits: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _meet(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column) -> DataFrame:
-    """Join on a key that may be hot in ``big``; the small side is broadcast when its size allows."""
-    if small_enough(small, BROADCAST_ROWS):
-        return big.join(F.broadcast(small), list(on))
-    return join_hot(big, small, on, spread)
+    return meet(big, small, on, spread, bound=BROADCAST_ROWS)
 
 
 # --- Full text ----------------------------------------------------------------------------------------
@@ -112,13 +109,15 @@ def _cover_density(positions: pa.Array) -> pa.Array:
 
 
 def search_fulltext(
-    corpus: DataFrame, queries: DataFrame, k: int, match: str = "all", ranker: str = "bm25", scopes: Sequence[str] = ()
+    corpus: DataFrame, queries: DataFrame, k: int, match: str = "all", ranker: str = "bm25", scopes: Sequence[str] = (),
+    digits: int = 9,
 ) -> DataFrame:
     """Ranked full-text hits: (query_id, id, score, rank).
 
     ``corpus`` has id and tokens; ``queries`` has query_id and text. With ``match='all'`` a row must hold every
     token of the query, and only the rows of the query's rarest token are looked at. Columns named in ``scopes``
-    must agree where the query sets them. Ranking is BM25 with statistics of the given corpus, or cover density.
+    must agree where the query sets them. Ranking is BM25 with statistics of the given corpus, or cover density; scores
+    equal to ``digits`` decimals count as ties and go by id.
     """
     if ranker not in ("bm25", "cover_density"):
         raise ValueError(f"unknown ranker {ranker}")
@@ -159,7 +158,7 @@ def search_fulltext(
         score = F.aggregate(F.transform(found, gain), F.lit(0.0), lambda a, b: a + b)
     else:
         score = _cover_density(F.transform(found, lambda t: F.element_at("uses", t["term"])))
-    scored = hits.select("query_id", "id", F.round(score, 9).alias("score"))
+    scored = hits.select("query_id", "id", F.round(score, digits).alias("score"))
     return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 

@@ -147,12 +147,12 @@ def timestamps(t: Tables) -> DataFrame:
     return t.feed().select("event_id", F.coalesce(F.unix_micros(parsed.cast("timestamp")), F.lit(-1)).alias("us"))
 
 
-@query("t11_source_ids", "SELECT collection, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR)) AS ids FROM doc_collection_old WHERE quality = 1 GROUP BY collection")
+@query("t11_source_ids", "SELECT doc_id, doc_id || '|x' || n_chars || '|' || source AS ids FROM documents")
 def sources(t: Tables) -> DataFrame:
-    """Ids written into an entry's text and read back."""
-    ids = t.doc_collection_old().filter("quality = 1").groupBy("collection").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("i"))
-    text = F.concat(F.lit("intro\n来源记忆 ("), F.size("i"), F.lit("): "), F.array_join("i", ", "), F.lit("\nend"))
-    return ids.select("collection", F.array_join(tx.source_ids(text), "|").alias("ids"))
+    """Three ids written on the source line of a text, and read back."""
+    ids = F.concat_ws(", ", "doc_id", F.concat(F.lit("x"), "n_chars"), "source")
+    text = F.concat(F.col("text"), F.lit("\n来源记忆 (3): "), ids, F.lit("\nend"))
+    return t.raw("documents").select("doc_id", F.array_join(tx.source_ids(text), "|").alias("ids"))
 
 
 @query("t12_graph_label", """SELECT page_id, CASE WHEN s = '' THEN '?' ELSE s END AS label FROM (SELECT page_id, trim(replace(translate(regexp_extract(html, '<h1>([^<]*)</h1>', 1) || '[' || url || '|' || chr(34), '"[]|', '''()/'), chr(10), ' ')) AS s FROM pages)""")

@@ -243,10 +243,10 @@ def file_links(t: Tables) -> DataFrame:
     from memspark.sources.files import link_files
 
     files = t.doc_collection().select("path", F.col("doc_id").cast("string").alias("memory_id"))
-    m = fl.active(t.memories_base()).select("id", F.col("type").alias("qmd_path"))
+    m = fl.active(t.memories_base()).select("id", F.col("type").alias("document_path"))
     j = link_files(files, m)
-    found = F.col("qmd_path").isNotNull()
-    return j.select("path", F.when(found, F.col("memory_id")).otherwise("").alias("memory_id"), F.coalesce("qmd_path", F.lit("")).alias("type"))
+    found = F.col("document_path").isNotNull()
+    return j.select("path", F.when(found, F.col("memory_id")).otherwise("").alias("memory_id"), F.coalesce("document_path", F.lit("")).alias("type"))
 
 
 @query("j10_scoped_merge", """WITH mem AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY m.importance DESC, m.id) AS r FROM queries q

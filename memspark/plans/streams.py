@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.time import micros
 from memspark.operators import affect as af
+from memspark.operators.ordered import meet
 from memspark.plans.moods import FEED, FOLD, KINDS, six
 from memspark.plans.registry import query
 from memspark.plans.views import Tables
@@ -155,7 +156,7 @@ def distinct_texts(t: Tables) -> DataFrame:
     """Each distinct text is scored once, the score joined back to its copies."""
     d = t.raw("documents").withColumn("content_hash", F.sha2("text", 256))
     scored = d.groupBy("content_hash").agg(F.first("text").alias("text")).select("content_hash", F.length("text").alias("chars"))
-    return d.select("content_hash").join(scored, "content_hash").groupBy("content_hash").agg(F.count("*").alias("copies"), F.max("chars").alias("chars"))
+    return meet(d.select("doc_id", "content_hash"), scored, ["content_hash"], F.col("doc_id")).groupBy("content_hash").agg(F.count("*").alias("copies"), F.max("chars").alias("chars"))
 
 
 @query("d06_distinct_texts_stream", "SELECT DISTINCT sha256(event_type || ':' || user_id) AS content_hash FROM events")

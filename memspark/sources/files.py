@@ -158,7 +158,7 @@ def diff_files(current: DataFrame, state: DataFrame) -> DataFrame:
 
 def link_files(files: DataFrame, memories: DataFrame) -> DataFrame:
     """File rows with the memory (and its document path) each of them produced."""
-    m = memories.select(F.col("id").alias("memory_id"), "qmd_path")
+    m = memories.select(F.col("id").alias("memory_id"), "document_path")
     return files.join(m, "memory_id", "left")
 
 
