@@ -339,12 +339,12 @@ def search_any_token(docs: DataFrame, queries: DataFrame, limit: int, offset: in
     page = top_per_group(hits, ["query_id"], [F.col("hits").desc(), F.col("id")], offset + limit)
     ranked = page.join(totals, "query_id")
 
-    blank = asked.filter(F.size("toks") == 0).select("query_id")
-    head = docs.select("id").orderBy("id").limit(offset + limit)
-    numbered = head.agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.posexplode("ids").alias("at", "id"))
-    first = numbered.select("id", F.lit(0).cast("bigint").alias("hits"), (F.col("at") + 1).alias("rank"))
-    everything = blank.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one")
-    everything = everything.drop("_one").withColumn("total", docs.agg(F.count("*")).scalar())
+    # A blank query lists the documents by id; the head of that list is the same for all of them.
+    head = docs.select("id").orderBy("id").limit(offset + limit).agg(F.sort_array(F.collect_list("id"))).scalar()
+    blank = asked.filter(F.size("toks") == 0).select("query_id", head.alias("_ids"))
+    everything = blank.select("query_id", F.posexplode("_ids").alias("_at", "id")).select(
+        "query_id", "id", F.lit(0).cast("bigint").alias("hits"), (F.col("_at") + 1).alias("rank"), docs.agg(F.count("*")).scalar().alias("total")
+    )
     return ranked.unionByName(everything).filter(F.col("rank") > offset)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.filters import top_per_group
+from memspark.operators.ordered import meet
 from memspark.session import materialize
 
 # Queries up to this many are sent to every task as one matrix (at 1024 dimensions: 16 MB).
@@ -189,7 +190,8 @@ def _block_pairs(rows: DataFrame, cols: list[str], block_rows: int, scope: list[
     keys = list(scope or [])
     if keys:
         n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-        rows = rows.join(n, keys).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int")).drop("_n")
+        # One scope may hold a large share of the rows.
+        rows = meet(rows, n, keys, F.col("id")).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int")).drop("_n")
     else:
         rows = rows.withColumn("_blocks", F.lit(max(1, -(-rows.count() // block_rows))))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))

@@ -53,3 +53,14 @@ def test_entry(spark):
 def test_every_name_has_a_survey_id():
     assert all(re.match(r"^(i|p|j|s|v|a|w|l|o|c|e|g|t|k|d|u)\d\d_[a-z0-9_]+$", n) for n in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["s02_vector_search", "s06_any_token_search", "p02_substring_search", "j03_scoped_earlier_neighbours", "g02_best_match_neighbours", "k02_prompts"])
+def test_plans_have_no_cross_join_and_no_row_udf(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"))
+
+
+def test_scan_reads_only_what_is_asked(spark):
+    plan = entry.queries()["p01_scope_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan and "EqualTo(lang,en)" in plan
