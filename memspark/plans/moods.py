@@ -239,7 +239,7 @@ def mood_provider(t: Tables) -> DataFrame:
 
 MENTIONS = """prefs(name, category, kw) AS (VALUES ('ing', 'topic', ['ing', 'und']), ('ment', 'work_style', ['ment']), ('eau', 'interest', ['eau', 'oup']), ('never', 'value', ['zzzzzz'])),
     men AS (SELECT p.name, c.conv_id, c.turn, left(c.text, 20) AS ex FROM conversations c JOIN prefs p ON len(list_filter(p.kw, lambda k: contains(lower(c.text), k))) > 0),
-    sc AS (SELECT p.name, p.category, count(m.name) AS mention_count, greatest(0, least(0.99, 0.3 + 0.08 * count(m.name)) - 0.01 * 30) AS score, max((m.conv_id, m.turn)) AS last FROM prefs p LEFT JOIN men m ON m.name = p.name GROUP BY ALL)"""
+    sc AS (SELECT p.name, p.category, count(m.name) AS mention_count, greatest(0e0, least(0.99e0, 0.3e0 + 0.08e0 * count(m.name)) - 0.01e0 * 30) AS score, max((m.conv_id, m.turn)) AS last FROM prefs p LEFT JOIN men m ON m.name = p.name GROUP BY ALL)"""
 
 
 @query("a13_preference_scores", f"WITH {MENTIONS} SELECT name, category, mention_count, round(score, 6) AS score, CASE WHEN mention_count > 0 THEN CAST(last[1] AS VARCHAR) || ':' || CAST(last[2] AS VARCHAR) ELSE '' END AS last_seen FROM sc")
@@ -257,7 +257,7 @@ def examples(t: Tables) -> DataFrame:
     return p.select("name", F.array_join("examples", " | ").alias("examples"))
 
 
-@query("a14_preference_summary", f"""WITH {MENTIONS.replace(' - 0.01 * 30', '')}
+@query("a14_preference_summary", f"""WITH {MENTIONS.replace(' - 0.01e0 * 30', '')}
     SELECT category, name, round(score, 2) AS score, mention_count, row_number() OVER (PARTITION BY category ORDER BY score DESC, name) AS place, row_number() OVER (ORDER BY score DESC, name) <= 3 AS is_top FROM sc WHERE score >= 0.3""")
 def preference_summary(t: Tables) -> DataFrame:
     return pr.preference_summary(pr.preferences(t.chat(), "text", ["conv_id", "turn"], PREFS))

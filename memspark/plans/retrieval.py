@@ -40,14 +40,15 @@ def vector(t: Tables) -> DataFrame:
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "score", "rank")
 
 
-HYBRID_SQL = """SELECT query_id, id, round(rrf_score, 6) AS rrf_score, bm25_rank, vector_rank, position
+HYBRID_SQL = """SELECT query_id, id, round(rrf_score, 6) AS rrf_score, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, position
        FROM fused WHERE position <= 10"""
 
 
 @query("s04_hybrid_search", HYBRID_SQL)
 def hybrid(t: Tables) -> DataFrame:
     hits = se.hybrid_search(searchable(t, vectors=True), t.queries(), limit=10, pool=50)
-    return hits.select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "bm25_rank", "vector_rank", "position")
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "vector_rank")]
+    return hits.select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), *ranks, "position")
 
 
 @query("j01_rank_fusion_join", "SELECT query_id, id, round(rrf_score, 6) AS rrf_score, bm25_rank, vector_rank FROM fused WHERE bm25_rank IS NOT NULL AND vector_rank IS NOT NULL")
@@ -60,14 +61,15 @@ def fusion_join(t: Tables) -> DataFrame:
 
 @query(
     "s03_rank_fusion",
-    """SELECT query_id, id, round(rrf_score, 6) AS rrf_score, bm25_rank, round(bm25_score, 6) AS bm25_score, vector_rank,
-         round(vector_distance, 6) AS vector_distance, position FROM fused""",
+    """SELECT query_id, id, round(rrf_score, 6) AS rrf_score, coalesce(bm25_rank, 0) AS bm25_rank, round(coalesce(bm25_score, -1), 6) AS bm25_score,
+         coalesce(vector_rank, 0) AS vector_rank, round(coalesce(vector_distance, -1), 6) AS vector_distance, position FROM fused""",
 )
 def fusion(t: Tables) -> DataFrame:
     hits = se.hybrid_search(searchable(t, vectors=True), t.queries(), limit=None, pool=50)
     return hits.select(
-        "query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"),
-        "vector_rank", F.round("vector_distance", 6).alias("vector_distance"), "position",
+        "query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "position",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "vector_rank")],
+        *[F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ("bm25_score", "vector_distance")],
     )
 
 
