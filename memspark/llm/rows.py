@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memspark.llm.vocab import slices
-from memspark.session import materialize
+from memspark.session import _ensure_checkpoint_dir, materialize
 
 #: A key with at least this many rows may be hot; see ``attach``.
 HOT_ROWS = 2_000
@@ -69,6 +70,14 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder that the session names in ``spark.checkpoint.dir``, and read again."""
+    _ensure_checkpoint_dir(df.sparkSession)
+    place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
     return materialize(df)
