@@ -12,18 +12,25 @@ from memspark.llm.rows import written
 ORACLE_SQL = None
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one struct, so that their names meet no operator's."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("__rest"))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the character models accept as one of the languages they learned from this table's labels."""
+    """Documents whose text the character models accept as one of the languages they learned from this table's labels.
+
+    A null text, or one without a letter, is no language and goes.
+    """
     fold = language_id.fold("doc_id")
     identifier = language_id.train(docs.filter(F.col("lang").isNotNull() & (fold != 2)), "text", "lang", fold == 3)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return language_id.predict(docs, identifier, keep=others).filter("accepted").select(*docs.columns)
+    made = language_id.predict(_wrapped(docs), identifier, keep=("text", "__rest")).filter("accepted")
+    return made.select("doc_id", "text", "__rest.*").select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten of them or more share."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    made = line_dedup.line_dedup(docs, keep=others).withColumnRenamed("kept_text", "text")
+    made = line_dedup.line_dedup(_wrapped(docs), keep=("__rest",)).select("doc_id", F.col("kept_text").alias("text"), "__rest.*")
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
