@@ -13,7 +13,7 @@ INDEX_ROWS, QUERY_ROWS = 16_384, 1_024
 #: Slices of an attribute that are indexed: its highest bits. The bits below them widen the boundary.
 SLICES = 6
 #: Bits of a query's weight that are multiplied; the rest widens the boundary too.
-WEIGHT_BITS = 5
+WEIGHT_BITS = 7
 
 
 class SlicedIndex:
@@ -42,7 +42,7 @@ class SlicedIndex:
         return packed.view(np.uint64)
 
     def _add(self, query: np.ndarray) -> tuple[list[np.ndarray], float]:
-        """(Slices of an approximate score in units, lowest first; how far a score in units can be off to either side).
+        """(Slices of an approximate score in units, lowest first; how much the exact score can gain on it, most less least).
 
         The score is sum q * x. A positive weight adds its attribute's h, a negative one adds the complement, so that all
         terms add up. Weights are cut to ``WEIGHT_BITS`` bits; what the cuts leave out is bounded by the attribute's span.
@@ -57,8 +57,8 @@ class SlicedIndex:
                 if weight[d] >> j & 1:
                     for k in range(len(own)):
                         columns.setdefault(j + k, []).append(own[k])
-        # |q| r is below |q| << shift; the cut of the weight is off by |size - weight unit| for each unit of h.
-        off = float((size[self.shift > 0]).sum() / unit + (np.abs(size / unit - weight) * self.top).sum()) + 1e-6 * (weight * self.top).sum()
+        # In units, the exact score has more: |q| r, from 0 to |q| ((1 << shift) - 1), and the cut of the weight for each h.
+        off = float((np.abs(query) * (np.exp2(self.shift) - 1)).sum() / unit + (np.abs(size / unit - weight) * self.top).sum()) * (1 + 1e-9)
         sums, at = [], 0
         stacks = {w: np.stack(v) for w, v in columns.items()}
         while stacks:
@@ -94,7 +94,7 @@ class SlicedIndex:
             else:
                 sure, found = sure | with_bit, found + n
                 still = still & ~sums[j]
-        least = kth - 2 * int(np.ceil(off)) - 1
+        least = kth - int(np.ceil(off)) - 1
         return np.flatnonzero(np.unpackbits(self._at_least(sums, least).view(np.uint8), bitorder="little", count=self.rows))
 
     def _at_least(self, sums: list[np.ndarray], least: int) -> np.ndarray:
