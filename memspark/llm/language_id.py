@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,9 @@ LEAST_SPREAD = 0.25
 #: Texts of less than so many characters teach nothing about a language's spread.
 SHORT = 200
 
+#: Words whose costs a task remembers.
+CACHE_WORDS = 250_000
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 START, END = 1, 2
@@ -201,13 +205,13 @@ class Scorer:
         self.known = np.zeros((1, len(models) + 1), dtype=np.float32)  # row 0: no word
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.row) > vocab.CACHE_WORDS:
+        if len(self.row) > CACHE_WORDS:
             self.row.clear()
             self.known = self.known[:1]
         start = len(self.known)
         made = [self.known]
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
+        for i in range(0, len(new), 10_000):
+            some = new[i : i + 10_000]
             made.append(np.column_stack([*(m.costs(some) for m in self.models), [len(w) + 1 for w in some]]).astype(np.float32))
         self.known = np.concatenate(made)
         self.row |= zip(new, range(start, len(self.known)), strict=True)
@@ -217,7 +221,7 @@ class Scorer:
         distinct, index, first = vocab.units(texts)
         found = [words(u) for u in distinct]
         wanted = {w for ws in found for w in ws}
-        if len(self.row) + len(wanted) > vocab.CACHE_WORDS:
+        if len(self.row) + len(wanted) > CACHE_WORDS:
             self.row.clear()
             self.known = self.known[:1]
         if new := [w for w in wanted if w not in self.row]:
@@ -308,13 +312,16 @@ def predict(docs: DataFrame, identifier: Identifier, key: str = "doc_id", text:
     made = T._parse_datatype_string("lang_pred string, score double, cross_entropy double, accepted boolean").fields
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in names), *made])
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
+    passes = text in names and docs.schema[text].dataType == T.StringType()
+    at = names.index(text) if passes else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared.value
         scorer = Scorer(one.models)
         for batch in batches:
             done = 0
-            for texts in vocab.slices(batch.column(len(names))):
+            # The text may be among the columns that pass; it is sent once then.
+            for texts in vocab.slices(pc.fill_null(batch.column(at), "")):
                 own = [c.slice(done, len(texts)) for c in batch.columns[: len(names)]]
                 done += len(texts)
                 if one.languages:
@@ -328,7 +335,7 @@ def predict(docs: DataFrame, identifier: Identifier, key: str = "doc_id", text:
                     pred, score, low, n, good = [UNKNOWN] * len(texts), *(np.zeros(len(texts)) for _ in range(3)), np.zeros(len(texts), bool)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score), pa.array(low, mask=n == 0), pa.array(good)], names=schema.names)
 
-    return docs.select(*names, whole(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, *([] if passes else [whole(text).alias("__text")])).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

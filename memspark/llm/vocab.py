@@ -14,8 +14,8 @@ import pyarrow as pa
 #: Units and words at least this long are not remembered, so that a cache entry is small.
 LONG_UNIT = 64
 #: A cache is emptied beyond so many entries: memory is bounded, results are the same.
-CACHE_UNITS = 600_000
-CACHE_WORDS = 700_000
+CACHE_UNITS = 300_000
+CACHE_WORDS = 600_000
 
 #: White space that cuts a text; a subset of what the tokenizers take as white space.
 _SPACE = np.zeros(256, dtype=bool)
