@@ -132,9 +132,11 @@ def redact(c: Column) -> Column:
     return collapse_spaces(s)
 
 
-def clean_control(c: Column, limit: int = 8000) -> Column:
+def clean_control(c: Column, limit: int | None = None) -> Column:
+    """Control characters as blanks, some removed; the first ``limit`` characters, or all."""
     s = F.regexp_replace(c, "[\\x00\\uffff]", "")
-    return F.substring(F.regexp_replace(s, "[\\x01-\\x08\\x0B\\f\\x0E-\\x1F]", " "), 1, limit)
+    s = F.regexp_replace(s, "[\\x01-\\x08\\x0B\\f\\x0E-\\x1F]", " ")
+    return s if limit is None else F.substring(s, 1, limit)
 
 
 def token_estimate(c: Column) -> Column:

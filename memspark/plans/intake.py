@@ -97,7 +97,7 @@ def event_log(t: Tables) -> DataFrame:
 @query("i09_workspace_index", """WITH f AS (SELECT *, string_split(content, chr(10)) AS ls, CASE lang WHEN 'en' THEN 'project' ELSE 'rule' END AS category FROM workspace WHERE lang IN ('en', 'fr') AND path NOT LIKE '%/README.md'),
     x AS (SELECT *, list_filter(list_transform(ls, lambda l: trim(l)), lambda l: NOT starts_with(l, '#') AND length(l) > 10)[1] AS long_line, list_filter(ls, lambda l: starts_with(l, '# '))[1] AS head FROM f)
     SELECT path, coalesce(trim(substr(head, 3)), 'D ' || doc_id) AS title, coalesce(left(long_line, 200), coalesce(trim(substr(head, 3)), 'D ' || doc_id)) AS summary, category, source AS subcategory,
-      length(left(content, 10000)) AS size, array_to_string(list_sort(list_distinct(list_concat([category], (regexp_extract_all(content, '#([\\p{L}\\p{N}_][\\p{L}\\p{N}_-]*)', 1))[1:5]))), ',') AS tags FROM x""")
+      length(content) AS size, array_to_string(list_sort(list_distinct(list_concat([category], (regexp_extract_all(content, '#([\\p{L}\\p{N}_][\\p{L}\\p{N}_-]*)', 1))[1:5]))), ',') AS tags FROM x""")
 def workspace(t: Tables) -> DataFrame:
     w = fi.index_workspace(t.workspace().select("path", "content"))
     return w.select("path", "title", "summary", "category", "subcategory", F.length("content").alias("size"), F.array_join(F.array_sort("tags"), ",").alias("tags"))

@@ -113,7 +113,7 @@ def redacted(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.md5(r).alias("redacted_md5"), F.contains(r, F.lit("***")).alias("masked"))
 
 
-@query("t06_clean_control", "SELECT page_id, md5(left(regexp_replace(html || chr(7) || 'x', '[\\x01-\\x08\\x0B\\f\\x0E-\\x1F]', ' ', 'g'), 8000)) AS clean_md5 FROM pages")
+@query("t06_clean_control", "SELECT page_id, md5(regexp_replace(html || chr(7) || 'x', '[\\x01-\\x08\\x0B\\f\\x0E-\\x1F]', ' ', 'g')) AS clean_md5 FROM pages")
 def clean(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", F.md5(tx.clean_control(F.concat("html", F.lit("\x07x")))).alias("clean_md5"))
 

@@ -187,7 +187,7 @@ def read_knowledge(documents: DataFrame) -> DataFrame:
         ).otherwise(F.struct(F.lit(False).alias("open"), a["s"].alias("s"), a["n"].alias("n"))),
     )
     # The blank line after the title stands before the quote.
-    d = d.withColumn("_rest", F.when(F.get("_rest", F.lit(0)) == "", F.slice("_rest", 2, 1_000_000)).otherwise(F.col("_rest")))
+    d = d.withColumn("_rest", F.when(F.get("_rest", F.lit(0)) == "", F.slice("_rest", F.lit(2), F.size("_rest"))).otherwise(F.col("_rest")))
     d = d.withColumn("_o", opening)
     content = tx.strip(F.array_join(F.slice("_rest", F.col("_o.n") + 1, F.greatest(F.lit(0), F.size("_rest"))), "\n"))
     fields = "_m.fields"

@@ -32,7 +32,7 @@ def scan_files(
         reader = reader.option("pathGlobFilter", patterns[0])
     files = reader.load(list(roots)).withColumn("name", F.element_at(F.split("path", "/"), -1))
     wanted = "|".join(fnmatch.translate(p) for p in patterns).replace("\\Z", "$").replace("\\z", "$")
-    files = files.filter(F.col("name").rlike(wanted))
+    files = files.filter(F.col("name").rlike(f"^(?:{wanted})$"))
     for folder in exclude:
         files = files.filter(~F.col("path").rlike(f"/{re.escape(folder)}(/|$)"))
     return files
@@ -220,7 +220,7 @@ def chunk_rows(new: DataFrame, source: str, prefix: str = "chunk_hash:", user_id
     )
 
 
-def index_workspace(files: DataFrame, folders: Mapping[str, str] = lx.WATCHED_FOLDERS) -> DataFrame:
+def index_workspace(files: DataFrame, folders: Mapping[str, str] = lx.WATCHED_FOLDERS, content_limit: int | None = None) -> DataFrame:
     """Markdown files (path, content) of the watched top folders: category, subcategory, title, summary, tags, text."""
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
@@ -238,7 +238,7 @@ def index_workspace(files: DataFrame, folders: Mapping[str, str] = lx.WATCHED_FO
     found = F.regexp_extract_all("content", F.lit("#([\\p{L}\\p{N}_][\\p{L}\\p{N}_-]*)"), F.lit(1))
     return f.select(
         "path", title.alias("title"), F.coalesce(F.substring(F.get(long_lines, F.lit(0)), 1, 200), title).alias("summary"),
-        F.substring("content", 1, 10_000).alias("content"), "category",
+        (F.col("content") if content_limit is None else F.substring("content", 1, content_limit)).alias("content"), "category",
         F.when(F.size(parts) > 2, parts[1]).otherwise(F.col("category")).alias("subcategory"),
         F.array_distinct(F.concat(F.array("category"), F.slice(found, 1, 5))).alias("tags"),
     )
