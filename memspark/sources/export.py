@@ -10,7 +10,7 @@ from memspark.functions import text as tx
 from memspark.functions.time import micros
 from memspark.operators import filters as fl
 from memspark.operators.ordered import row_numbers
-from memspark.sources.files import FRONT, front_matter
+from memspark.sources.files import FRONT, with_front_matter
 
 MIN_IMPORTANCE = 0.6
 
@@ -169,7 +169,7 @@ def read_knowledge(documents: DataFrame) -> DataFrame:
     text = F.col("text")
     front = F.when(text.rlike(FRONT), F.regexp_extract(text, FRONT, 1))
     body = F.regexp_replace(F.regexp_replace(text, FRONT, ""), "(?s)\\r?\\n---\\r?\\n\\r?\\nTags:.*\\z", "")
-    d = documents.withColumn("_m", front_matter(front)).withColumn("_lines", tx.lines(body))
+    d = with_front_matter(documents, "_m", front).withColumn("_lines", tx.lines(body))
     stripped = F.transform("_lines", tx.strip)
     heads = F.transform(stripped, lambda s: s.startswith("# "))
     at = F.array_position(heads, F.lit(True))

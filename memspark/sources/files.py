@@ -8,6 +8,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +17,6 @@ from memspark.functions import lexicons as lx
 from memspark.functions import text as tx
 from memspark.functions.time import clamp
 
-try:
-    import yaml
-except ImportError:  # front matter then falls back to plain "key: value" lines
-    yaml = None
-
 
 def scan_files(
     spark: SparkSession, roots: Sequence[str], patterns: Sequence[str] = ("*.md",), exclude: Sequence[str] = ()
@@ -48,54 +44,41 @@ _FRONT_TYPE = T.StructType(
         T.StructField("valid", T.BooleanType()),
         T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
         T.StructField("tags", T.ArrayType(T.StringType())),
+        T.StructField("joined", T.BooleanType()),
         T.StructField("importance", T.DoubleType()),
     ]
 )
 
 
-def _load_mapping(raw: str) -> dict | None:
-    if yaml is not None:
-        try:
-            loaded = yaml.safe_load(raw)
-        except yaml.YAMLError:
-            return None
-        return loaded if isinstance(loaded, dict) else {}
-    pairs = (line.partition(":") for line in raw.splitlines() if ":" in line and not line.lstrip().startswith("#"))
-    return {k.strip(): v.strip().strip("'\"") for k, _, v in pairs}
+def _front_row(raw: str | None) -> tuple:
+    """A front-matter block as the fields of ``_FRONT_TYPE``: values as text, tags as they are written."""
+    invalid = (False, {}, [], False, None)
+    if raw is None:
+        return invalid
+    try:
+        loaded = yaml.safe_load(raw)
+    except yaml.YAMLError:
+        return invalid
+    mapping = loaded if isinstance(loaded, dict) else {}
+    fields = {str(k): json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else str(v) for k, v in mapping.items() if v is not None}
+    tags, weight = mapping.get("tags"), mapping.get("importance")
+    written = list(map(str, tags)) if isinstance(tags, (list, tuple, set)) else [str(tags)] * (tags is not None)
+    return True, fields, written, isinstance(tags, str), float(weight) if type(weight) in (int, float) else None
+
 
+def with_front_matter(df: DataFrame, name: str, block: Column) -> DataFrame:
+    """Adds ``name``, a front-matter text as struct(valid, fields, tags, joined, importance). YAML has no built-in reader in Spark.
 
-def _front_row(raw: str | None) -> dict:
-    empty = {"valid": False, "fields": {}, "tags": [], "importance": None}
-    if raw is None:
-        return empty
-    mapping = _load_mapping(raw)
-    if mapping is None:
-        return empty
-    tags = mapping.get("tags")
-    if isinstance(tags, str):
-        tags = [t for t in re.split(r"[,\s]+", tags.strip()) if t]
-    elif isinstance(tags, (list, tuple, set)):
-        tags = [str(t).strip() for t in tags if str(t).strip()]
-    else:
-        tags = [] if tags is None else [str(tags).strip()]
-    number = mapping.get("importance")
-    number = float(number) if isinstance(number, (int, float)) and not isinstance(number, bool) else None
-    fields = {
-        str(k): (json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else str(v))
-        for k, v in mapping.items()
-        if v is not None
-    }
-    return {"valid": True, "fields": fields, "tags": tags, "importance": number}
-
-
-def front_matter(block: Column) -> Column:
-    """Front-matter text to struct(valid, fields, tags, importance). YAML has no built-in reader in Spark."""
+    Tags written as one string (``joined``) are split, listed ones stripped.
+    """
 
     @F.pandas_udf(_FRONT_TYPE)
     def read(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_front_row(r) for r in raw], columns=["valid", "fields", "tags", "importance"])
+        return pd.DataFrame([_front_row(r) for r in raw], columns=_FRONT_TYPE.names)
 
-    return read(block)
+    tags = F.when(F.col(f"{name}.joined"), tx.split_tags(F.get(f"{name}.tags", F.lit(0))))
+    listed = F.filter(F.transform(f"{name}.tags", tx.strip), lambda t: t != "")
+    return df.withColumn(name, read(block)).withColumn(name, F.col(name).withField("tags", F.coalesce(tags, listed)))
 
 
 def parse_markdown(df: DataFrame, text: str = "text", stem: Column | None = None) -> DataFrame:
@@ -103,7 +86,7 @@ def parse_markdown(df: DataFrame, text: str = "text", stem: Column | None = None
     all headings, first spelling of each wins."""
     c = F.col(text)
     raw = F.when(c.rlike(FRONT), F.regexp_extract(c, FRONT, 1))
-    parsed = df.withColumn("meta", front_matter(raw)).withColumn("_body", F.regexp_replace(c, FRONT, ""))
+    parsed = with_front_matter(df, "meta", raw).withColumn("_body", F.regexp_replace(c, FRONT, ""))
     headings = F.filter(
         F.transform(F.regexp_extract_all("_body", F.lit(HEADING), F.lit(2)), tx.strip), lambda h: h != ""
     )
