@@ -38,11 +38,15 @@ def _before(keys: Sequence[str]):
 
 
 def _join_chunks(rows: DataFrame, per_chunk: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(per_chunk, [*keys, CHUNK])
+    """Each row with what its group's part in its chunk holds; rows with a null key are a group too."""
+    facts = [c for c in per_chunk.columns if c not in (*keys, CHUNK)]
+    own = per_chunk.select(*[F.col(k).alias(f"_own_{k}") for k in (*keys, CHUNK)], *facts)
+    on = [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in (*keys, CHUNK)]
+    return rows.join(own, on).select(*keys, CHUNK, *[c for c in rows.columns if c not in (*keys, CHUNK)], *facts)
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
-    """1-based position of each row in its group. Equal to ``row_number()``; keys must not be null."""
+    """1-based position of each row in its group. Equal to ``row_number()``; null keys are a group."""
     rows = range_chunks(df, keys, order)
     per_chunk = rows.groupBy(*keys, CHUNK).agg(F.min(POS).alias("_first"), F.count("*").alias("_n"))
     offsets = per_chunk.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")

@@ -30,7 +30,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-def add_sql(name: str, sql: str) -> None:
-    ORACLE[name] = with_views(sql)

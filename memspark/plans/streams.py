@@ -24,6 +24,8 @@ def scratch(t: Tables, name: str) -> str:
     """A folder for the output and checkpoint of one stream, in the cluster's shared folder if it names one."""
     shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         return tempfile.mkdtemp(prefix=f"run-{name}-", dir="/tmp")
     import uuid
 

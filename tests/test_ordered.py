@@ -159,3 +159,14 @@ def test_history_length(spark):
     assert {r["history_count"] for r in h.collect()} == {len(kept)} and {r["id"] for r in h.collect()} == {22, 23, 24}
 
 
+
+
+def test_null_keys_are_a_group(many_chunks):
+    rows = [(k, i) for i in range(40) for k in (None, "a")]
+    df = many_chunks.createDataFrame(rows, "k string, i long").repartition(4)
+    from memspark.operators import ordered
+
+    got = ordered.row_numbers(df, ["k"], ["i"], "nth").collect()
+    assert len(got) == 80 and all(r.nth == r.i + 1 for r in got)
+    back = ordered.with_previous(df, ["k"], ["i"], {"before": "i"}).collect()
+    assert len(back) == 80 and all(r.before == (r.i - 1 if r.i else None) for r in back)
