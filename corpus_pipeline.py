@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import language_id, line_dedup, packing, pii, simhash
+from memspark.llm import language_id, line_dedup, near_text, packing, pii, simhash
 from memspark.llm.rows import written
 
 #: Stages work on rows in memory and on model votes; SQL cannot express them.
@@ -35,8 +35,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by fingerprints of five-word shingles."""
-    return simhash.one_of_each(docs, words=5)
+    """One document of each group of near-duplicates: texts whose five-word shingles are 0.8 alike or more."""
+    return simhash.one_of_each(docs, groups=near_text.near_texts(docs, words=5, similarity=0.8))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

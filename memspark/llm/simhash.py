@@ -211,12 +211,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return out.select(F.col("__key").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, budget: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, budget: int = 3, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row whose ``key`` is the smallest, with all columns.
 
-    The text isn't shuffled while the keys that go can be broadcast. Of several rows of the key that stays, one does.
+    Components are those of ``groups`` (``key``, component_id), or else of fingerprints at most ``budget`` bits apart. The
+    text isn't shuffled while the keys that go can be broadcast. Of several rows of the key that stays, one does.
     """
-    found = kept(near_duplicates(docs, key, text, words, budget))
+    found = kept(near_duplicates(docs, key, text, words, budget) if groups is None else groups)
     stays = F.col(key).eqNullSafe(F.col("component_id"))
     gone = found.filter(~stays).select(key).distinct()
     out = same(docs, gone, [key], "left_anti", broadcast=small_enough(gone, BROADCAST_KEYS))
