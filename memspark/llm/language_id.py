@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from memspark.llm import vocab
-from memspark.llm.rows import whole
+from memspark.llm.rows import light, whole
 
 #: Bounds of what a model is fitted on: rows of each language (chosen by a hash, so in expectation), and different words
 #: over all languages. Neither grows with the corpus; every text is scored whole.
@@ -335,7 +335,7 @@ def predict(docs: DataFrame, identifier: Identifier, key: str = "doc_id", text:
                     pred, score, low, n, good = [UNKNOWN] * len(texts), *(np.zeros(len(texts)) for _ in range(3)), np.zeros(len(texts), bool)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score), pa.array(low, mask=n == 0), pa.array(good)], names=schema.names)
 
-    return docs.select(*names, *([] if passes else [whole(text).alias("__text")])).mapInArrow(run, schema)
+    return light(docs.select(*names, *([] if passes else [whole(text).alias("__text")]))).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

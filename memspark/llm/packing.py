@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from memspark.llm import vocab
 from memspark.llm.codec import codec
-from memspark.llm.rows import whole
+from memspark.llm.rows import light, whole
 
 #: Bits of a sequence's number inside its task; above them stands the task's number.
 TASK_SHIFT = 40
@@ -188,4 +188,4 @@ def pack_documents(
         yield from pieces(0)
 
     silence = F.greatest(F.coalesce(F.col(silent).cast("long"), F.lit(0)), F.lit(0)) if silent else F.lit(0).cast("long")
-    return docs.select(F.col(key), whole(text).alias(text), silence.alias("__silent")).mapInArrow(run, schema)
+    return light(docs.select(F.col(key), whole(text).alias(text), silence.alias("__silent"))).mapInArrow(run, schema)

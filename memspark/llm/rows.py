@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from memspark.llm.vocab import slices
 from memspark.session import _ensure_checkpoint_dir, materialize
 
+#: Bytes of an Arrow batch that goes to Python; texts are taken up a few MB at a time anyway (``vocab.slices``).
+BATCH_BYTES = 8 << 20
 #: A key with at least this many rows may be hot; see ``attach``.
 HOT_ROWS = 2_000
 #: At most so many keys can each hold more than one part in this many of all rows.
@@ -42,7 +44,13 @@ def map_text(df: DataFrame, key: str, text: str, fields: str, work: Callable[[],
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *columns], names=[key, *names])
                 done += len(part)
 
-    return df.select(F.col(key), whole(text).alias(text)).mapInArrow(run, schema)
+    return light(df.select(F.col(key), whole(text).alias(text))).mapInArrow(run, schema)
+
+
+def light(df: DataFrame) -> DataFrame:
+    """``df``, its session set to send Python batches of about ``BATCH_BYTES``, so that few bytes of text wait on either side."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
