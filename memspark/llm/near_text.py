@@ -1,4 +1,4 @@
-"""Near-duplicates by the similarity of their shingles: tries of wide SimHashes, walked table by table, borderline links settled exactly.
+"""Near-duplicates by the similarity of their shingles: tries of wide SimHashes, walked table by table, every link settled exactly.
 
 A similarity of 0.8 is about ten differing bits of 64, a budget with which one trie walk prunes next to nothing. So a
 text has a SimHash of 1024 bits here, and as many tries as the wanted recall takes, each over other bits of it. In each
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -31,12 +32,16 @@ NODE_TEXTS = 256
 PART_TEXTS = 20_000
 #: Share of the pairs at the very threshold that meet under some top node; more similar pairs meet more surely.
 RECALL = 0.98
-#: Standard deviations of the estimate within which a pair is settled by its shingles.
+#: Standard deviations of the estimate within which a pair may be on either side of the threshold.
 DEVIATIONS = 3.0
-#: Spanning forests of border links that a group gives, no link twice: so many links between two parts are settled.
+#: Spanning forests of border links that a group gives at first, no link twice; where one fails, all pairs are compared.
 FORESTS = 4
 #: Border links held in a task before they are cut to spanning forests.
 HELD_LINKS = 1 << 20
+#: Shingles of a part of a group whose sets are compared outright; each pair of parts is one task's work.
+GROUP_SHINGLES = 1 << 20
+#: Pairs of texts, and meetings of a shingle in two texts, counted at once when sets are compared.
+BLOCK_PAIRS = 1 << 20
 #: Keys that are broadcast; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -104,11 +109,11 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the links of ``FORESTS`` spanning forests over the labels, without common links, the closest pairs first."""
+def _forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, forests: int) -> np.ndarray:
+    """Places of the links of ``forests`` spanning forests over the labels, without common links, the closest pairs first."""
     ends = list(zip(label[i].tolist(), label[j].tolist(), strict=True))
     left, taken = np.argsort(d, kind="stable").tolist(), []
-    for _ in range(FORESTS):
+    for _ in range(forests):
         up, over = {}, []
 
         def root(x: int, up: dict = up) -> int:
@@ -128,21 +133,33 @@ def _forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) ->
     return np.array(taken, dtype=np.int64)
 
 
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, sure): links between distinct prints whose sketches say a Jaccard similarity of about ``similarity`` or more.
+@dataclass(frozen=True)
+class Tries:
+    """How many tries there are, how deep they are cut, and which numbers of differing bits are near the threshold."""
 
-    Sure links are beyond the error of the estimate. The others have to be settled; of these each group gives ``FORESTS``
-    spanning forests, closest pairs first, so that a dense group costs rows for each text and not for each pair.
-    """
-    n = prints.count()
+    cut: int
+    tables: int
+    sure: int
+    border: int
+    budget: int
+
+
+def tries(n: int, similarity: float) -> Tries:
+    """The tries for ``n`` prints and a Jaccard similarity of ``similarity``."""
     cut = min(40, max(0, math.ceil(math.log2(max(1, n) / NODE_TEXTS))))
     p = differing(similarity)
     tables = 1 if not cut else math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** cut))
     bits = 64 * WIDTH
     margin = DEVIATIONS * math.sqrt(p * (1 - p) * bits)
-    sure, border = math.floor(p * bits - margin), math.floor(p * bits + margin)
+    border = math.floor(p * bits + margin)
     share, rest = border / bits, 64 - cut
     budget = math.ceil(share * rest + 3.5 * math.sqrt(share * (1 - share) * rest))
+    return Tries(cut, tables, math.floor(p * bits - margin), border, budget)
+
+
+def dealt(prints: DataFrame, by: Tries) -> DataFrame:
+    """(t, node, x, y, second, print, sketch): the texts under each top node of each trie, a wide node as pairs (x, y) of parts."""
+    cut, tables = by.cut, by.tables
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,63 +170,175 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["t", "node", "print", "sketch"])
 
     # Rows of no word have no shingle to share; their one print is linked to none.
-    dealt = prints.filter("print <> 0").select("print", "sketch").mapInArrow(deal, "t int, node long, print long, sketch binary")
-    wide = kept(dealt.groupBy("t", "node").count().filter(F.col("count") > PART_TEXTS))
-    parts = wide.select("t", "node", F.ceil(F.col("count") / PART_TEXTS).cast("long").alias("parts"))
-    few = small_enough(wide, BROADCAST_KEYS)
-    rows = dealt.join(F.broadcast(parts) if few else parts, ["t", "node"], "left")
+    under = prints.filter("print <> 0").select("print", "sketch").mapInArrow(deal, "t int, node long, print long, sketch binary")
+    wide = kept(under.groupBy("t", "node").count().filter(F.col("count") > PART_TEXTS))
+    return paired(under, ["t", "node"], wide.select("t", "node", F.ceil(F.col("count") / PART_TEXTS).cast("long").alias("parts")))
+
+
+def paired(rows: DataFrame, group: list[str], parts: DataFrame) -> DataFrame:
+    """``rows`` with ``x``, ``y`` and ``second``: groups that ``parts`` (``group``, parts) names are cut into pairs (x, y) of parts."""
+    rows = rows.join(F.broadcast(parts) if small_enough(parts, BROADCAST_KEYS) else parts, group, "left")
     mine = F.pmod(F.xxhash64("print"), F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
-    rows = rows.select("t", "node", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-                       (F.col("mine") > F.col("other")).alias("second"), "print", "sketch")
+    rows = rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    return rows.withColumn("second", F.col("mine") > F.col("other")).drop("parts", "mine", "other")
+
+
+def _walked(pdf: pd.DataFrame, by: Tries) -> tuple:
+    """Of a group: prints, sketches as words and places, in the order of the trie, and its close pairs (i, j), some at a time."""
+    words = np.frombuffer(b"".join(pdf["sketch"]), dtype="<u8").reshape(-1, WIDTH)
+    second = pdf["second"].to_numpy(dtype=bool)
+    bits_of = turned(words, int(pdf["t"].iat[0]), by.cut)
+    order = np.lexsort((bits_of, second))
+    words, bits_of, m = words[order], bits_of[order], int((~second).sum())
+    own = pdf["x"].iat[0] == pdf["y"].iat[0]
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in close_pairs(bits_of[:m], None if own else bits_of[m:], by.cut, by.budget):
+            j = j if own else j + m
+            for k in range(0, len(i), 1 << 15):
+                yield i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+
+    return pdf["print"].to_numpy()[order], words, order, pairs()
+
+
+def similar_links(rows: DataFrame, by: Tries) -> DataFrame:
+    """(t, node, x, y, a, b, more): in each group pairs of prints whose sketches say that they may be similar enough.
+
+    All have to be settled by their shingles. Pairs beyond the error of the estimate give one spanning forest, the others
+    ``FORESTS`` between its trees, closest pairs first, so that a dense group costs rows for each text and not for each
+    pair. ``more`` says that the group may have other pairs; they matter only where one of those given fails.
+    """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(pdf["sketch"]), dtype="<u8").reshape(-1, WIDTH)
-        second = pdf["second"].to_numpy(dtype=bool)
-        bits_of = turned(words, int(pdf["t"].iat[0]), cut)
-        by = np.lexsort((bits_of, second))
-        words, bits_of, ids, m = words[by], bits_of[by], pdf["print"].to_numpy()[by], int((~second).sum())
-        own = pdf["x"].iat[0] == pdf["y"].iat[0]
-        label = np.arange(len(ids))
+        ids, words, _, pairs = _walked(pdf, by)
+        label, more = np.arange(len(ids)), False
+        trees, held = [np.zeros((2, 0), dtype=np.int64)], [np.zeros((3, 0), dtype=np.int64)]
         if len(ids) > 64:
-            # What is surely like the text nearest to the middle is one piece; its pairs needn't be looked at.
+            # What seems surely like the text nearest to the middle is one piece; its pairs needn't be looked at.
             share = sum(np.unpackbits(words[i : i + 4096].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(ids), 4096))
             middle = np.packbits(2 * share > len(ids)).view("<u8")
             nearest = int(np.argmin(_apart(words, middle[None, :])))
-            like = np.flatnonzero(_apart(words, words[nearest][None, :]) <= sure)
+            like = np.flatnonzero(_apart(words, words[nearest][None, :]) <= by.sure)
             join_labels(label, np.full(len(like), nearest), like)
-        held = [np.zeros((3, 0), dtype=np.int64)]
-        for i, j in close_pairs(bits_of[:m], None if own else bits_of[m:], cut, budget):
-            j = j if own else j + m
-            for k in range(0, len(i), 1 << 15):
-                a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                open_ = label[a] != label[b]
-                a, b = a[open_], b[open_]
-                d = _apart(words[a], words[b])
-                join_labels(label, a[d <= sure], b[d <= sure])
-                between = (d > sure) & (d <= border)
-                held.append(np.stack([a[between], b[between], d[between]]))
+            like = like[like != nearest]
+            trees.append(np.stack([np.full(len(like), nearest), like]))
+            more = len(like) > 0
+        for a, b in pairs:
+            open_ = label[a] != label[b]
+            more |= not open_.all()
+            a, b = a[open_], b[open_]
+            d = _apart(words[a], words[b])
+            near = d <= by.sure
+            if near.any():
+                i, j = a[near], b[near]
+                tree = _forests(label, i, j, d[near], 1)
+                more |= len(tree) < len(i)
+                trees.append(np.stack([i[tree], j[tree]]))
+                join_labels(label, i, j)
+            between = ~near & (d <= by.border)
+            held.append(np.stack([a[between], b[between], d[between]]))
             if sum(h.shape[1] for h in held) > HELD_LINKS:
                 some = np.concatenate(held, axis=1)
-                held = [some[:, _forests(label, *some)]]
+                held, more = [some[:, _forests(label, *some, FORESTS)]], True
         some = np.concatenate(held, axis=1)
-        some = some[:, _forests(label, *some)]
-        child = np.flatnonzero(label != np.arange(len(ids)))
-        a, b = np.concatenate([ids[label[child]], ids[some[0]]]), np.concatenate([ids[child], ids[some[1]]])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.arange(len(a)) < len(child)})
+        taken = _forests(label, *some, FORESTS)
+        more |= len(taken) < some.shape[1]
+        i, j = np.concatenate([*trees, some[:2, taken]], axis=1)
+        at = {c: np.repeat(pdf[c].iat[0], len(i)) for c in ("t", "node", "x", "y")}
+        return pd.DataFrame({**at, "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "more": np.full(len(i), more)})
 
-    found = rows.groupBy("t", "node", "x", "y").applyInPandas(walk, "a long, b long, sure boolean")
-    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return rows.groupBy("t", "node", "x", "y").applyInPandas(walk, "t int, node long, x long, y long, a long, b long, more boolean")
 
 
-def settled(border: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) of ``border`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def open_texts(rows: DataFrame, by: Tries, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(t, node, x, y, print, part): of the named groups the texts that may be similar enough to one of another component.
 
-    ``docs`` is (__key, __text). Only texts with such a link are read again, and only their hashes are moved; a text with
-    very many links is broadcast instead (see ``attach``).
+    ``roots`` (print, root) are the components so far; a print without is one of its own, and part is its component.
     """
-    ends = kept(border.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("links")))
-    wanted = ends.join(prints.select("print", F.col("least").alias("__key")), "print")
+    key = ["t", "node", "x", "y"]
+    some = rows.join(F.broadcast(groups) if small_enough(groups, BROADCAST_KEYS) else groups, key, "left_semi")
+    some = some.join(roots, "print", "left").withColumn("part", F.coalesce("root", "print")).drop("root")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, words, order, pairs = _walked(pdf, by)
+        part, found = pdf["part"].to_numpy()[order], np.zeros(len(ids), dtype=bool)
+        for a, b in pairs:
+            apart = part[a] != part[b]
+            a, b = a[apart], b[apart]
+            near = _apart(words[a], words[b]) <= by.border
+            found[a[near]] = found[b[near]] = True
+        at = {c: np.repeat(pdf[c].iat[0], int(found.sum())) for c in key}
+        return pd.DataFrame({**at, "print": ids[found], "part": part[found]})
+
+    return some.groupBy(*key).applyInPandas(walk, "t int, node long, x long, y long, print long, part long")
+
+
+def alike(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets whose Jaccard similarity is ``similarity`` or more: a spanning forest of all such pairs over the parts.
+
+    All pairs are counted: shingles of many sets by a product of matrices, the others by the sets that hold them.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(m), sizes)
+    holders = np.bincount(shingle)
+    wide = holders > max(16, m // 4)
+    dense = np.zeros((m, int(wide.sum())), dtype=np.float32)
+    often = wide[shingle]
+    dense[owner[often], (np.cumsum(wide) - 1)[shingle[often]]] = 1
+    owner, shingle = owner[~often], shingle[~often]
+    lists = owner[np.argsort(shingle, kind="stable")]  # the holders of shingle s are at begin[s] up to begin[s] + count[s]
+    count = np.where(wide, 0, holders)
+    begin = np.cumsum(count) - count
+    row_at = np.searchsorted(owner, np.arange(m + 1))
+    work = np.concatenate([[0], np.cumsum(count[shingle])])[row_at]
+    label = np.unique(part, return_inverse=True)[1]
+    label = np.unique(label, return_index=True)[1][label]  # a part's first place, as join_labels wants it
+    out, lo = [np.zeros((2, 0), dtype=np.int64)], 0
+    while lo < m and label.any():
+        hi = max(lo + 1, min(lo + BLOCK_PAIRS // m, int(np.searchsorted(work, work[lo] + BLOCK_PAIRS, side="right")) - 1, m))
+        s = shingle[row_at[lo] : row_at[hi]]
+        which = np.repeat(np.arange(len(s)), count[s])
+        nth = np.arange(len(which)) - (np.cumsum(count[s]) - count[s])[which]
+        meet = (owner[row_at[lo] : row_at[hi]] - lo)[which] * m + lists[begin[s[which]] + nth]
+        shared = np.bincount(meet, minlength=(hi - lo) * m).reshape(hi - lo, m) + np.rint(dense[lo:hi] @ dense.T).astype(np.int64)
+        enough = shared >= similarity * (sizes[lo:hi, None] + sizes[None, :] - shared) - 1e-9
+        i, j = np.nonzero(enough & (label[lo:hi, None] != label[None, :]))
+        i += lo
+        tree = _forests(label, i, j, np.zeros(len(i)), 1)
+        out.append(np.stack([i[tree], j[tree]]))
+        join_labels(label, i[tree], j[tree])
+        lo = hi
+    i, j = np.concatenate(out, axis=1)
+    return i, j
+
+
+def exact_links(texts: DataFrame, group: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs that join parts, of all pairs in each group of ``texts`` (``group``, print, part) that are ``similarity`` alike or more.
+
+    ``sets`` is (print, set). A group with over ``GROUP_SHINGLES`` shingles is cut into parts, each pair of them one task's work.
+    """
+    full = kept(texts.join(sets.select("print", "set"), "print"))
+    total = full.groupBy(*group).agg(F.sum(F.size("set")).alias("n")).filter(F.col("n") > GROUP_SHINGLES)
+    parts = kept(total.select(*group, F.ceil(F.col("n") / GROUP_SHINGLES).cast("long").alias("parts")))
+    rows = paired(full.select(*[F.col(c).alias(f"__{c}") for c in group], "print", "part", "set"), [f"__{c}" for c in group],
+                  parts.select(*[F.col(c).alias(f"__{c}") for c in group], "parts"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["print"].to_numpy()
+        i, j = alike([np.asarray(s, dtype=np.int64) for s in pdf["set"]], pdf["part"].to_numpy(), similarity)
+        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    return rows.groupBy(*[f"__{c}" for c in group], "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """(print, set): the distinct shingles of the texts of ``wanted`` (print), which are read again.
+
+    ``docs`` is (__key, __text). Only the hashes of these texts are moved.
+    """
+    wanted = kept(wanted.select("print").distinct().join(prints.select("print", F.col("least").alias("__key")), "print"))
     keys = wanted.select("__key").distinct()
     texts = same(docs, keys, ["__key"], "left_semi", broadcast=small_enough(keys, BROADCAST_KEYS))
 
@@ -221,9 +350,18 @@ def settled(border: DataFrame, docs: DataFrame, prints: DataFrame, words: int, s
         return batch
 
     made = map_text(texts, "__key", "__text", "print long, set array<long>", work)
-    sets = kept(made.join(wanted.select("print", "links"), "print").select("print", "links", "set").dropDuplicates(["print"]))
-    total = border.count()
-    both = border
+    return kept(made.join(wanted.select("print"), "print").select("print", "set").dropDuplicates(["print"]))
+
+
+def settled(links: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) of ``links`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    A text with very many links is broadcast (see ``attach``).
+    """
+    ends = kept(links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("links")))
+    sets = kept(sets_of(ends, docs, prints, words).join(ends, "print"))
+    total = links.count()
+    both = links
     for end in ("a", "b"):
         facts = sets.select(F.col("print").alias(end), F.col("set").alias(f"set_{end}"), "links")
         both = attach(both, facts, [end], "links", total).drop("links")
@@ -231,6 +369,27 @@ def settled(border: DataFrame, docs: DataFrame, prints: DataFrame, words: int, s
     return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
 
 
+def verified_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs that meet under some top node, each compared by its shingles.
+
+    First each group's forests are settled. A group in which one of these links fails and that has other pairs is walked again
+    over the components so far, and the texts that still have an open pair are compared with one another outright.
+    """
+    by = tries(prints.count(), similarity)
+    rows = dealt(prints, by)
+    found = kept(similar_links(rows, by))
+    good = kept(settled(found.select("a", "b").distinct(), docs, prints, words, similarity))
+    failed = kept(found.filter("more").join(good, ["a", "b"], "left_anti").select("t", "node", "x", "y").distinct())
+    if failed.isEmpty():
+        return good
+    roots = components(good).withColumnRenamed("node", "print")
+    texts = kept(open_texts(rows, by, failed, roots))
+    if texts.isEmpty():
+        return good
+    sets = sets_of(texts, docs, prints, words)
+    return good.unionByName(exact_links(texts, ["t", "node", "x", "y"], sets, similarity))
+
+
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: ``key`` and component_id, the smallest ``key`` reachable over pairs of texts that are ``similarity`` alike or more.
 
@@ -243,10 +402,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     rows = kept(sketches(docs, "__key", "__text", words))
     prints = kept(rows.groupBy("print").agg(F.count("*").alias("size"), F.min("__key").alias("least"), F.first("sketch").alias("sketch")))
-    links = kept(similar_links(prints, similarity))
-    border = links.filter("not sure").select("a", "b")
-    if not border.isEmpty():
-        links = links.filter("sure").select("a", "b").unionByName(settled(border, docs, prints, words, similarity))
+    links = verified_links(docs, prints, words, similarity)
     roots = components(links).withColumnRenamed("node", "print")
     grouped = kept(prints.select("print", "size", "least").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))

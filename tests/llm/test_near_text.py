@@ -69,3 +69,42 @@ def test_empty_table_and_one_group(spark):
     rows = [(i, f"{long} {i}") for i in range(80)]
     got = near_text.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 80
+
+
+def test_equal_sketches_of_unlike_texts_are_no_link(spark):
+    """Of two shingles the smaller one decides every tie, so five of a text's six words often have its very sketch, at Jaccard 0.5."""
+    texts = [" ".join(f"t{k}x{i}" for i in range(n)) for k in range(60) for n in (5, 6)]
+    got = near_text.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_links_of_a_large_group_that_is_nearly_alike_are_all_settled(spark):
+    """Pages of one template at 0.78; a few pairs at 0.81 whose sketches are no closer than chance makes those of many others."""
+    template = " ".join(f"w{i}" for i in range(244))  # 240 shingles of 273
+    tail = lambda k, n, m=0: " ".join([f"tail{k}x{i}" for i in range(n)] + [f"own{k}y{i}" for i in range(m)])
+    texts = [f"{template} {tail(k, 33)}" for k in range(300)]
+    texts += [f"{template} {tail(k, 4, 29)}" for k in range(0, 300, 10)]  # 244 of 302 shingles are shared
+    sets = [runs(t) for t in texts]
+    assert alike(sets[0], sets[300]) > 0.8 > alike(sets[0], sets[1])
+    got = near_text.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    met = {r.doc_id: r.component_id for r in got}
+    assert all(met[k] == k for k in range(300))
+    assert sum(met[300 + n] == 10 * n for n in range(30)) >= 28  # RECALL
+
+
+def test_sets_are_compared_outright_as_by_all_pairs():
+    r = np.random.default_rng(5)
+    base = [r.integers(0, 2**62, 40) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[r.random(40) < 0.93], np.arange(60)[: r.integers(0, 60)]])) for b in base for _ in range(9)]
+    for part in (np.arange(108), np.arange(108) // 2):
+        want = part.copy()
+        for _ in range(8):
+            for i in range(108):
+                for j in range(i):
+                    if alike(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.6 or want[i] == want[j]:
+                        want[(want == want[i]) | (want == want[j])] = min(want[i], want[j])
+        got = part.copy()
+        for i, j in zip(*near_text.alike(sets, part, 0.6), strict=True):
+            assert got[i] != got[j] and alike(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.6
+            got[(got == got[i]) | (got == got[j])] = min(got[i], got[j])
+        assert (got == want).all() and 1 < len(set(want.tolist())) < len(set(part.tolist()))
