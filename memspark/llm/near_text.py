@@ -38,6 +38,8 @@ DEVIATIONS = 3.0
 FORESTS = 4
 #: Border links held in a task before they are cut to spanning forests.
 HELD_LINKS = 1 << 20
+#: Shingles up to which a set is compared without its sketch, which is too coarse for few shingles.
+SHORT = 80
 #: Shingles of a part of a group whose sets are compared outright; each pair of parts is one task's work.
 GROUP_SHINGLES = 1 << 20
 #: Pairs of texts, and meetings of a shingle in two texts, counted at once when sets are compared.
@@ -81,17 +83,17 @@ def _print(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Per row: ``key``, print (equal for equal sets of shingles) and sketch."""
+    """Per row: ``key``, print (equal for equal sets of shingles), sketch and number of shingles."""
 
     def work():
         def batch(texts: pa.Array) -> dict:
             sets = [shingles(t, words) for t in texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
             prints = np.array([_print(s) for s in sets], dtype=np.uint64).view(np.int64)
-            return {"print": pa.array(prints), "sketch": pa.array([sketch(s) for s in sets], pa.binary())}
+            return {"print": pa.array(prints), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "shingles": [len(s) for s in sets]}
 
         return batch
 
-    return map_text(docs, key, text, "print long, sketch binary", work)
+    return map_text(docs, key, text, "print long, sketch binary, shingles long", work)
 
 
 def differing(similarity: float) -> float:
@@ -369,6 +371,24 @@ def settled(links: DataFrame, docs: DataFrame, prints: DataFrame, words: int, si
     return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
 
 
+def short_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs in which a set has at most ``SHORT`` shingles; none is missed.
+
+    Two sets that are similar enough share one of the first ``size - ceil(similarity * size) + 1`` shingles of each, in any
+    order common to all; the rarest come first here. Sets that share such a shingle are compared outright.
+    """
+    few = prints.filter((F.col("print") != 0) & (F.col("shingles") <= math.floor(SHORT / similarity + 1e-9)))
+    sets = sets_of(few, docs, prints, words)
+    each = kept(sets.select("print", F.size("set").alias("size"), F.explode("set").alias("shingle")))
+    held = kept(each.groupBy("shingle").agg(F.count("*").alias("texts")))
+    counted = attach(each, held, ["shingle"], "texts", each.count())
+    order = F.array_sort(F.collect_list(F.struct("texts", "shingle")))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
+    begins = counted.groupBy("print", "size").agg(order.alias("order")).select("print", F.explode(F.slice("order", F.lit(1), first)).alias("s"))
+    texts = begins.filter("s.texts > 1").select("print", F.col("s.shingle").alias("shingle"), F.col("print").alias("part"))
+    return exact_links(kept(texts), ["shingle"], sets, similarity)
+
+
 def verified_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): links whose components are those of all similar pairs that meet under some top node, each compared by its shingles.
 
@@ -394,15 +414,16 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """Per row: ``key`` and component_id, the smallest ``key`` reachable over pairs of texts that are ``similarity`` alike or more.
 
     Alike is the Jaccard similarity of the sets of runs of ``words`` words, A-Z lower-cased, cut at ASCII white space
-    (fewer words: one run). Of the pairs at the very threshold ``RECALL`` are met, of closer ones more.
+    (fewer words: one run). All pairs with a text of at most ``SHORT`` runs are met; of other pairs at the very threshold
+    ``RECALL`` are, of closer ones more. Every link is settled by its shingles.
 
     Null and empty texts are one group. Null keys are never a component's id unless it has no other; repeated rows give a
     row each; an empty table gives an empty one; other columns are not looked at.
     """
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     rows = kept(sketches(docs, "__key", "__text", words))
-    prints = kept(rows.groupBy("print").agg(F.count("*").alias("size"), F.min("__key").alias("least"), F.first("sketch").alias("sketch")))
-    links = verified_links(docs, prints, words, similarity)
+    prints = kept(rows.groupBy("print").agg(F.count("*").alias("size"), F.min("__key").alias("least"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
+    links = verified_links(docs, prints, words, similarity).unionByName(short_links(docs, prints, words, similarity))
     roots = components(links).withColumnRenamed("node", "print")
     grouped = kept(prints.select("print", "size", "least").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))

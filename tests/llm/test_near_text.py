@@ -108,3 +108,14 @@ def test_sets_are_compared_outright_as_by_all_pairs():
             assert got[i] != got[j] and alike(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.6
             got[(got == got[i]) | (got == got[j])] = min(got[i], got[j])
         assert (got == want).all() and 1 < len(set(want.tolist())) < len(set(part.tolist()))
+
+
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_short_texts_at_the_threshold_are_all_linked(spark, monkeypatch, part):
+    """Nine words and their first eight: five and four shingles, Jaccard exactly 0.8, but 192 differing bits on average."""
+    monkeypatch.setattr(near_text, "NODE_TEXTS", 16)
+    monkeypatch.setattr(near_text, "GROUP_SHINGLES", part)
+    texts = [" ".join(f"t{k}x{i}" for i in range(n)) for k in range(60) for n in (8, 9)]
+    texts += [f"one start for all {' '.join(f'u{k}x{i}' for i in range(20))}" for k in range(40)]
+    got = near_text.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 if i < 120 else i for i in range(160)}
