@@ -308,13 +308,17 @@ def cluster_knowledge(kept: DataFrame) -> DataFrame:
     return agg.join(sources, "seed")
 
 
-def consolidate(memories: DataFrame, limit: int = 200, agent_id: str | None = None):
-    """One-shot pass over the newest ``limit`` rows of an agent: (clusters, kept rows, patterns, knowledge)."""
-    newest = fl.recent(fl.scope(memories, agent_id=agent_id), limit)
-    stamp = -micros(F.col("created_at"))
-    rows = materialize(newest.withColumn("ord", F.row_number().over(Window.orderBy(stamp, "id")).cast("bigint")))
+def consolidate(memories: DataFrame, limit: int | None = None, agent_id: str | None = None, patterns: int | None = None, entries: int | None = None):
+    """One-shot pass over an agent's rows: (clusters, kept rows, patterns, knowledge).
+
+    ``limit`` takes its newest rows only, ``patterns`` and ``entries`` the first clusters of either kind; None takes all.
+    """
+    newest = fl.scope(memories, agent_id=agent_id)
+    newest = newest if limit is None else fl.recent(newest, limit)
+    stamped = newest.withColumn("_stamp", -micros(F.col("created_at")))
+    rows = materialize(row_numbers(stamped, [], ["_stamp", "id"], "ord").drop("_stamp").withColumn("ord", F.col("ord").cast("bigint")))
     clusters = materialize(star_clusters(rows))
     kept = materialize(keep_first_by_fingerprint(clusters.select("id", "seed").join(rows, "id")))
-    patterns = cluster_patterns(kept).orderBy("seed").limit(10)
-    knowledge = cluster_knowledge(kept).orderBy("seed").limit(5)
-    return clusters, kept, patterns, knowledge
+    repeated, knowledge = cluster_patterns(kept).orderBy("seed"), cluster_knowledge(kept).orderBy("seed")
+    repeated = repeated if patterns is None else repeated.limit(patterns)
+    return clusters, kept, repeated, knowledge if entries is None else knowledge.limit(entries)

@@ -329,7 +329,19 @@ def entries(t: Tables) -> DataFrame:
     o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, rn) AS k FROM kept)
     SELECT seed, count(*) AS size, round(least(1, avg(importance) * 1.2), 6) AS importance, string_agg(id, ',' ORDER BY k) FILTER (k <= 5) AS sources FROM o GROUP BY seed HAVING count(*) >= 2 ORDER BY seed LIMIT 5""")
 def one_shot(t: Tables) -> DataFrame:
-    _, _, _, k = co.consolidate(t.memories_base(), 200, "en")
+    _, _, _, k = co.consolidate(t.memories_base(), 200, "en", patterns=10, entries=5)
+    return k.select("seed", "size", F.round("importance", 6).alias("importance"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("c08_one_shot_whole", f"""WITH RECURSIVE newest AS (SELECT * FROM memories_base WHERE status = 'active' AND agent_id = 'en'),
+    {STAR.format("SELECT id, tags, row_number() OVER (ORDER BY created_at DESC, id) AS rn FROM newest")},
+    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(left(m.content, 100), ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
+      FROM star s JOIN newest m ON m.id = s.id) WHERE d = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, rn) AS k FROM kept)
+    SELECT seed, count(*) AS size, round(least(1, avg(importance) * 1.2), 6) AS importance, string_agg(id, ',' ORDER BY k) FILTER (k <= 5) AS sources FROM o GROUP BY seed HAVING count(*) >= 2""")
+def one_shot_whole(t: Tables) -> DataFrame:
+    """Over all rows of the agent, all clusters."""
+    _, _, _, k = co.consolidate(t.memories_base(), agent_id="en")
     return k.select("seed", "size", F.round("importance", 6).alias("importance"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -374,6 +386,12 @@ def forget_dry(t: Tables) -> DataFrame:
     return lc.apply_forget(t.memories(), as_of(), 500)[1]
 
 
+@query("c12_forget_dry_run_whole", f"WITH {FORGET} SELECT count(*) AS scanned, count(*) FILTER (action <> 'keep') AS archived FROM fv WHERE status = 'active'")
+def forget_dry_whole(t: Tables) -> DataFrame:
+    """Counts over all active rows."""
+    return lc.apply_forget(t.memories(), as_of())[1]
+
+
 @query("c13_forget_detail", f"WITH {FORGET} SELECT id, left(content, 80) AS preview, access_count, round(greatest(0, (epoch_us({NOW}) - epoch_us(created_at)) / 86400e6), 1) AS days_since_created, round(d, 1) AS days_since_access, round(fs, 4) AS forget_score, round(least(1, importance + 0.1), 6) AS boosted FROM fv")
 def forget_detail(t: Tables) -> DataFrame:
     d = lc.forget_detail(t.memories(), as_of())
