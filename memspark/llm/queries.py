@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from memspark.llm import codec, exact_dedup, language_id, line_dedup, packing, pii, simhash, token_count, top_k, url_filter
+from memspark.llm import codec, exact_dedup, language_id, line_dedup, mixing, packing, periodic, pii, simhash, token_count, top_k, url_filter, whitening
 from memspark.llm.register import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -67,3 +68,35 @@ def top_k_query(embeddings: DataFrame) -> DataFrame:
 @query("op4_pii")
 def pii_query(documents: DataFrame) -> DataFrame:
     return pii.pii_report(documents)
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text), where one in ten by the id's checksum repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = documents.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit("[^ \\t-\\r]+"), F.lit(0))))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs_query(documents: DataFrame) -> DataFrame:
+    runs = periodic.periodic_runs(with_planted_runs(documents), length=24, exponent=3)
+    # Runs come by start, then period, so the first of those with the greatest exact exponent is the one.
+    better = lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), better)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    rows = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.*", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_embedding_whitening", table="embeddings")
+def whitening_query(embeddings: DataFrame) -> DataFrame:
+    return whitening.whiten(embeddings, k=8).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op13_mix_sources")
+def mixing_query(documents: DataFrame) -> DataFrame:
+    return mixing.mix_sources(documents).drop("source")
