@@ -8,37 +8,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.rows import attach, kept
-from memspark.operators.ordered import row_numbers, running_sum
+from memspark.llm.rows import attach, kept, same
+from memspark.operators.ordered import row_numbers
+from memspark.session import small_enough
 
 #: Rows that meet in one node of the reduction tree.
 FAN = 64
-#: Classes of rows by their share of the source's words: the larger ones are rounded first, and what rounding adds or
-#: leaves there is shared by the smaller ones. A source has at most 6 rows of the first class and 24 of the second.
-CLASSES = (1 / 6, 1 / 24, 1 / 96, 1 / 384, 1 / 1536)
+#: A row with a larger share of its source's words is heavy: a source has fewer of them than one over this. They are rounded
+#: first, and what that adds or leaves is shared by the others.
+HEAVY = 1 / 1536
+#: Sources up to this many have their facts broadcast (a few MB); beyond it only large ones do, see ``rows.attach``.
+FEW_SOURCES = 50_000
 #: Words are parted by ASCII white space.
 WORD = "[^ \\t-\\r]+"
 
 
 def target_words(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
-    """``sizes`` (source, source_size) with target: all words shared by weight, none above ``most`` times its source's words.
+    """``sizes`` (source, source_size, docs) with target: all words shared by weight, none above ``most`` times its source's words.
 
     Sources are numbered by code point, null last, and weigh ``weights`` in turn. What a bounded source can't take is shared
-    by the others, by weight. Sources ordered by bound over weight, the bounded ones come first: running sums give the share
-    of a unit of weight that holds from each place on, and the first that fits is the one.
+    by the others, by weight, in rounds of one aggregate until no further one is above its bound.
     """
     number = row_numbers(sizes.withColumn("last", F.col("source").isNull()), [], ["last", "source"], "number")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("number") - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = number.withColumn("weight", weight).withColumn("bound", (F.col("source_size") * most).cast("double"))
-    rows = kept(rows.withColumn("fills", F.col("bound") / F.col("weight")).drop("last"))
-    whole = rows.agg(F.sum("source_size").cast("double").alias("words"), F.sum("weight").alias("weight")).first()
-    order = ["fills", "number"]
-    sums = running_sum(rows.select("number", "fills", "weight", "bound"), [], order, F.col("bound"), "bounds")
-    sums = running_sum(sums, [], order, F.col("weight"), "weights")
-    share = (F.lit(whole["words"]) - (F.col("bounds") - F.col("bound"))) / (F.lit(whole["weight"]) - (F.col("weights") - F.col("weight")))
-    fits = sums.withColumn("share", share).filter(F.col("share") <= F.col("fills") * (1 + 1e-12)).agg(F.min_by("share", F.struct(*order)).alias("share")).first()["share"]
-    target = F.when(F.col("fills") <= fits, F.col("bound")).otherwise(F.col("weight") * fits)
-    return rows.select("source", "source_size", target.alias("target"))
+    rows = kept(number.select(*sizes.columns, weight.alias("weight"), (F.col("source_size") * most).cast("double").alias("bound")))
+    total, share, last = rows.agg(F.sum("source_size")).first()[0], 0.0, -1.0
+    while share > last:
+        above = F.col("bound") < F.col("weight") * share
+        got = rows.agg(F.sum(F.when(above, F.col("bound"))).alias("bound"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
+        last, share = share, (total - (got["bound"] or 0.0)) / got["weight"] if got["weight"] else share
+    return rows.select(*sizes.columns, F.least("bound", F.col("weight") * share).alias("target"))
+
+
+def _facts(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the ``facts`` of their source, which has ``docs`` rows."""
+    made = same(rows, facts, ["source"], broadcast=True) if small_enough(facts, FEW_SOURCES) else attach(rows, facts, ["source"], "docs", total)
+    return made.drop("docs")
 
 
 def _random(*of: Column) -> Column:
@@ -102,17 +107,50 @@ def pivotal_rounding(rows: DataFrame, groups: Sequence[str], seed: str) -> DataF
         level += 1
 
 
+def heavy_rounding(rows: DataFrame, groups: Sequence[str], most: int, seed: str) -> DataFrame:
+    """Per group: ``rows`` (an array of key, size, copies), and what is ``open`` of the target and ``left`` of the words.
+
+    A group's heavy rows, largest first. Each is paired with all that comes after it: the row becomes integral, up or down at
+    random by its fraction, and the rest of the source takes the difference, so expected copies stay. Where the rest could
+    not make up for one of the two, the other is taken. ``rows`` has source_size, target, key, size and place.
+    """
+    each = F.struct((-F.col("size")).alias("order"), F.xxhash64("key").alias("hash"), "key", "place", "size")
+    node = rows.groupBy(*groups).agg(F.sort_array(F.collect_list(each)).alias("all")).withColumn("of", F.struct(*groups))
+    start = F.struct(F.col("target").alias("open"), F.col("source_size").alias("left"), F.array().cast("array<long>").alias("copies"))
+
+    def step(acc: Column, x: Column) -> Column:
+        rate = F.least(F.greatest(acc["open"] / acc["left"], F.lit(0.0)), F.lit(float(most)))
+        rest = (acc["left"] - x["size"]).cast("double")
+
+        def miss(copies: Column) -> Column:
+            """Words by which the rest can't make up for so many copies."""
+            after = acc["open"] - copies * x["size"]
+            return F.greatest(-after, after - rest * most, F.lit(1e-6))
+
+        low = F.floor(rate).cast("long")
+        down, up = miss(low), miss(low + 1)
+        lucky = _random(F.lit(seed), F.lit("heavy"), F.col("of"), F.size(acc["copies"])) < rate - low
+        copies = F.when(rate <= low, low).when(down < up, low).when(up < down, low + 1).when(lucky, low + 1).otherwise(low)
+        settled = F.transform(F.array(copies), lambda c: F.struct((acc["open"] - c * x["size"]).alias("open"), (acc["left"] - x["size"]).alias("left"), F.concat(acc["copies"], F.array(c)).alias("copies")))
+        return settled[0]
+
+    folded = node.withColumn("made", F.aggregate("all", start, step))
+    pairs = F.zip_with("all", "made.copies", lambda r, c: F.struct(r["key"].alias("key"), r["size"].alias("size"), c.alias("copies")))
+    return folded.select(*groups, pairs.alias("rows"), "made.open", "made.left")
+
+
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """Per row: ``key``, ``source``, size (words), source_size, target (its source's words), copies and taken (words).
 
     Every source is to give its ``target_words``; its rows are taken as often as the target is its size, rounded down or
-    up, by pivotal rounding. Rows are rounded in classes, large ones first. What the rounding of a class gives over or
-    under its words is shared by the smaller rows, so that a source's taken words miss the target by a part of a row of the
-    smallest class that can make up for it. No row is taken more than ``most`` times.
+    up, by pivotal rounding. Heavy rows are rounded first, each against the rest of its source. The light ones share what
+    is left and are paired in a reduction tree, where words stay and one row of a source is rounded by itself. So a
+    source's words miss the target by a part of a light row, or, where a source is of few rows, of one of its smallest. No
+    row is taken more than ``most`` times.
 
-    Text is read once and never shuffled; keys and sizes are numbered by a hash of the key (rows that agree in key and
-    size can stand for each other), so runs agree, whatever the partitions. A tree node holds 64 rows, however large a
-    source is; facts of large sources are broadcast, of small ones joined.
+    Text is read once and never shuffled. Light rows are numbered by a hash of the key (rows that agree in key and size can
+    stand for each other), so runs agree, whatever the partitions. A tree node holds 64 rows, however large a source is; a
+    source has fewer than 1536 heavy rows.
 
     A null, empty or blank text has size 0 and is never taken, nor is one of a source without words. Null sources are the
     last source; null keys and repeated rows are rows of their own; an empty table gives an empty one; other columns are not
@@ -120,33 +158,28 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = kept(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")).withColumn("place", F.monotonically_increasing_id()))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    sizes = kept(sizes)
-    total = rows.count()
-    if total == 0:
-        none = rows.select(F.col("key").alias(key), F.col("source").alias(source), "size")
-        return none.select("*", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
-    targets = target_words(sizes.select("source", "source_size"), weights, most)
-    facts = kept(targets.join(sizes.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    rows = attach(rows, facts, ["source"], "docs", total).drop("docs")
-    part = F.col("size") / F.col("source_size")
-    rank = reduce(lambda made, i: F.when(part > CLASSES[i], i).otherwise(made), reversed(range(len(CLASSES))), F.lit(len(CLASSES)))
-    rows = rows.withColumn("rank", F.when(F.col("size") > 0, rank).otherwise(len(CLASSES)).cast("int"))
-    rows = kept(row_numbers(rows, ["source", "rank"], [F.xxhash64("key"), "key", "size", "place"], "number").drop("place"))
-    by_rank = kept(rows.groupBy("source", "source_size", "target", "rank").agg(F.sum("size").alias("words"), F.count("*").alias("docs")))
-    left = by_rank.groupBy("source", "source_size", "target").agg(F.sum("docs").alias("docs"), *[F.coalesce(F.sum(F.when(F.col("rank") >= i, F.col("words"))), F.lit(0)).alias(f"left{i}") for i in range(len(CLASSES) + 1)])
-    state, done = kept(left.withColumn("open", F.col("target"))), []
-    for i in range(len(CLASSES) + 1):
-        rate = F.when(F.col(f"left{i}") > 0, F.least(F.greatest(F.col("open") / F.col(f"left{i}"), F.lit(0.0)), F.lit(float(most)))).otherwise(F.lit(0.0))
-        own = attach(rows.filter(F.col("rank") == i), state.select("source", "docs", rate.alias("rate")), ["source"], "docs", total)
-        low = F.floor("rate").cast("long")
-        own = own.select("source", "source_size", "target", "number", "key", "size", low.alias("low"), ((F.col("rate") - low) * F.col("size")).alias("mass"))
-        whole = own.filter("mass <= 0").withColumn("copy", F.lit(0))
-        cut = pivotal_rounding(own.filter("mass > 0"), ["source", "source_size", "target"], f"{seed} {i}")
-        made = kept(whole.unionByName(cut).withColumn("copies", F.col("low") + F.col("copy")).drop("low", "mass", "copy", "number"))
-        done.append(made)
-        if i < len(CLASSES):
-            spent = made.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("spent")).withColumnRenamed("source", "s")
-            state = kept(state.join(spent, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("open", F.col("open") - F.coalesce("spent", F.lit(0))).drop("s", "spent"))
-    out = reduce(DataFrame.unionByName, done)
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = kept(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+    total = sizes.agg(F.sum("docs")).first()[0]
+    out = [F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    if not total:
+        none = rows.withColumn("source_size", F.col("size")).withColumn("target", F.lit(0.0)).withColumn("copies", F.col("size"))
+        return none.select(*out)
+    facts = kept(target_words(sizes, weights, most))
+    groups = ["source", "source_size", "target"]
+    rows = _facts(rows, facts, total)
+    share = F.col("size") / F.col("source_size")
+    heavy = (F.col("size") > 0) & (share > HEAVY)
+    made = kept(heavy_rounding(rows.filter(heavy), groups, most, seed))
+    first = made.select(*groups, F.explode("rows").alias("row")).select(*groups, "row.*")
+    blank = rows.filter("size = 0").select(*groups, "key", "size", F.lit(0).cast("long").alias("copies"))
+    state = same(facts, made.select("source", "open", "left"), ["source"], "left")
+    open_, left = F.coalesce("open", "target"), F.coalesce("left", "source_size")
+    rate = F.when(left > 0, F.least(F.greatest(open_ / left, F.lit(0.0)), F.lit(float(most)))).otherwise(F.lit(0.0))
+    light = _facts(rows.filter((F.col("size") > 0) & ~heavy), kept(state.select("source", "docs", rate.alias("rate"))), total)
+    low = F.floor("rate").cast("long")
+    light = light.select(*groups, "key", "size", "place", low.alias("low"), ((F.col("rate") - low) * F.col("size")).alias("mass"))
+    light = kept(row_numbers(light, groups, [F.xxhash64("key"), "key", "size", "place"], "number").drop("place"))
+    whole = light.filter("mass <= 0").withColumn("copy", F.lit(0))
+    rest = whole.unionByName(pivotal_rounding(light.filter("mass > 0"), groups, seed))
+    rest = rest.select(*groups, "key", "size", (F.col("low") + F.col("copy")).alias("copies"))
+    return first.unionByName(blank).unionByName(rest).select(*out)
