@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.functions import arrow_udf
 
 from memspark.llm import vocab
 from memspark.llm.rows import light, whole
@@ -31,8 +32,9 @@ LEAST_SPREAD = 0.25
 #: Texts of less than so many characters teach nothing about a language's spread.
 SHORT = 200
 
-#: Words whose costs a task remembers.
+#: Words and units whose costs a task remembers.
 CACHE_WORDS = 250_000
+CACHE_UNITS = 250_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -152,14 +154,51 @@ def fit(counts: dict[str, int], alphabet: int) -> Model:
     return Model(out_keys, out_prob, out_back, floor, rest)
 
 
+class Joint:
+    """The tables of several models in one: for each order the sorted hashes of all, and for each its probability and weight under every model.
+
+    So a character's n-grams are hashed and searched once for all languages. Numbers are kept in 32 bits.
+    """
+
+    def __init__(self, models: list[Model]):
+        self.floor = np.array([m.floor for m in models])
+        self.rest = np.array([m.rest for m in models])
+        self.keys, self.prob, self.back = [], [], []
+        for n in range(ORDER if models else 0):
+            every = np.unique(np.concatenate([m.keys[n] for m in models]))
+            prob, back = np.zeros((len(every), len(models)), np.float32), np.ones((len(every), len(models)), np.float32)
+            for j, m in enumerate(models):
+                at = np.searchsorted(every, m.keys[n])
+                prob[at, j], back[at, j] = m.prob[n], m.back[n]
+            self.keys.append(every)
+            self.prob.append(prob)
+            self.back.append(back)
+
+    def costs(self, items: list[str]) -> np.ndarray:
+        """The negative log2 probability of each word under each model; see ``Model.costs``."""
+        codes, ends = _codes(items)
+        p = np.repeat(self.floor[None, :], len(codes), axis=0)
+        weight = np.repeat(self.rest[None, :], len(codes), axis=0)
+        for n, gram in enumerate(_grams(codes)):
+            at = np.minimum(np.searchsorted(self.keys[n], gram), len(self.keys[n]) - 1)
+            found = (self.keys[n][at] == gram)[:, None]
+            own = np.where(found, self.prob[n][at], 0.0)
+            p = np.where(own > 0, own, weight * p)
+            weight[0] = 1.0
+            weight[1:] = np.where(found, self.back[n][at], 1.0)[:-1]
+        bits = np.where((codes == START)[:, None], 0.0, -np.log2(p))
+        total = np.concatenate([np.zeros((1, len(self.floor))), np.cumsum(bits, axis=0)])
+        return np.diff(total[ends], axis=0, prepend=0.0)
+
+
 @dataclass
 class Identifier:
-    """The models with what calibration found: a sharpness for scores, and for each language (mean, spread, spread of a character, bound)."""
+    """The models in one table with what calibration found: a sharpness for scores, and for each language (mean, spread, spread of a character, bound)."""
 
     languages: list[str]
-    models: list[Model]
     sharpness: float
     limits: np.ndarray
+    joint: Joint | None = None
 
     def bounds(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The highest cross-entropy that is still taken for a language; higher for shorter texts."""
@@ -197,12 +236,14 @@ def calibrate(identifier: Identifier, entropies: np.ndarray, n: np.ndarray, true
 
 
 class Scorer:
-    """Cross-entropies of texts under every model. Each different word is looked up once while it is remembered."""
+    """Cross-entropies of texts under every model. Each different unit and word is looked up once while it is remembered."""
 
-    def __init__(self, models: list[Model]):
-        self.models = models
+    def __init__(self, joint: Joint):
+        self.joint, self.width = joint, len(joint.floor) + 1
         self.row: dict[str, int] = {}
-        self.known = np.zeros((1, len(models) + 1), dtype=np.float32)  # row 0: no word
+        self.known = np.zeros((1, self.width), dtype=np.float32)  # row 0: no word
+        self.unit: dict[str, int] = {}
+        self.sums = np.zeros((0, self.width))
 
     def _learn(self, new: list[str]) -> None:
         if len(self.row) > CACHE_WORDS:
@@ -212,27 +253,38 @@ class Scorer:
         made = [self.known]
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
-            made.append(np.column_stack([*(m.costs(some) for m in self.models), [len(w) + 1 for w in some]]).astype(np.float32))
+            made.append(np.column_stack([self.joint.costs(some), [len(w) + 1 for w in some]]).astype(np.float32))
         self.known = np.concatenate(made)
         self.row |= zip(new, range(start, len(self.known)), strict=True)
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bits a character under each model, characters) of each text; 0 characters where there is no letter."""
         distinct, index, first = vocab.units(texts)
-        found = [words(u) for u in distinct]
+        if len(self.unit) > CACHE_UNITS:
+            self.unit.clear()
+            self.sums = self.sums[:0]
+        if new := [u for u in distinct if u not in self.unit]:
+            self.unit |= zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True)
+            self.sums = np.concatenate([self.sums, self._units(new)])
+        each = self.sums[np.fromiter(map(self.unit.__getitem__, distinct), np.int64, len(distinct))]
+        total = vocab.sums(each, index, first)
+        n = np.rint(total[:, -1])
+        return total[:, :-1] / np.maximum(n, 1)[:, None], n
+
+    def _units(self, units: list[str]) -> np.ndarray:
+        """(bits under each model, characters) of each unit, a stretch of text without white space."""
+        found = [words(u) for u in units]
         wanted = {w for ws in found for w in ws}
         if len(self.row) + len(wanted) > CACHE_WORDS:
             self.row.clear()
             self.known = self.known[:1]
         if new := [w for w in wanted if w not in self.row]:
             self._learn(new)
-        each = np.zeros((len(distinct), len(self.models) + 1))
+        each = np.zeros((len(units), self.width))
         flat = np.fromiter((self.row[w] for ws in found for w in ws), dtype=np.int64)
-        owner = np.repeat(np.arange(len(distinct)), np.fromiter(map(len, found), np.int64, len(found)))
+        owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, found), np.int64, len(found)))
         np.add.at(each, owner, self.known[flat]) if len(flat) < 64 else _add(each, owner, self.known[flat])
-        total = vocab.sums(each, index, first)
-        n = np.rint(total[:, -1])
-        return total[:, :-1] / np.maximum(n, 1)[:, None], n
+        return each
 
 
 def _add(out: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> None:
@@ -254,9 +306,9 @@ def train(labelled: DataFrame, text: str, lang: str, check: Column) -> Identifie
     """
     share = labelled.filter(F.col(lang).isNotNull()).groupBy(lang).count().collect()
     if not share:
-        return Identifier([], [], 1.0, np.zeros((0, 4)))
-    # A hash of the row's place, so that repeated ids do not make a sample larger.
-    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000_007)) / F.lit(1_000_000_007)
+        return Identifier([], 1.0, np.zeros((0, 4)))
+    # A hash of the row's text, so that neither partitions nor ids decide; copies of a text are chosen together.
+    chance = F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(1_000_000_007)) / F.lit(1_000_000_007)
     part = F.lit(0.0)
     for r in share:
         part = F.when(F.col(lang) == r[lang], F.lit(min(1.0, SAMPLE_ROWS / r["count"]))).otherwise(part)
@@ -279,11 +331,12 @@ def train(labelled: DataFrame, text: str, lang: str, check: Column) -> Identifie
         table.setdefault(r["lang"], {})[r["word"]] = r["n"]
     languages = sorted(table)
     if not languages:
-        return Identifier([], [], 1.0, np.zeros((0, 4)))
+        return Identifier([], 1.0, np.zeros((0, 4)))
     alphabet = len({c for ws in table.values() for w in ws for c in w}) + 2
     models = [fit(dict(sorted(table[k].items())), alphabet) for k in languages]
-    out = Identifier(languages, models, 8.0, np.tile([0.0, 1.0, 4.0, 1e6], (len(languages), 1)))
-    shared = labelled.sparkSession.sparkContext.broadcast(models)
+    out = Identifier(languages, 8.0, np.tile([0.0, 1.0, 4.0, 1e6], (len(languages), 1)))
+    out.joint = Joint(models)
+    shared = labelled.sparkSession.sparkContext.broadcast(out.joint)
     entropy = T.StructType.fromDDL("lang string, bits array<double>, n double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +353,35 @@ def train(labelled: DataFrame, text: str, lang: str, check: Column) -> Identifie
     return out
 
 
+def _verdicts(one: Identifier, scorer: Scorer | None, texts: pa.Array) -> list[pa.Array]:
+    """lang_pred, score, cross_entropy and accepted of each text."""
+    if not one.languages:
+        none = np.zeros(len(texts))
+        return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(none), pa.array(none, mask=none == 0), pa.array(none > 0)]
+    bits, n = scorer.entropies(texts)
+    best = bits.argmin(axis=1)
+    low = bits[np.arange(len(best)), best]
+    score = np.where(n > 0, _scores(bits, one.sharpness)[np.arange(len(best)), best], 0.0)
+    pred = [one.languages[k] if m else UNKNOWN for k, m in zip(best, n, strict=True)]
+    return [pa.array(pred, pa.string()), pa.array(score), pa.array(low, mask=n == 0), pa.array((n > 0) & (low <= one.bounds(best, n)))]
+
+
+def acceptance(identifier: Identifier, text: Column, spark) -> Column:
+    """A column: whether the text is accepted as one of the languages. Only texts go to Python, and only verdicts return."""
+    shared = spark.sparkContext.broadcast(identifier)
+    scorers: list = []
+
+    @arrow_udf(T.BooleanType())
+    def judge(batch: pa.Array) -> pa.Array:
+        one = shared.value
+        if not scorers:
+            scorers.append(Scorer(one.joint) if one.languages else None)
+        made = [_verdicts(one, scorers[0], texts)[3] for texts in vocab.slices(pc.fill_null(batch, ""))]
+        return pa.concat_arrays(made) if made else pa.array([], pa.bool_())
+
+    return judge(text.cast("string"))
+
+
 def predict(docs: DataFrame, identifier: Identifier, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``key``, the ``keep`` columns, lang_pred, score, cross_entropy (bits a character) and accepted.
 
@@ -317,23 +399,14 @@ def predict(docs: DataFrame, identifier: Identifier, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared.value
-        scorer = Scorer(one.models)
+        scorer = Scorer(one.joint) if one.languages else None
         for batch in batches:
             done = 0
             # The text may be among the columns that pass; it is sent once then.
             for texts in vocab.slices(pc.fill_null(batch.column(at), "")):
                 own = [c.slice(done, len(texts)) for c in batch.columns[: len(names)]]
                 done += len(texts)
-                if one.languages:
-                    bits, n = scorer.entropies(texts)
-                    best = bits.argmin(axis=1)
-                    low = bits[np.arange(len(best)), best]
-                    score = np.where(n > 0, _scores(bits, one.sharpness)[np.arange(len(best)), best], 0.0)
-                    pred = [one.languages[k] if m else UNKNOWN for k, m in zip(best, n, strict=True)]
-                    good = (n > 0) & (low <= one.bounds(best, n))
-                else:
-                    pred, score, low, n, good = [UNKNOWN] * len(texts), *(np.zeros(len(texts)) for _ in range(3)), np.zeros(len(texts), bool)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score), pa.array(low, mask=n == 0), pa.array(good)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*own, *_verdicts(one, scorer, texts)], names=schema.names)
 
     return light(docs.select(*names, *([] if passes else [whole(text).alias("__text")]))).mapInArrow(run, schema)
 

@@ -274,14 +274,17 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by its kind, such as <email>. Null texts stay null.
+    """``docs`` with personal data in ``text`` replaced by its kind, such as <email>. Null texts stay null, other columns are kept as they are.
 
     Texts are read twice, to count votes and to mask, so that they are neither shuffled nor written between.
     """
-    rows = with_candidates(docs, text)
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.col(text).alias("__text"), *([F.struct(*[F.col(c) for c in rest]).alias("__rest")] if rest else []))
+    rows = with_candidates(rows, "__text")
     weights = train(rows.select("__spans"))
     found = rows.withColumn("__chosen", chosen(weights))
-    return found.withColumn(text, F.when(F.size("__chosen") > 0, masked(text, "__chosen")).otherwise(F.col(text))).select(*docs.columns)
+    made = F.when(F.size("__chosen") > 0, masked("__text", "__chosen")).otherwise(F.col("__text"))
+    return found.select(*[made.alias(c) if c == text else F.col("__rest").getField(c).alias(c) for c in docs.columns])
 
 
 def _is(kind: str):

@@ -15,6 +15,8 @@ from memspark.session import _ensure_checkpoint_dir, materialize
 
 #: Bytes of an Arrow batch that goes to Python; texts are taken up a few MB at a time anyway (``vocab.slices``).
 BATCH_BYTES = 8 << 20
+#: Bytes of a Parquet row group of a written table.
+ROW_GROUP_BYTES = 32 << 20
 #: A key with at least this many rows may be hot; see ``attach``.
 HOT_ROWS = 2_000
 #: At most so many keys can each hold more than one part in this many of all rows.
@@ -82,7 +84,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder that the session names in ``spark.checkpoint.dir``, and read again."""
     _ensure_checkpoint_dir(df.sparkSession)
     place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    # Small row groups: a writer holds one in memory.
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(place)
     return df.sparkSession.read.parquet(place)
 
 
