@@ -24,8 +24,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     fold = language_id.fold("doc_id")
     identifier = language_id.train(docs.filter(F.col("lang").isNotNull() & (fold != 2)), "text", "lang", fold == 3)
-    made = language_id.predict(_wrapped(docs), identifier, keep=("text", "__rest")).filter("accepted")
-    return made.select("doc_id", "text", "__rest.*").select(*docs.columns)
+    return docs.filter(language_id.acceptance(identifier, F.col("text"), spark))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

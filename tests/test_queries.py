@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from memspark.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,7 +52,7 @@ def test_entry(spark):
 
 
 def test_every_name_has_a_survey_id():
-    assert all(re.match(r"^(i|p|j|s|v|a|w|l|o|c|e|g|t|k|d|u)\d\d_[a-z0-9_]+$", n) for n in entry.queries())
+    assert all(re.match(r"^(i|p|j|s|v|a|w|l|o|c|e|g|t|k|d|u)\d\d_[a-z0-9_]+$", n) for n in catalog.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
