@@ -1,19 +1,27 @@
 """Order-dependent grouping without sequential loops: tag clusters and near-duplicate removal.
 
-Both keep the rows that a first-come walk would keep. That set is unique, so it can be found in rounds: every
-round settles all rows that no earlier undecided row can affect.
+Both keep the rows that a first-come walk would keep. That set is unique, so it can be found in rounds. A round settles
+all rows that no earlier undecided row can affect, or, where that is few of them (long chains), the earliest undecided rows
+are walked in one task, as many as a task may hold; what their seeds reach leaves, and the next prefix follows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.ordered import join_hot
-from memspark.operators.similarity import earliest_match
+from memspark.operators.similarity import DIGITS, _unit, earliest_match
 from memspark.session import materialize, small_enough
 
 BROADCAST_ROWS = 200_000
+#: Rows with tags, and their tags, that one task walks at most (some 100 MB); vectors of a prefix, at first and at most.
+WALK_TAGS = 1_000_000
+SWEEP, MOST_SWEEP = 2048, 8192
 
 
 def _by_tag(rows: DataFrame, per_tag: DataFrame, small: bool) -> DataFrame:
@@ -34,29 +42,60 @@ def star_clusters(rows: DataFrame, id_col: str = "id", tags_col: str = "tags", o
     tagged = materialize(base.filter(F.size("tags") > 0).select("id", "ord", F.explode("tags").alias("tag")))
     todo, seeds = tagged, None
     few_tags = small_enough(tagged.select("tag").distinct(), BROADCAST_ROWS)
-    while not todo.isEmpty():
-        first = todo.groupBy("tag").agg(F.min("ord").alias("first"))
-        # A row that comes first under each of its tags has no earlier undecided neighbour.
-        heads = _by_tag(todo, first, few_tags).groupBy("ord").agg(F.max(F.col("first") < F.col("ord")).alias("blocked"))
-        heads = heads.filter(~F.col("blocked")).select(F.col("ord").alias("seed"))
+    left = todo.select("ord").distinct().count()
+    walks, size = False, WALK_TAGS // 64
+    while left:
+        if walks:
+            heads = _walk(todo, size)
+            size = min(2 * size, WALK_TAGS)
+        else:
+            first = todo.groupBy("tag").agg(F.min("ord").alias("first"))
+            # A row that comes first under each of its tags has no earlier undecided neighbour.
+            heads = _by_tag(todo, first, few_tags).groupBy("ord").agg(F.max(F.col("first") < F.col("ord")).alias("blocked"))
+            heads = heads.filter(~F.col("blocked")).select(F.col("ord").alias("seed"))
         # Seeds never share a tag, so this has one row per tag.
         seed_tags = materialize(todo.join(heads, todo["ord"] == heads["seed"]).select("tag", "seed"))
         seeds = seed_tags if seeds is None else seeds.unionByName(seed_tags)
         near = _by_tag(todo, seed_tags, few_tags).select("ord").distinct()
         todo = materialize(todo.join(near, "ord", "left_anti"))
+        before, left = left, todo.select("ord").distinct().count()
+        # Whichever settles more is used: a round, or a prefix that doubles.
+        walks = left > before * 0.75
     done = base.filter(F.size("tags") == 0).select("id", "ord", F.col("ord").alias("seed"))
     if seeds is None:
         return done
     return done.unionByName(_by_tag(tagged, seeds, few_tags).groupBy("id", "ord").agg(F.min("seed").alias("seed")))
 
 
-def dedupe_vectors(rows: DataFrame, order_col: str = "ord", threshold: float = 0.9, sweep: int = 2048) -> DataFrame:
+def _walk(tagged: DataFrame, size: int) -> DataFrame:
+    """(seed) of the plain walk over the earliest rows that have about ``size`` tags in all; one task, bounded by ``size``."""
+    head = tagged.orderBy("ord", "tag").limit(size + 1)
+    # The last row of the prefix may be cut: it waits, unless it is the only one.
+    edge = head.agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("n")).first()
+    cut = edge["n"] > size and edge["low"] < edge["high"]
+    rows = (tagged.filter(F.col("ord") < edge["high"]) if cut else tagged.filter(F.col("ord") <= edge["high"])).groupBy("ord").agg(F.collect_list("tag").alias("tags"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set[str] = set()
+        for pdf in batches:
+            found = []
+            for order, tags in zip(pdf["ord"], pdf["tags"], strict=True):
+                if taken.isdisjoint(tags):
+                    taken.update(tags)
+                    found.append(order)
+            yield pd.DataFrame({"seed": pd.Series(found, dtype="int64")})
+
+    return rows.repartition(1).sortWithinPartitions("ord").mapInPandas(walk, "seed long")
+
+
+def dedupe_vectors(rows: DataFrame, order_col: str = "ord", threshold: float = 0.9, sweep: int = SWEEP) -> DataFrame:
     """Ids kept when a row is dropped if it lies within ``threshold`` of an earlier kept row.
 
     Rows need id, embedding and a unique integer order. Rows without a vector, or with a zero one, are always kept.
-    Equal vectors collapse to the first. The earliest ``sweep`` rows are then settled and everything near them is
-    removed, which empties large groups of near copies in one step; the rest is settled in rounds that move one
-    number per row and block, never the pairs themselves.
+    Equal vectors collapse to the first. The earliest ``sweep`` rows are walked in one task, everything near the rows they
+    leave is removed, and the next ones follow: twice as many, up to ``MOST_SWEEP``, where little was removed. So each pair
+    of a kept row and a later row is multiplied once, whatever chains there are, and the number of rounds follows the rows
+    that are kept. Pairs never leave a task.
     """
     r = rows.select("id", F.col(order_col).cast("bigint").alias("ord"), "embedding")
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -65,36 +104,38 @@ def dedupe_vectors(rows: DataFrame, order_col: str = "ord", threshold: float = 0
     vectors = r.filter("_len > 0").withColumn("_print", F.sha2(F.to_json("embedding"), 256))
     first = vectors.groupBy("_print").agg(F.min(F.struct("ord", "id", "embedding")).alias("r"))
     todo = materialize(first.select("r.*"))
-    while True:
+    left = todo.count()
+    while left:
         head = materialize(todo.orderBy("ord").limit(sweep))
-        if head.isEmpty():
-            return kept
-        leaders = _settle(head, threshold)
+        leaders = materialize(_leaders(head, threshold))
         kept = kept.unionByName(leaders.select("id"))
         last = head.agg(F.max("ord")).first()[0]
         rest = todo.filter(F.col("ord") > last)
         near = earliest_match(rest, leaders, threshold)
-        before = todo.count()
         todo = materialize(rest.join(near, "id", "left_anti"))
-        after = todo.count()
-        if after > before / 2:
-            # Few rows fall to a sweep: settle what is left by rounds over all of it.
-            leaders = _settle(todo, threshold)
-            return kept.unionByName(leaders.select("id"))
-
-
-def _settle(todo: DataFrame, threshold: float) -> DataFrame:
-    """Rows kept by the first-come rule, by rounds: free rows are kept, their later neighbours leave."""
-    out = None
-    while True:
-        earlier = earliest_match(todo, todo, threshold)
-        leaders = materialize(todo.join(earlier, "id", "left_anti"))
-        out = leaders if out is None else out.unionByName(leaders)
-        rest = todo.join(leaders.select("id"), "id", "left_anti")
-        rest = materialize(rest)
-        if rest.isEmpty():
-            return out
-        near = earliest_match(rest, leaders, threshold)
-        todo = materialize(rest.join(near, "id", "left_anti"))
-        if todo.isEmpty():
-            return out
+        before, left = left, todo.count()
+        if left > before / 2:
+            sweep = min(2 * sweep, max(sweep, MOST_SWEEP))
+    return kept
+
+
+def _leaders(head: DataFrame, threshold: float) -> DataFrame:
+    """The rows of a prefix of bounded size that the plain walk keeps, walked in one task."""
+    names = head.columns
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches) or [pd.DataFrame(columns=names)]).sort_values("ord")
+        if pdf.empty:
+            return
+        m = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
+        stays = np.zeros(len(m), dtype=bool)
+        for start in range(0, len(m), 512):
+            own = m[start : start + 512]
+            open_ = ~(np.round(own @ m[:start][stays[:start]].T, DIGITS) >= threshold).any(axis=1)
+            inside = np.round(own @ own.T, DIGITS) >= threshold
+            for i in np.flatnonzero(open_).tolist():
+                if not (inside[i, :i] & stays[start : start + i]).any():
+                    stays[start + i] = True
+        yield pdf[stays]
+
+    return head.repartition(1).mapInPandas(walk, head.schema)

@@ -19,11 +19,6 @@ from memspark.operators.ordered import meet
 from memspark.operators.similarity import vector_topk
 from memspark.session import materialize, small_enough
 
-try:
-    import ahocorasick
-except ImportError:  # substring search then joins on first characters
-    ahocorasick = None
-
 # Query-side tables up to this many rows are broadcast (a few MB); beyond it both sides are shuffled.
 BROADCAST_ROWS = 100_000
 RRF_K = 60
@@ -243,45 +238,65 @@ def rerank(
 # --- Substrings ---------------------------------------------------------------------------------------
 
 
-def _literals_in(literals: list[str]):
-    """Which of the literals occur in each text, in one pass over the text: string -> array<string>."""
-    plain = [x for x in literals if x]
-    always = [""] if "" in literals else []
-    machine = ahocorasick.Automaton()
-    for x in plain:
-        machine.add_word(x, x)
-    machine.make_automaton()
+#: Lengths of the grams that texts are cut into for substring search. A needle uses the longest one that must lie whole
+#: inside each of its occurrences, wherever the cuts fall: twice its length less one is at most the needle's.
+GRAMS = (1, 2, 4, 8, 16, 32)
+
+
+def _cut(low: Column, q: int) -> Column:
+    """The different stretches of ``q`` characters that a text is cut into, from its start on."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s).{{1,{q}}}"), F.lit(0)))
+
+
+def _text_grams(texts: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """``texts`` once for each gram (_q, _gram) of the _grams that it is cut into, for all ``lengths``."""
+    each = F.array(*[F.struct(F.lit(q).alias("_q"), _cut(F.col("low"), q).alias("_grams")) for q in lengths])
+    cuts = texts.select("*", F.explode(each).alias("_cuts"))
+    return cuts.select(*texts.columns, F.col("_cuts._q").alias("_q"), F.col("_cuts._grams").alias("_grams"), F.explode("_cuts._grams").alias("_gram"))
 
-    @arrow_udf(T.ArrayType(T.StringType()))
-    def find(batch: pa.Array) -> pa.Array:
-        out = []
-        for text in batch.to_pylist():
-            found = {x for _, x in machine.iter(text)} if plain and text else set()
-            out.append(always + list(found))
-        return pa.array(out, pa.list_(pa.string()))
 
-    return find
+def _needle_grams(literals: DataFrame, texts: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(literal, _q, _gram): for each way the cuts can fall on a literal, the gram of it that the fewest texts have."""
+    q = F.col("_q")
+    places = F.transform(F.sequence(F.lit(0), F.length("literal") - q), lambda o: F.struct((o % q).alias("_fall"), F.substring(F.col("literal"), o + 1, q).alias("_gram")))
+    every = materialize(literals.select("literal", "_q", F.explode(F.array_distinct(places)).alias("_at")).select("literal", "_q", "_at.*"))
+    # With one gram for each fall there is nothing to choose.
+    if every.groupBy("literal", "_fall").count().filter("count > 1").isEmpty():
+        return every.select("literal", "_q", "_gram").distinct()
+    wanted = every.select("_q", "_gram").distinct()
+    rows = _text_grams(texts.select("id", "low"), lengths)
+    found = _meet(rows.select("id", "_q", "_gram"), wanted, ["_q", "_gram"], F.col("id")).groupBy("_q", "_gram").count()
+    counted = every.join(found, ["_q", "_gram"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    rarest = counted.groupBy("literal", "_q", "_fall").agg(F.min_by("_gram", F.struct("count", "_gram")).alias("_gram"), F.min("count").alias("count"))
+    return rarest.filter("count > 0").select("literal", "_q", "_gram").distinct()
 
 
 def literal_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """Pairs of a text row and a needle whose ``literal`` occurs in the text; an empty literal occurs everywhere.
 
-    ``texts`` has id and low (lower-case text); ``needles`` has literal (lower case) and any other columns. A bounded
-    set of needles is looked for in one pass over each text. A larger one meets the texts in an equality join on the
-    first characters (at most three) of the literal, and the literal is then checked.
+    ``texts`` has id and low (lower-case text); ``needles`` has literal (lower case) and any other columns. A text is cut
+    into stretches of q characters; an occurrence of a literal of 2 q - 1 characters or more holds one of them whole,
+    whichever way the cuts fall on it. For each way the literal's rarest gram is joined with the texts' and the literal is
+    then looked for in the text. So a text has one row for each q-th character at most, not for each, and meets only the
+    needles that share a rare gram with it.
     """
-    if ahocorasick is not None:
-        literals = [r[0] for r in needles.select("literal").distinct().limit(BROADCAST_ROWS + 1).collect()]
-        if len(literals) <= BROADCAST_ROWS:
-            hits = texts.select("*", F.explode(_literals_in(literals)(F.col("low"))).alias("literal"))
-            return _meet(hits, needles, ["literal"], F.col("id"))
-    keyed = needles.withColumn("_key", F.substring("literal", 1, 3))
-    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())
-    grams = [F.array(F.lit(""))] if 0 in lengths else []
-    grams += [tx.ngrams(F.col("low"), n) for n in lengths if n > 0]
-    keys = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    pairs = _meet(texts.select("*", F.explode(keys).alias("_key")), keyed, ["_key"], F.col("id"))
-    return pairs.filter(F.contains("low", F.col("literal"))).drop("_key")
+    kinds = needles.select("literal").distinct().withColumn("_q", F.lit(None).cast("int"))
+    for q in GRAMS:
+        kinds = kinds.withColumn("_q", F.when(F.length("literal") >= 2 * q - 1, F.lit(q)).otherwise(F.col("_q")))
+    literals = materialize(kinds)
+    lengths = sorted(r[0] for r in literals.filter("literal <> ''").select("_q").distinct().collect())  # at most len(GRAMS)
+    out = texts.select("*", F.lit("").alias("literal")) if not literals.filter("literal = ''").isEmpty() else None
+    if lengths:
+        grams = _needle_grams(literals.filter("literal <> ''"), texts, lengths)
+        whole = grams.groupBy("literal", "_q").agg(F.sort_array(F.collect_set("_gram")).alias("_all"))
+        grams = materialize(whole.select("*", F.explode("_all").alias("_gram")))
+        held = _meet(_text_grams(texts, lengths), grams, ["_q", "_gram"], F.col("id")).filter(F.contains("low", F.col("literal")))
+        # A literal may come in through several of its grams: the first of them that the text has stands for all.
+        held = held.filter(F.col("_gram") == F.array_min(F.array_intersect("_all", "_grams"))).select(*texts.columns, "literal")
+        out = held if out is None else out.unionByName(held)
+    if out is None:
+        out = texts.select("*", F.lit(None).cast("string").alias("literal")).limit(0)
+    return _meet(out, needles, ["literal"], F.col("id"))
 
 
 def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:

@@ -318,6 +318,17 @@ def best_match(t: Tables) -> DataFrame:
     return n.groupBy("query_id", "id").agg(F.count("*").alias("relation_count"), F.min("neighbour_id").alias("first"))
 
 
+@query("g02_neighbours_by_depth", f"""WITH RECURSIVE q AS ({NAMES}), best AS (SELECT query_id, arg_max(e.id, (e.importance, -CAST(substr(e.id, 2) AS BIGINT))) AS id FROM q JOIN entities e ON e.name ILIKE '%' || q.text || '%' GROUP BY 1),
+    nb AS (SELECT source_id AS id, target_id AS next FROM relations UNION SELECT target_id, source_id FROM relations),
+    walk AS (SELECT query_id, id, 0 AS depth FROM best UNION SELECT w.query_id, nb.next, w.depth + 1 FROM walk w JOIN nb ON nb.id = w.id WHERE w.depth < 3)
+    SELECT query_id, depth, count(*) AS reached, min(id) AS first FROM (SELECT query_id, id, min(depth) AS depth FROM walk GROUP BY ALL) GROUP BY ALL""")
+def by_depth(t: Tables) -> DataFrame:
+    """How many entities each query's best match reaches in one, two and three steps."""
+    best = gr.find_entities(t.entities(), names(t), 1).select("query_id", "id")
+    n = gr.neighbours_by_depth(t.entities(), t.relations(), best, 3)
+    return n.groupBy("query_id", "depth").agg(F.count("*").alias("reached"), F.min("id").alias("first"))
+
+
 @query("g04_entity_append", "SELECT id, name, 'concept' AS type, '' AS summary, 0.5e0 AS importance FROM entities UNION ALL SELECT 'p' || p_partkey, p_name, p_type, '', 0.5e0 FROM part")
 def append(t: Tables) -> DataFrame:
     part = t.raw("part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))

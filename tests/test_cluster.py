@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memspark.operators import cluster as cl
 from memspark.operators import similarity as si
@@ -35,6 +36,33 @@ def test_star_is_not_transitive(spark):
     assert {x["id"]: x["seed"] for x in cl.star_clusters(df).collect()} == {"A": 1, "B": 1, "C": 3, "D": 4}
 
 
+@pytest.mark.parametrize("size", [64, 640, 1_000_000])
+def test_star_clusters_walk_in_prefixes(spark, size, monkeypatch):
+    monkeypatch.setattr(cl, "WALK_TAGS", size)
+    r = random.Random(size)
+    rows = [(i, [f"c{i}", f"c{i + 1}"] + ([f"r{r.randrange(30)}"] if i % 5 == 0 else [])) for i in range(1, 160)]
+    df = spark.createDataFrame([(str(i), i, t) for i, t in rows], "id string, ord long, tags array<string>").repartition(3)
+    assert {x["id"]: x["seed"] for x in cl.star_clusters(df).collect()} == star(rows)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = cl.materialize
+    monkeypatch.setattr(cl, "materialize", lambda df: rounds.append(1) or real(df))
+    i = F.col("id")
+    df = spark.range(100_000).select(i.cast("string").alias("id"), i.alias("ord"), F.array(F.concat(F.lit("c"), i), F.concat(F.lit("c"), i + 1)).alias("tags"))
+    got = cl.star_clusters(df)
+    assert got.filter("seed = ord").count() == 50_000 and got.filter("seed <> ord - ord % 2").count() == 0
+    assert len(rounds) < 30
+
+
+def test_a_chain_of_vectors_is_walked(spark):
+    turn = np.arange(3000) * 0.4
+    df = spark.createDataFrame([(str(i), i, [float(np.cos(a) * (1 + i)), float(np.sin(a) * (1 + i))]) for i, a in enumerate(turn)], "id string, ord long, embedding array<double>")
+    want = first_come([np.array([np.cos(a), np.sin(a)]) for a in turn], 0.95)
+    assert {r["id"] for r in cl.dedupe_vectors(df, threshold=0.95, sweep=4).collect()} == want
+
+
 def first_come(v, threshold):
     kept, out = [], set()
     for i, x in enumerate(v):

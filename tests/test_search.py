@@ -139,11 +139,22 @@ def test_rank_fusion_values_and_ties(spark):
     assert got == [("y", round(1 / 62 + 1 / 63, 6)), ("x", round(1 / 61, 6)), ("z", round(1 / 61, 6))]
 
 
-@pytest.mark.parametrize("library", [True, False])
 @pytest.mark.parametrize("bound", [100_000, 0])
-def test_substring_paths(spark, library, bound, monkeypatch):
-    if not library:
-        monkeypatch.setattr(se, "ahocorasick", None)
+def test_literals_equal_a_plain_search(spark, bound, monkeypatch):
+    monkeypatch.setattr(se, "BROADCAST_ROWS", bound)
+    r = random.Random(8)
+    letters = "ab\né😀 "
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 150))) for _ in range(60)] + ["", None, "a" * 5000]
+    needles = {t[i : i + n] for t in texts[:40] for i in (0, 3) for n in (1, 2, 3, 6, 7, 14, 15, 40, 70)} | {"", "zz", "a" * 100}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, low string").repartition(3)
+    asked = spark.createDataFrame([(n, k) for k, n in enumerate(sorted(needles))] + [("ab", 999)], "literal string, number long")
+    got = sorted((x.id, x.literal, x.number) for x in se.literal_pairs(rows, asked).collect())
+    numbers = [(n, k) for k, n in enumerate(sorted(needles))] + [("ab", 999)]
+    assert got == sorted((i, n, k) for i, t in enumerate(texts) for n, k in numbers if n == "" or n in (t or ""))
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_substring_paths(spark, bound, monkeypatch):
     monkeypatch.setattr(se, "BROADCAST_ROWS", bound)
     docs = [("1", "Alpha 100 percent", "", 1), ("2", "beta 100% sure", None, 2), ("3", "gamma", "an ALPHA summary", 3), ("4", "a_b", "", 4), ("5", "axb", "", 5)]
     c = spark.createDataFrame(docs, "id string, content string, summary string, at int").withColumn("created_at", F.timestamp_seconds("at").cast("timestamp_ntz"))
