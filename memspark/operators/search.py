@@ -249,10 +249,10 @@ def _cut(low: Column, q: int) -> Column:
 
 
 def _text_grams(texts: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """``texts`` once for each gram (_q, _gram) of the _grams that it is cut into, for all ``lengths``."""
+    """``texts`` once for each gram (_q, _gram) that it is cut into, for all ``lengths``."""
     each = F.array(*[F.struct(F.lit(q).alias("_q"), _cut(F.col("low"), q).alias("_grams")) for q in lengths])
     cuts = texts.select("*", F.explode(each).alias("_cuts"))
-    return cuts.select(*texts.columns, F.col("_cuts._q").alias("_q"), F.col("_cuts._grams").alias("_grams"), F.explode("_cuts._grams").alias("_gram"))
+    return cuts.select(*texts.columns, F.col("_cuts._q").alias("_q"), F.explode("_cuts._grams").alias("_gram"))
 
 
 def _needle_grams(literals: DataFrame, texts: DataFrame, lengths: Sequence[int]) -> DataFrame:
@@ -278,7 +278,8 @@ def literal_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     into stretches of q characters; an occurrence of a literal of 2 q - 1 characters or more holds one of them whole,
     whichever way the cuts fall on it. For each way the literal's rarest gram is joined with the texts' and the literal is
     then looked for in the text. So a text has one row for each q-th character at most, not for each, and meets only the
-    needles that share a rare gram with it.
+    needles that share a rare gram with it. A pair comes once for each of the literal's grams that the text has, at most q
+    times: callers make what they keep of it distinct.
     """
     kinds = needles.select("literal").distinct().withColumn("_q", F.lit(None).cast("int"))
     for q in GRAMS:
@@ -287,12 +288,9 @@ def literal_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in literals.filter("literal <> ''").select("_q").distinct().collect())  # at most len(GRAMS)
     out = texts.select("*", F.lit("").alias("literal")) if not literals.filter("literal = ''").isEmpty() else None
     if lengths:
-        grams = _needle_grams(literals.filter("literal <> ''"), texts, lengths)
-        whole = grams.groupBy("literal", "_q").agg(F.sort_array(F.collect_set("_gram")).alias("_all"))
-        grams = materialize(whole.select("*", F.explode("_all").alias("_gram")))
+        grams = materialize(_needle_grams(literals.filter("literal <> ''"), texts, lengths))
         held = _meet(_text_grams(texts, lengths), grams, ["_q", "_gram"], F.col("id")).filter(F.contains("low", F.col("literal")))
-        # A literal may come in through several of its grams: the first of them that the text has stands for all.
-        held = held.filter(F.col("_gram") == F.array_min(F.array_intersect("_all", "_grams"))).select(*texts.columns, "literal")
+        held = held.select(*texts.columns, "literal")
         out = held if out is None else out.unionByName(held)
     if out is None:
         out = texts.select("*", F.lit(None).cast("string").alias("literal")).limit(0)
@@ -302,7 +300,7 @@ def literal_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
 def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(id, needle) for every needle contained in a text. ``texts``: id, low. ``needles``: needle, lower case."""
     n = needles.select("needle").filter("needle <> ''").distinct().withColumn("literal", F.col("needle"))
-    return literal_pairs(texts, n).select("id", "needle")
+    return literal_pairs(texts, n).select("id", "needle").distinct()
 
 
 def search_substring(
@@ -332,7 +330,7 @@ def search_substring(
     wild = F.ilike("content", pattern) | F.ilike("summary", pattern)
     pairs = _in_scope(literal_pairs(texts, q), scopes)
     hits = materialize(
-        pairs.filter(F.when(F.col("wild"), wild).otherwise(plain)).select("query_id", "id", "created_at")
+        pairs.filter(F.when(F.col("wild"), wild).otherwise(plain)).select("query_id", "id", "created_at").distinct()
     )
     totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
     page = top_per_group(hits, ["query_id"], [F.col("created_at").desc(), F.col("id")], offset + limit)

@@ -148,7 +148,7 @@ def test_literals_equal_a_plain_search(spark, bound, monkeypatch):
     needles = {t[i : i + n] for t in texts[:40] for i in (0, 3) for n in (1, 2, 3, 6, 7, 14, 15, 40, 70)} | {"", "zz", "a" * 100}
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, low string").repartition(3)
     asked = spark.createDataFrame([(n, k) for k, n in enumerate(sorted(needles))] + [("ab", 999)], "literal string, number long")
-    got = sorted((x.id, x.literal, x.number) for x in se.literal_pairs(rows, asked).collect())
+    got = sorted({(x.id, x.literal, x.number) for x in se.literal_pairs(rows, asked).collect()})
     numbers = [(n, k) for k, n in enumerate(sorted(needles))] + [("ab", 999)]
     assert got == sorted((i, n, k) for i, t in enumerate(texts) for n, k in numbers if n == "" or n in (t or ""))
 
