@@ -190,8 +190,14 @@ def strip_prefixes(c: Column, prefixes: Sequence[str], limit: int = 120) -> Colu
     return F.nullif(F.substring(s, 1, limit), F.lit(""))
 
 
-def fingerprint(c: Column, chars: int) -> Column:
-    return F.lower(strip(F.substring(text_or_empty(c), 1, chars)))
+def opening(c: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; the whole text where there is no such limit."""
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def fingerprint(c: Column, chars: int | None = None) -> Column:
+    """What texts are compared by: lower case, without white space around; of the opening only, if ``chars`` is given."""
+    return F.lower(strip(opening(text_or_empty(c), chars)))
 
 
 def snippet(content: Column, query: Column, length: int = 240) -> Column:

@@ -49,9 +49,9 @@ def trigger_hits(text: Column, lexicon: Lexicon = FULL, negations: Sequence[str]
     return F.filter(F.array(*entries), holds)
 
 
-def affect(text: Column, lexicon: Lexicon = FULL, negations: Sequence[str] = lx.NEGATIONS, chars: int = 400) -> Column:
-    """struct(dominant, valence, color) of the first ``chars`` characters of a text."""
-    shifts = F.flatten(F.transform(trigger_hits(F.substring(text, 1, chars), lexicon, negations), lambda h: h["shifts"]))
+def affect(text: Column, lexicon: Lexicon = FULL, negations: Sequence[str] = lx.NEGATIONS, chars: int | None = None) -> Column:
+    """struct(dominant, valence, color) of a text, or of its first ``chars`` characters."""
+    shifts = F.flatten(F.transform(trigger_hits(tx.opening(text, chars), lexicon, negations), lambda h: h["shifts"]))
     dims = F.array_distinct(F.transform(shifts, lambda s: s["dim"]))
     sums = F.transform(
         dims,

@@ -273,9 +273,9 @@ def upsert_knowledge(entries: DataFrame, memories: DataFrame, max_loss: float =
 # --- One-shot consolidation -----------------------------------------------------------------------------
 
 
-def keep_first_by_fingerprint(members: DataFrame, group: str = "seed", chars: int = 100) -> DataFrame:
-    """Inside each group one row per text start, the most important one (earliest among equals)."""
-    key = tx.fingerprint(F.col("content"), chars)
+def keep_first_by_fingerprint(members: DataFrame, group: str = "seed", chars: int | None = None) -> DataFrame:
+    """Inside each group one row per text, or per opening of ``chars`` characters: the most important one (earliest among equals)."""
+    key = F.sha2(tx.fingerprint(F.col("content"), chars), 256)
     best = F.max_by(F.struct(*[F.col(c) for c in members.columns]), F.struct(F.coalesce("importance", F.lit(0.0)), -F.col("ord")))
     return members.groupBy(group, key.alias("_print")).agg(best.alias("_r")).select("_r.*")
 
@@ -308,17 +308,18 @@ def cluster_knowledge(kept: DataFrame) -> DataFrame:
     return agg.join(sources, "seed")
 
 
-def consolidate(memories: DataFrame, limit: int | None = None, agent_id: str | None = None, patterns: int | None = None, entries: int | None = None):
+def consolidate(memories: DataFrame, limit: int | None = None, agent_id: str | None = None, patterns: int | None = None, entries: int | None = None, chars: int | None = None):
     """One-shot pass over an agent's rows: (clusters, kept rows, patterns, knowledge).
 
     ``limit`` takes its newest rows only, ``patterns`` and ``entries`` the first clusters of either kind; None takes all.
+    Rows that agree in their text, or in its first ``chars`` characters, count once in a cluster.
     """
     newest = fl.scope(memories, agent_id=agent_id)
     newest = newest if limit is None else fl.recent(newest, limit)
     stamped = newest.withColumn("_stamp", -micros(F.col("created_at")))
     rows = materialize(row_numbers(stamped, [], ["_stamp", "id"], "ord").drop("_stamp").withColumn("ord", F.col("ord").cast("bigint")))
     clusters = materialize(star_clusters(rows))
-    kept = materialize(keep_first_by_fingerprint(clusters.select("id", "seed").join(rows, "id")))
+    kept = materialize(keep_first_by_fingerprint(clusters.select("id", "seed").join(rows, "id"), chars=chars))
     repeated, knowledge = cluster_patterns(kept).orderBy("seed"), cluster_knowledge(kept).orderBy("seed")
     repeated = repeated if patterns is None else repeated.limit(patterns)
     return clusters, kept, repeated, knowledge if entries is None else knowledge.limit(entries)

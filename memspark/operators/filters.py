@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from memspark.functions import text as tx
 from pyspark.sql.window import Window
 
 # Fixed values.
@@ -70,10 +72,10 @@ def recent_then_important(df: DataFrame, keys: Sequence[str], pool: int, k: int
 
 
 def capture_tool_results(
-    events: DataFrame, denied: Sequence[str], label: str = "tool_result", limit: int = 4000
+    events: DataFrame, denied: Sequence[str], label: str = "tool_result", limit: int | None = None
 ) -> DataFrame:
     """Tool outputs as low-importance rows; outputs of recall tools are not kept. Needs (tool, text)."""
-    content = F.substring(F.concat(F.lit(f"[{label}:"), F.col("tool"), F.lit("] "), F.col("text")), 1, limit)
+    content = tx.opening(F.concat(F.lit(f"[{label}:"), F.col("tool"), F.lit("] "), F.col("text")), limit)
     return (
         events.filter(~F.col("tool").isin(*denied) & (F.coalesce("text", F.lit("")) != ""))
         .withColumn("content", content)

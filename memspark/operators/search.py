@@ -226,11 +226,11 @@ def rerank(
     corpus: DataFrame,
     limit: int,
     scorer: Callable[[Column, Column], Column] = token_overlap,
-    chars: int = 4000,
+    chars: int | None = None,
 ) -> DataFrame:
-    """Re-order fused candidates by a scorer on the first ``chars`` characters; a null score keeps fused order."""
+    """Re-order fused candidates by a scorer on the text, or its first ``chars`` characters; a null score keeps fused order."""
     joined = candidates.join(queries.select("query_id", "text"), "query_id").join(corpus.select("id", "content"), "id")
-    scored = joined.withColumn("rerank_score", F.round(scorer(F.col("text"), F.substring("content", 1, chars)), 9))
+    scored = joined.withColumn("rerank_score", F.round(scorer(F.col("text"), tx.opening(F.col("content"), chars)), 9))
     order = [F.col("rerank_score").desc_nulls_last(), F.col("position")]
     return top_per_group(scored.drop("text", "content"), ["query_id"], order, limit, "rerank_position")
 
@@ -402,11 +402,14 @@ def layered_recall(
     mood: Callable[[Column], Column] | None = None,
     limit: int = 10,
     include_self: bool = False,
+    shown: int | None = None,
+    compared: int | None = None,
 ) -> DataFrame:
     """Session buffer, near memory and deep memory merged: (query_id, layer, id, content, score, position).
 
     ``session`` is (query_id, seq, text) with the newest entries last; ``fused`` is a hybrid result cut at twice
-    ``limit``. Layers without hits are not numbered. Equal texts (first 80 characters) are kept once.
+    ``limit``. Layers without hits are not numbered. Equal texts are kept once. ``shown`` cuts
+    the content that is returned, ``compared`` the opening that decides whether texts are equal; by default neither cuts.
     """
     recent = top_per_group(session, ["query_id"], [F.col("seq").desc()], limit + (0 if include_self else 1), "_back")
     if not include_self:
@@ -416,13 +419,13 @@ def layered_recall(
     none = F.lit(None).cast("string")
     heard = talk.select(
         "query_id", F.lit(0).alias("_layer"), F.col("seq").cast("int").alias("_at"), none.alias("id"),
-        F.substring("text", 1, 200).alias("content"), F.array().cast("array<string>").alias("tags"),
+        F.col("text").alias("content"), F.array().cast("array<string>").alias("tags"),
     )
     rows = fused.filter(F.col("position") <= 2 * limit).join(corpus.select("id", "content", "tags"), "id")
     layers = F.when(F.col("position") <= limit, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     stored = rows.select(
         "query_id", F.explode(layers).alias("_layer"), F.col("position").alias("_at"), "id",
-        F.substring("content", 1, 200).alias("content"), "tags",
+        "content", "tags",
     )
     every = heard.unionByName(stored)
     # At most 3 * limit + 1 rows per query from here on.
@@ -441,6 +444,6 @@ def layered_recall(
         score.alias("score"), F.col("item._layer").alias("_layer"), before.alias("_before"),
     )
     order = [F.col("score").desc(), F.col("_layer"), F.col("_before")]
-    scored = scored.withColumn("_key", tx.fingerprint(F.col("content"), 80)).filter("_key <> ''")
+    scored = scored.withColumn("_key", tx.fingerprint(F.col("content"), compared)).filter("_key <> ''")
     unique = top_per_group(scored, ["query_id", "_key"], order, 1, "_dup")
-    return top_per_group(unique, ["query_id"], order, limit, "position").drop("_layer", "_before", "_key", "_dup")
+    return top_per_group(unique, ["query_id"], order, limit, "position").withColumn("content", tx.opening(F.col("content"), shown)).drop("_layer", "_before", "_key", "_dup")

@@ -149,7 +149,7 @@ def backfill(t: Tables) -> DataFrame:
     return ro.backfill_embeddings(m).select("id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("used_dims"))
 
 
-@query("i14_backfill_summaries", """WITH s AS (SELECT id, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS c, trim(regexp_replace(left(trim(content, ' ' || chr(10)), 2000), '\\s+', ' ', 'g'), ' ') AS head, length(trim(content, ' ' || chr(10))) AS n FROM memories_base WHERE status = 'active' AND summary = ''),
+@query("i14_backfill_summaries", """WITH s AS (SELECT id, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') AS c, trim(regexp_replace(trim(content, ' ' || chr(10)), '\\s+', ' ', 'g'), ' ') AS head, length(trim(content, ' ' || chr(10))) AS n FROM memories_base WHERE status = 'active' AND summary = ''),
     o AS (SELECT *, regexp_extract(head, '^(.*?[.!?。！？])(?:\\s|$)', 1) AS one FROM s)
     SELECT id, left(CASE WHEN n <= 50 THEN c WHEN one <> '' THEN one ELSE head END, 120) AS new_summary FROM o""")
 def summaries(t: Tables) -> DataFrame:

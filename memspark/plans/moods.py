@@ -61,7 +61,7 @@ def triggers(t: Tables) -> DataFrame:
     return found.select("doc_id", "h.keyword", F.explode("h.shifts").alias("s")).select("doc_id", "keyword", "s.dim", "s.shift")
 
 
-AFFECT_SQL = f"""texts AS (SELECT id AS key, left(content || chr(10) || summary, 400) AS body FROM memories_base), {LEX},
+AFFECT_SQL = f"""texts AS (SELECT id AS key, content || chr(10) || summary AS body FROM memories_base), {LEX},
     sums AS (SELECT key, dim, sum(shift ORDER BY ord) AS v, min(ord) AS first FROM hits GROUP BY ALL),
     dom AS (SELECT key, arg_max(dim, (round(abs(v), 9), -first)) AS dominant,
       coalesce(sum(v) FILTER (dim IN ('happiness', 'closeness', 'curiosity', 'excitement')), 0) - coalesce(sum(v) FILTER (dim IN ('worry', 'fatigue')), 0) AS val FROM sums GROUP BY key),

@@ -154,7 +154,7 @@ def summary(t: Tables) -> DataFrame:
 
 
 KEPT = f"""{STAR.format(ACTIVE_ROWS)},
-    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(left(m.content, 100), ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
+    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(m.content, ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
       FROM star s JOIN memories_base m ON m.id = s.id) WHERE d = 1)"""
 
 
@@ -322,9 +322,9 @@ def entries(t: Tables) -> DataFrame:
                     F.array_join("tags", ",").alias("tags"), "action")
 
 
-@query("c08_one_shot", f"""WITH RECURSIVE newest AS (SELECT * FROM memories_base WHERE status = 'active' AND agent_id = 'en' ORDER BY created_at DESC, id LIMIT 200),
+@query("c08_one_shot_page", f"""WITH RECURSIVE newest AS (SELECT * FROM memories_base WHERE status = 'active' AND agent_id = 'en' ORDER BY created_at DESC, id LIMIT 200),
     {STAR.format("SELECT id, tags, row_number() OVER (ORDER BY created_at DESC, id) AS rn FROM newest")},
-    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(left(m.content, 100), ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
+    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(m.content, ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
       FROM star s JOIN newest m ON m.id = s.id) WHERE d = 1),
     o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, rn) AS k FROM kept)
     SELECT seed, count(*) AS size, round(least(1, avg(importance) * 1.2), 6) AS importance, string_agg(id, ',' ORDER BY k) FILTER (k <= 5) AS sources FROM o GROUP BY seed HAVING count(*) >= 2 ORDER BY seed LIMIT 5""")
@@ -333,9 +333,9 @@ def one_shot(t: Tables) -> DataFrame:
     return k.select("seed", "size", F.round("importance", 6).alias("importance"), F.array_join("sources", ",").alias("sources"))
 
 
-@query("c08_one_shot_whole", f"""WITH RECURSIVE newest AS (SELECT * FROM memories_base WHERE status = 'active' AND agent_id = 'en'),
+@query("c08_one_shot", f"""WITH RECURSIVE newest AS (SELECT * FROM memories_base WHERE status = 'active' AND agent_id = 'en'),
     {STAR.format("SELECT id, tags, row_number() OVER (ORDER BY created_at DESC, id) AS rn FROM newest")},
-    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(left(m.content, 100), ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
+    kept AS (SELECT * FROM (SELECT s.seed, s.rn, m.*, row_number() OVER (PARTITION BY s.seed, lower(trim(m.content, ' ' || chr(10) || chr(9))) ORDER BY m.importance DESC, s.rn) AS d
       FROM star s JOIN newest m ON m.id = s.id) WHERE d = 1),
     o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, rn) AS k FROM kept)
     SELECT seed, count(*) AS size, round(least(1, avg(importance) * 1.2), 6) AS importance, string_agg(id, ',' ORDER BY k) FILTER (k <= 5) AS sources FROM o GROUP BY seed HAVING count(*) >= 2""")
@@ -380,13 +380,13 @@ def forget_apply(t: Tables) -> DataFrame:
     return rows.select("id", "status")
 
 
-@query("c12_forget_dry_run", f"WITH {FORGET} SELECT count(*) AS scanned, count(*) FILTER (action <> 'keep') AS archived FROM (SELECT * FROM fv WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 500)")
+@query("c12_forget_dry_run_page", f"WITH {FORGET} SELECT count(*) AS scanned, count(*) FILTER (action <> 'keep') AS archived FROM (SELECT * FROM fv WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 500)")
 def forget_dry(t: Tables) -> DataFrame:
     """Counts over the newest 500 rows, the page the report is defined on."""
     return lc.apply_forget(t.memories(), as_of(), 500)[1]
 
 
-@query("c12_forget_dry_run_whole", f"WITH {FORGET} SELECT count(*) AS scanned, count(*) FILTER (action <> 'keep') AS archived FROM fv WHERE status = 'active'")
+@query("c12_forget_dry_run", f"WITH {FORGET} SELECT count(*) AS scanned, count(*) FILTER (action <> 'keep') AS archived FROM fv WHERE status = 'active'")
 def forget_dry_whole(t: Tables) -> DataFrame:
     """Counts over all active rows."""
     return lc.apply_forget(t.memories(), as_of())[1]

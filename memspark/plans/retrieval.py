@@ -81,7 +81,7 @@ TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
     f"""SELECT query_id, id, position, rerank_score, rerank_position FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, position) AS rerank_position
         FROM (SELECT f.query_id, f.id, f.position,
-            round(len(list_intersect(list_distinct({TOKENS.format('q.text')}), {TOKENS.format('left(m.content, 4000)')}))
+            round(len(list_intersect(list_distinct({TOKENS.format('q.text')}), {TOKENS.format('m.content')}))
               / CAST(len(list_distinct({TOKENS.format('q.text')})) AS DOUBLE), 9) AS rerank_score
           FROM fused f JOIN queries q ON q.query_id = f.query_id JOIN memories_base m ON m.id = f.id
           WHERE f.position <= 50)) WHERE rerank_position <= 10""",
@@ -184,14 +184,14 @@ def lookup(t: Tables) -> DataFrame:
         coalesce(1e0 / (60 + t.rank), 0) + coalesce(1e0 / (60 + v.rank), 0) AS s
       FROM (SELECT * FROM text_hits WHERE rank <= 50) t FULL JOIN (SELECT * FROM vec_hits WHERE rank <= 50) v ON t.query_id = v.query_id AND t.id = v.id)),
     every AS (
-      SELECT t.query_id, 0 AS layer, t.turn AS place, CAST(NULL AS VARCHAR) AS id, left(t.text, 200) AS content, CAST([] AS VARCHAR[]) AS tags
+      SELECT t.query_id, 0 AS layer, t.turn AS place, CAST(NULL AS VARCHAR) AS id, t.text AS content, CAST([] AS VARCHAR[]) AS tags
       FROM talk t JOIN ask a ON a.query_id = t.query_id AND t.back BETWEEN 2 AND 11 AND contains(lower(t.text), a.text)
-      UNION ALL SELECT f.query_id, 1, f.position, f.id, left(m.content, 200), m.tags FROM fuse f JOIN memories_base m ON m.id = f.id WHERE f.position <= 20
-      UNION ALL SELECT f.query_id, 2, f.position, f.id, left(m.content, 200), m.tags FROM fuse f JOIN memories_base m ON m.id = f.id WHERE f.position <= 10),
+      UNION ALL SELECT f.query_id, 1, f.position, f.id, m.content, m.tags FROM fuse f JOIN memories_base m ON m.id = f.id WHERE f.position <= 20
+      UNION ALL SELECT f.query_id, 2, f.position, f.id, m.content, m.tags FROM fuse f JOIN memories_base m ON m.id = f.id WHERE f.position <= 10),
     ranked AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY layer) AS lr, row_number() OVER (PARTITION BY query_id, layer ORDER BY place) AS pos FROM every),
     scored AS (SELECT *, round((1e0 / (60 + lr) + 1e0 / (60 + pos)) * (1 + CASE WHEN list_contains(tags, 'src1') THEN 0.15e0 ELSE 0 END), 4) AS score FROM ranked),
-    uniq AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(left(content, 80), ' ' || chr(10))) ORDER BY score DESC, layer, pos) AS dup
-      FROM scored WHERE trim(left(content, 80), ' ' || chr(10)) <> '')
+    uniq AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(content, ' ' || chr(10))) ORDER BY score DESC, layer, pos) AS dup
+      FROM scored WHERE trim(content, ' ' || chr(10)) <> '')
     SELECT query_id, ['conscious', 'preconscious', 'subconscious'][layer + 1] AS layer, coalesce(id, '') AS id, score, position FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, layer, pos) AS position FROM uniq WHERE dup = 1) WHERE position <= 10""",
 )

@@ -57,7 +57,7 @@ def low_trust(t: Tables) -> DataFrame:
     return fl.low_trust(t.memories_base(), sources=("src0", "src7")).select("id")
 
 
-@query("p08_tool_result_capture", """SELECT event_id, tool, left('[tool_result:' || tool || '] ' || props, 4000) AS content, 'tool_result' AS type, 0.3e0 AS importance
+@query("p08_tool_result_capture", """SELECT event_id, tool, '[tool_result:' || tool || '] ' || props AS content, 'tool_result' AS type, 0.3e0 AS importance
        FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'recall' WHEN 'click' THEN 'context' ELSE event_type END AS tool, props FROM events)
        WHERE tool NOT IN ('recall', 'context') AND coalesce(props, '') <> ''""")
 def capture(t: Tables) -> DataFrame:
@@ -281,7 +281,7 @@ def latest_run(t: Tables) -> DataFrame:
 
 
 @query("w04_first_by_fingerprint", """SELECT agent_id, id FROM (SELECT agent_id, id, row_number() OVER (
-         PARTITION BY agent_id, lower(trim(left(content, 100), ' ' || chr(10) || chr(9))) ORDER BY importance DESC, n) AS r FROM memories_base) WHERE r = 1""")
+         PARTITION BY agent_id, lower(trim(content, ' ' || chr(10) || chr(9))) ORDER BY importance DESC, n) AS r FROM memories_base) WHERE r = 1""")
 def fingerprint(t: Tables) -> DataFrame:
     m = t.memories_base().select("agent_id", "id", "content", "importance", F.col("n").alias("ord"))
     return co.keep_first_by_fingerprint(m, "agent_id").select("agent_id", "id")

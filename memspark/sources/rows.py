@@ -65,9 +65,9 @@ def backfill_embeddings(rows: DataFrame, head: str = "content", tail: str = "sum
     return have.unionByName(need)
 
 
-def first_sentence(c: Column, chars: int = 2000) -> Column:
-    """Default summariser: the first sentence of the opening of a text."""
-    s = tx.collapse_spaces(F.substring(tx.strip(c), 1, chars))
+def first_sentence(c: Column, chars: int | None = None) -> Column:
+    """Default summariser: the first sentence of a text, or of its first ``chars`` characters."""
+    s = tx.collapse_spaces(tx.opening(tx.strip(c), chars))
     one = F.regexp_extract(s, "^(.*?[.!?。！？])(?:\\s|$)", 1)
     return F.when(one != "", one).otherwise(s)
 

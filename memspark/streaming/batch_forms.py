@@ -32,7 +32,7 @@ def session_buffer(entries: DataFrame, key: str, order: str, keep: int = 20, rea
     return last.withColumn("place", -F.col("_back")).drop("_back")
 
 
-def throttled_turns(turns: DataFrame, key: str, order: str, block: str, failed: str, every: int = 3, limit: int = 1500) -> DataFrame:
+def throttled_turns(turns: DataFrame, key: str, order: str, block: str, failed: str, every: int = 3, limit: int | None = None) -> DataFrame:
     """(key, order, text, refreshed): the context block that goes with each turn.
 
     A new block is taken when there is none or ``every`` turns have passed; an empty one clears it; after a failed request
