@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from pyspark.sql import Window as W
 INDEX_ROWS, QUERY_ROWS = 16_384, 1_024
 #: Slices of an attribute that are indexed: its highest bits. The bits below them widen the boundary.
 SLICES = 6
+#: Scaled components are cut to this size, so that sums of products have 38 digits at most.
+LARGEST = float(1 << 57)
 #: Bits of a query's weight that are multiplied; the rest widens the boundary too.
 WEIGHT_BITS = 7
 
@@ -116,14 +120,16 @@ class SlicedIndex:
         rows = self.candidates(query, k + int((ids == own).sum()))
         rows = rows[ids[rows] != own]
         score = exact_products(self.values[rows], query)
-        order = np.lexsort((ids[rows], -score))[:k]
-        return score[order], ids[rows][order]
+        order = np.lexsort((ids[rows], -score)) if score.dtype != object else sorted(range(len(rows)), key=lambda i: (-score[i], ids[rows[i]]))
+        return score[order[:k]], ids[rows][order[:k]]
 
 
 def exact_products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floating point where that is exact, which is faster."""
+    """Integer inner products; in floating point where that is exact, which is faster, in Python's integers where 64 bits are too few."""
     most = float(np.abs(values).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query))
-    return (values.astype(np.float64) @ query.astype(np.float64)).astype(np.int64) if most < 2**53 else values @ query
+    if most < 2**53:
+        return (values.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    return values @ query if most < 2**62 else values.astype(object) @ query.astype(object)
 
 
 def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50, scale: int = 256, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -137,15 +143,14 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
 
     Rows with a null key, a null or empty vector, or a null or non-finite component take no part. Vectors are compared
     with those of the same length only. Repeated rows are candidates of their own; as queries equal rows are one, and
-    different vectors of one ``key`` are answered together. Components are expected within 2^31 /
-    ``scale``, larger ones raise an error. An empty table gives an empty one; other columns are not looked at.
+    different vectors of one ``key`` are answered together. Components of a size over 2^57 / ``scale`` are cut
+    to it; a score beyond 64 bits ranks by its value and is returned as null. An empty table gives an empty one; other columns are not looked at.
     """
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     usable = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    whole = F.transform("x", lambda v: F.floor(v * float(scale)).cast("long"))
+    whole = F.transform("x", lambda v: F.floor(F.greatest(F.least(v * float(scale), F.lit(LARGEST)), F.lit(-LARGEST))).cast("long"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0))
     rows = rows.filter(F.coalesce(usable, F.lit(False))).select("id", F.size("x").alias("dims"), whole.alias("x"))
-    rows = rows.withColumn("x", F.when(F.forall("x", lambda v: F.abs(v) < 2**31), F.col("x")).otherwise(F.raise_error(F.lit("a component is too large"))))
     queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "x"])
     n, m = rows.count(), queries.count()
     blocks, query_blocks = max(1, round(n / index_rows)), max(1, -(-m // query_rows))
@@ -159,16 +164,16 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
         asks = pdf["asks"].to_numpy(dtype=bool)
         ids = pdf["id"].to_numpy(dtype=np.int64)
         if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": object})
         values = np.stack(pdf["x"].to_numpy()).astype(np.int64)
         index, own = SlicedIndex(values[~asks]), ids[~asks]
         made = []
         for query, qid in zip(values[asks], ids[asks], strict=True):
             score, found = index.best(query, own, qid, k)
-            made.append((np.full(len(found), qid), found, score))
+            made.append((np.full(len(found), qid), found, np.array([Decimal(int(s)) for s in score], dtype=object)))
         return pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
 
-    found = both.groupBy("dims", "i", "q").applyInPandas(search, "query_id long, id long, score long")
+    found = both.groupBy("dims", "i", "q").applyInPandas(search, "query_id long, id long, score decimal(38,0)")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), F.expr("try_cast(score AS long)").alias("score"))

@@ -24,6 +24,8 @@ LEVELS = 4
 MANY, LITERAL_SHARE = 20, 0.05
 #: Pages by which a parent's rate counts when a child's is smoothed; deviations within which branches are alike.
 PRIOR, ALIKE = 8.0, 1.96
+#: What is taken for the share of blocked pages before any label is seen; below the bar, so that no single label blocks all.
+USUAL = 0.25
 #: Smoothed share of blocked pages from which a template is rejected.
 IMPURE = 0.5
 
@@ -67,7 +69,7 @@ def shape(segment: Column) -> Column:
 
 def _levels(path: Column) -> list[Column]:
     """The first segments' shapes (null past the end) and whether there are more: no path makes a longer template."""
-    segments = F.filter(F.split(path, "/", LEVELS + 2), lambda x: x != "")
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
     each = [shape(F.get(segments, F.lit(i))) for i in range(LEVELS)]
     return [*each, F.when(F.size(segments) > LEVELS, "**")]
 
@@ -78,7 +80,8 @@ def template_tree(rows: DataFrame) -> DataFrame:
     Pages are counted by lexical template first, so the tree is built on templates only, however many pages a host has.
     Level by level, a node with many children, most of which are rare, is variable: its rare children become one
     wildcard. Rates of blocked pages are smoothed from the whole to the host and down the levels, each by its parent's
-    rate. A branch whose rate is not significantly different from its parent's is merged: it takes its parent's rate.
+    rate. Siblings whose rates lie on one side of their parent's are pooled, and a branch that does not differ significantly
+    from its pool is merged with it: it takes the pool's rate where that differs from the parent's, else the parent's.
     """
     lexical = ["host", *[f"s{i}" for i in range(LEVELS)], "tail"]
     counted = [F.count("*").alias("pages"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")]
@@ -106,19 +109,29 @@ def _without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in on]), "left_anti")
 
 
+def _far(blocked: Column, n: Column, rate: Column) -> Column:
+    """Whether so many blocked of ``n`` pages differ significantly from a rate."""
+    return F.abs(blocked - n * rate) / F.sqrt(F.greatest(n * rate * (1 - rate), F.lit(1e-9))) > ALIKE
+
+
 def _purity(tree: DataFrame, total: int) -> DataFrame:
     """``tree`` with rate, the smoothed share of blocked pages of each row's template."""
     whole = tree.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).first()
     b, a = whole["b"] or 0, whole["a"] or 0
-    tree = tree.withColumn("rate", F.lit((b + PRIOR / 2 * IMPURE) / (a + b + PRIOR / 2)))
+    tree = tree.withColumn("rate", F.lit((b + PRIOR / 2 * USUAL) / (a + b + PRIOR / 2)))
     keys: list[str] = []
     for key in ["host", *[f"g{i}" for i in range(LEVELS)], "tail"]:
         keys = [*keys, key]
         node = tree.groupBy(*keys).agg(F.sum("blocked").alias("nb"), F.sum("allowed").alias("na"), F.max("rate").alias("above"), F.count("*").alias("node_rows"))
         n, p = F.col("nb") + F.col("na"), F.col("above")
+        side = F.when(n == 0, 0).when(F.col("nb") > n * p, 1).otherwise(-1)
+        node = kept(node.withColumn("side", side).withColumn("top", F.lit(0)))
+        pool_keys = ["top", *keys[:-1], "side"]
+        pool = kept(node.groupBy(*pool_keys).agg(F.sum("nb").alias("pb"), F.sum(n).alias("pn"), F.count("*").alias("kids"), F.max("above").alias("pa")))
+        pooled = F.when(_far(F.col("pb"), F.col("pn"), F.col("pa")), (F.col("pb") + PRIOR * F.col("pa")) / (F.col("pn") + PRIOR)).otherwise(F.col("pa"))
+        node = attach(node, kept(pool.select(*pool_keys, "kids", pooled.alias("pooled"))), pool_keys, "kids", total)
         smoothed = (F.col("nb") + PRIOR * p) / (n + PRIOR)
-        deviation = F.abs(F.col("nb") - n * p) / F.sqrt(F.greatest(n * p * (1 - p), F.lit(1e-9)))
-        rate = F.when((n == 0) | (deviation <= ALIKE), p).otherwise(smoothed)
+        rate = F.when(n == 0, p).when(_far(F.col("nb"), n, F.col("pooled")), smoothed).otherwise(F.col("pooled"))
         facts = kept(node.select(*keys, "node_rows", rate.alias("own_rate")))
         tree = kept(attach(tree, facts, keys, "node_rows", total).withColumn("rate", F.col("own_rate")).drop("own_rate", "node_rows"))
     return tree

@@ -1,5 +1,6 @@
 """Language identification, personal data, URL filters and search against plain Python."""
 
+import math
 import hashlib
 import random
 import re
@@ -218,3 +219,28 @@ def test_few_rows_are_candidates():
     for i in range(20):
         score = values @ values[i]
         assert set(np.argsort(-score)[:5]) <= set(index.candidates(values[i], 5))
+
+
+def test_alike_siblings_are_pooled_and_one_label_blocks_nothing_else(spark):
+    urls = [f"http://a.example/x/s{chr(97 + i)}/p{j}" for i in range(10) for j in "uv"] + [f"http://a.example/y/t{chr(97 + i % 26)}/q{i}" for i in range(40)]
+    rules = tuple(("a.example", f"/x/s{chr(97 + i)}/pu", "block") for i in range(10)) + (("a.example", "/y/", "allow"),)
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r for r in url_filter.judge_urls(rows, rules=rules).collect()}
+    assert all(got[f"http://a.example/x/s{chr(97 + i)}/pv"].verdict == "block" for i in range(10))
+    one = spark.createDataFrame([(1, "http://b.example/ads/1"), (2, "http://c.example/x"), (3, None), (4, "http://a.net//b///c/d/e"), (5, "http://a.net/" + "k/" * 5000)], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judge_urls(one, rules=(("b.example", "/ads/", "block"),)).collect()}
+    assert [found[k].verdict for k in (1, 2, 3)] == ["block", "allow", "allow"]
+    assert found[4].template == "a.net/b/c/d/e" and found[5].template == "a.net/k/k/k/k/**"
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    r = random.Random(2)
+    size = lambda: r.choice([1.0, 1e3, 1e9, 1e14, 1e30])
+    rows = [(i, [r.uniform(-1, 1) * size() for _ in range(4)]) for i in range(120)]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), index_rows=40).collect()
+    x = {i: [max(-(2**57), min(2**57, math.floor(256 * v))) for v in e] for i, e in rows}
+    for q in (0, 50, 100):
+        best = sorted(((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x if i != q))[:5]
+        mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
+        assert [(k, i) for k, i, _ in mine] == [(k + 1, i) for k, (_, i) in enumerate(best)]
+        assert [s for _, _, s in mine] == [-s if abs(s) < 2**63 else None for s, _ in best]
