@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.functions import arrow_udf
 
 from memspark.llm import vocab
-from memspark.llm.rows import light, whole
+from memspark.llm.rows import light, tidy, whole
 
 #: Bounds of what a model is fitted on: rows of each language (chosen by a hash, so in expectation), and different words
 #: over all languages. Neither grows with the corpus; every text is scored whole.
@@ -369,15 +369,16 @@ def _verdicts(one: Identifier, scorer: Scorer | None, texts: pa.Array) -> list[p
 def acceptance(identifier: Identifier, text: Column, spark) -> Column:
     """A column: whether the text is accepted as one of the languages. Only texts go to Python, and only verdicts return."""
     shared = spark.sparkContext.broadcast(identifier)
-    scorers: list = []
 
     @arrow_udf(T.BooleanType())
-    def judge(batch: pa.Array) -> pa.Array:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = shared.value
-        if not scorers:
-            scorers.append(Scorer(one.joint) if one.languages else None)
-        made = [_verdicts(one, scorers[0], texts)[3] for texts in vocab.slices(pc.fill_null(batch, ""))]
-        return pa.concat_arrays(made) if made else pa.array([], pa.bool_())
+        scorer = Scorer(one.joint) if one.languages else None
+        for batch in batches:
+            made = [_verdicts(one, scorer, texts)[3] for texts in vocab.slices(pc.fill_null(batch, ""))]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.bool_())
+        scorer = batch = made = None  # noqa: F841
+        tidy()
 
     return judge(text.cast("string"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,10 +46,20 @@ def map_text(df: DataFrame, key: str, text: str, fields: str, work: Callable[[],
                 columns = [x if isinstance(x := made[n], pa.Array) else pa.array(x, t) for n, t in zip(names, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *columns], names=[key, *names])
                 done += len(part)
+        fn = batch = part = made = columns = None  # noqa: F841
+        tidy()
 
     return light(df.select(F.col(key), whole(text).alias(text))).mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give memory that finished work has freed back to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def light(df: DataFrame) -> DataFrame:
     """``df``, its session set to send Python batches of about ``BATCH_BYTES``, so that few bytes of text wait on either side."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
