@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.components import components
-from memspark.llm.rows import attach, kept, map_text, same
+from memspark.llm.rows import attach, kept, map_text, same, tidy
 from memspark.llm.simhash import close_pairs, join_labels
 from memspark.session import small_enough
 
@@ -44,6 +44,8 @@ SHORT = 80
 GROUP_SHINGLES = 1 << 20
 #: Pairs of texts, and meetings of a shingle in two texts, counted at once when sets are compared.
 BLOCK_PAIRS = 1 << 20
+#: Texts of a group after whose work a worker gives its freed memory back.
+TIDY_TEXTS = 1_000
 #: Keys that are broadcast; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -248,6 +250,9 @@ def similar_links(rows: DataFrame, by: Tries) -> DataFrame:
         more |= len(taken) < some.shape[1]
         i, j = np.concatenate([*trees, some[:2, taken]], axis=1)
         at = {c: np.repeat(pdf[c].iat[0], len(i)) for c in ("t", "node", "x", "y")}
+        held = some = words = pairs = None
+        if len(ids) > TIDY_TEXTS:
+            tidy()
         return pd.DataFrame({**at, "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "more": np.full(len(i), more)})
 
     return rows.groupBy("t", "node", "x", "y").applyInPandas(walk, "t int, node long, x long, y long, a long, b long, more boolean")
@@ -271,6 +276,9 @@ def open_texts(rows: DataFrame, by: Tries, groups: DataFrame, roots: DataFrame)
             near = _apart(words[a], words[b]) <= by.border
             found[a[near]] = found[b[near]] = True
         at = {c: np.repeat(pdf[c].iat[0], int(found.sum())) for c in key}
+        words = pairs = None
+        if len(ids) > TIDY_TEXTS:
+            tidy()
         return pd.DataFrame({**at, "print": ids[found], "part": part[found]})
 
     return some.groupBy(*key).applyInPandas(walk, "t int, node long, x long, y long, print long, part long")
@@ -330,6 +338,8 @@ def exact_links(texts: DataFrame, group: list[str], sets: DataFrame, similarity:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["print"].to_numpy()
         i, j = alike([np.asarray(s, dtype=np.int64) for s in pdf["set"]], pdf["part"].to_numpy(), similarity)
+        if len(ids) > TIDY_TEXTS:
+            tidy()
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     return rows.groupBy(*[f"__{c}" for c in group], "x", "y").applyInPandas(compare, "a long, b long").distinct()
