@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from memspark.llm import vocab
 from memspark.llm.codec import codec
-from memspark.llm.rows import light, whole
+from memspark.llm.rows import light, tidy, whole
 
+#: Bytes of text that are encoded at once; a longer text is by itself.
+SLICE_BYTES = 2_000_000
 #: Bits of a sequence's number inside its task; above them stands the task's number.
 TASK_SHIFT = 40
 
@@ -171,7 +173,7 @@ def pack_documents(
         for batch in batches:
             key_type = batch.column(0).type
             done = 0
-            for part in vocab.slices(batch.column(1)):
+            for part in vocab.slices(batch.column(1), SLICE_BYTES):
                 own = batch.column(0).slice(done, len(part)).to_pylist()
                 quiet = batch.column(2).slice(done, len(part)).to_numpy(zero_copy_only=False)
                 done += len(part)
@@ -185,7 +187,10 @@ def pack_documents(
                     ids.update(zip(numbers.tolist(), (made[j] for j in some), strict=True))
                     packer.extend(numbers, np.array([len(made[j]) // 4 for j in some]), quiet[i : i + len(some)])
                     yield from pieces(packer.pool)
+                made = some = numbers = None
         yield from pieces(0)
+        keys, ids, batch, part = {}, {}, None, None
+        tidy()
 
     silence = F.greatest(F.coalesce(F.col(silent).cast("long"), F.lit(0)), F.lit(0)) if silent else F.lit(0).cast("long")
     return light(docs.select(F.col(key), whole(text).alias(text), silence.alias("__silent"))).mapInArrow(run, schema)
