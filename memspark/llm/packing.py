@@ -149,6 +149,8 @@ def pack_documents(
         packer = Packer(capacity, segments, most, cut)
         keys, ids, count = {}, {}, 0
         key_type = None
+        codec(file)
+        vocab.forget()
 
         def pieces(rest: int) -> Iterator[pa.RecordBatch]:
             out = []

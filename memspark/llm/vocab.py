@@ -47,6 +47,12 @@ def merges(file: str) -> list[tuple[str, str]]:
     return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in settings(file)["model"]["merges"]]
 
 
+def forget() -> None:
+    """Drop the parsed files, once what is needed of them has been built."""
+    settings.cache_clear()
+    merges.cache_clear()
+
+
 @lru_cache(maxsize=1)
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from U+0100 on."""
