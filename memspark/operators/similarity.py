@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from memspark.operators.filters import top_per_group
 from memspark.operators.ordered import meet
+from memspark.operators.pruning import blocked, routes
 from memspark.session import materialize
 
 # Queries up to this many are sent to every task as one matrix (at 1024 dimensions: 16 MB).
 BROADCAST_QUERIES = 2048
 # Rows per block when both sides are shuffled.
 BLOCK_ROWS = 4096
+# Rows beyond which blocks are pruned; fewer make so few blocks that the bounds cost more than they save.
+PRUNE_ROWS = 16_384
 DIGITS = 9
 
 
@@ -209,48 +212,84 @@ def knn_within(
     earlier_by: str | None = None,
     min_similarity: float | None = None,
     block_rows: int = BLOCK_ROWS,
+    prune_rows: int = PRUNE_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar other rows of every row, exactly: (id, neighbour, similarity, rank).
 
     ``scope`` columns must be equal on both sides. With ``earlier_by`` (an integer column) only rows that come
-    before, by (that column, id), are neighbours. Each task returns at most ``k`` rows per row of its block.
+    before, by (that column, id), are neighbours. Each task returns at most ``k`` rows per row of its block. Beyond
+    ``prune_rows`` rows, blocks hold rows that lie together, and a row goes only to blocks where its bound lets it find
+    something better than in its own; up to it, all pairs of blocks are multiplied. The result is the same.
     """
     scope = list(scope or [])
     when = (F.col(earlier_by) if earlier_by else F.lit(0)).cast("bigint").alias("_t")
     r = materialize(rows.select("id", "embedding", *scope, when)).filter(F.col("embedding").isNotNull())
-    left, right, keys = _block_pairs(r, ["id", "embedding", "_t"], block_rows, scope)
+    shape = "id string, neighbour string, similarity double"
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return _emit(_Best(k, 0), []).set_axis(["id", "neighbour", "similarity"], axis=1)
-        am = _unit(np.stack(a["embedding"].to_numpy()).astype(np.float64))
-        bm = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
-        ai, bi = a["id"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
-        at, bt = a["_t"].to_numpy(), b["_t"].to_numpy()
-        live = bm.any(axis=1)
-        best = _Best(k, len(ai))
-        sims = np.round(am @ bm.T, DIGITS)
-        for i in range(len(ai)):
-            if not am[i].any():
-                continue
-            ok = live & (bi != ai[i])
-            if earlier_by:
-                ok &= (bt < at[i]) | ((bt == at[i]) & (bi < ai[i]))
-            if min_similarity is not None:
-                ok &= sims[i] >= min_similarity
-            best.add(i, -sims[i][ok], bi[ok])
-        out = _emit(best, ai.tolist()).set_axis(["id", "neighbour", "similarity"], axis=1)
-        out["similarity"] = -out["similarity"]
-        return out
+        return _nearest(a, b, k, bool(earlier_by), min_similarity)
 
-    partial = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(search, "id string, neighbour string, similarity double")
-    )
+    if r.count() > prune_rows:
+        return _knn_pruned(r, scope, k, search, bool(earlier_by), min_similarity, block_rows)
+    left, right, keys = _block_pairs(r, ["id", "embedding", "_t"], block_rows, scope)
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, shape)
     return top_per_group(partial, ["id"], [F.col("similarity").desc(), F.col("neighbour")], k)
 
 
+def _nearest(a: pd.DataFrame, b: pd.DataFrame, k: int, earlier: bool, min_similarity: float | None) -> pd.DataFrame:
+    """For each row of ``a`` the best ``k`` of ``b``: (id, neighbour, similarity)."""
+    if a.empty or b.empty:
+        return _emit(_Best(k, 0), []).set_axis(["id", "neighbour", "similarity"], axis=1)
+    am = _unit(np.stack(a["embedding"].to_numpy()).astype(np.float64))
+    bm = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
+    ai, bi = a["id"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
+    at, bt = a["_t"].to_numpy(), b["_t"].to_numpy()
+    live = bm.any(axis=1)
+    best = _Best(k, len(ai))
+    sims = np.round(am @ bm.T, DIGITS)
+    for i in range(len(ai)):
+        if not am[i].any():
+            continue
+        ok = live & (bi != ai[i])
+        if earlier:
+            ok &= (bt < at[i]) | ((bt == at[i]) & (bi < ai[i]))
+        if min_similarity is not None:
+            ok &= sims[i] >= min_similarity
+        best.add(i, -sims[i][ok], bi[ok])
+    out = _emit(best, ai.tolist()).set_axis(["id", "neighbour", "similarity"], axis=1)
+    out["similarity"] = -out["similarity"]
+    return out
+
+
+def _knn_pruned(r: DataFrame, scope: list[str], k: int, search, earlier: bool, min_similarity: float | None, block_rows: int) -> DataFrame:
+    """``knn_within`` for many rows: first inside a row's own block, then in the blocks whose box may hold something better."""
+    shape = "id string, neighbour string, similarity double"
+    key = F.to_json(F.struct(*scope)) if scope else F.lit("")
+    for c in scope:  # a null is equal to nothing
+        r = r.filter(F.col(c).isNotNull())
+    v = r.select(F.monotonically_increasing_id().alias("_row"), "id", "_t", key.alias("_scope"), "embedding")
+    v = materialize(v.filter(F.exists("embedding", lambda x: x != 0)))
+    left = v.count()
+    if not left:
+        return r.sparkSession.createDataFrame([], shape + ", rank int")
+    seen, boxes = blocked(v, left, block_rows)
+    full = materialize(v.join(seen.select("_row", "_block"), "_row"))
+    own = materialize(full.groupBy("_scope", "_block").applyInPandas(lambda a: search(a, a), shape))
+    # A row that has k neighbours already looks only where one as similar as the last of them may be.
+    last = own.groupBy("id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(-1.0).alias("_least"))
+    least = v.select("_row", "id").join(last, "id", "left").select("_row", F.greatest(F.coalesce("_least", F.lit(-1.0)), F.lit(-1.0 if min_similarity is None else min_similarity)).alias("_least"))
+    ways = materialize(routes(seen.join(least, "_row"), boxes, earlier))
+    met = materialize(ways.groupBy("_scope", "_target").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_parts")))
+    left = meet(ways, met, ["_scope", "_target"], F.col("_row")).withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
+    left = left.select("_row", "_target", "_part").join(v, "_row").select("_scope", "_target", "_part", "id", "_t", "embedding")
+    right = meet(full.withColumnRenamed("_block", "_target"), met, ["_scope", "_target"], F.col("_row"))
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    right = right.select(*[F.col(c).alias(c) for c in left.columns])
+    keys = ["_scope", "_target", "_part"]
+    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, shape)
+    return top_per_group(own.unionByName(more), ["id"], [F.col("similarity").desc(), F.col("neighbour")], k)
+
+
 def earliest_match(
     rows: DataFrame, targets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, before_only: bool = True
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as tx
 from memspark.functions import vectors as vec
 from memspark.operators import filters as fl
+from memspark.operators import pruning as pr
 from memspark.operators import search as se
 from memspark.operators import similarity as si
 
@@ -132,6 +133,32 @@ def test_knn_within_blocks_equal_one_block(spark):
     assert all(r["neighbour"] < i for i, r in n.items())
 
 
+def test_pruned_neighbours_equal_all_pairs(spark):
+    # Clusters of different width, copies, a zero and a null vector; scopes of very different size, one of them null.
+    r = np.random.default_rng(3)
+    near = np.concatenate([c + s * r.normal(size=(40, 24)) for c, s in zip(r.normal(size=(8, 24)), [0.02, 0.1, 0.3, 1] * 2)])
+    v = [*near, *[near[0]] * 30, np.zeros(24)]
+    scopes = [None if i % 50 == 7 else "big" if i % 3 else "small" for i in range(len(v))]
+    rows = [(f"v{i:03d}", x.tolist(), s, i // 2) for i, (x, s) in enumerate(zip(v, scopes))] + [("none", None, "big", 5)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>, s string, t long").repartition(3)
+    for kw in ({}, {"min_similarity": 0.9}, {"scope": ["s"]}, {"scope": ["s"], "earlier_by": "t"}):
+        want = sorted(tuple(x) for x in si.knn_within(df, 4, block_rows=1000, **kw).collect())
+        got = sorted(tuple(x) for x in si.knn_within(df, 4, block_rows=16, prune_rows=0, **kw).collect())
+        assert want and got == want, kw
+
+
+def test_boxes_never_hide_a_near_row_and_hide_far_ones(spark):
+    r = np.random.default_rng(4)
+    v = pr.unit(np.concatenate([c + 0.05 * r.normal(size=(50, 16)) for c in r.normal(size=(8, 16))]))
+    rows = spark.createDataFrame([(i, "", 0, x.tolist()) for i, x in enumerate(v)], "_row long, _scope string, _t long, embedding array<double>")
+    seen, boxes = pr.blocked(rows, len(v), 32)
+    block = {x["_row"]: x["_block"] for x in seen.collect()}
+    ways = {(x["_row"], x["_target"]) for x in pr.routes(seen.withColumn("_least", F.lit(0.9)), boxes, False).collect()}
+    i, j = np.nonzero(v @ v.T >= 0.9)
+    assert {(a, block[b]) for a, b in zip(i.tolist(), j.tolist()) if block[a] != block[b]} <= ways
+    assert len(ways) < 0.4 * len(v) * boxes.count()
+
+
 def test_rank_fusion_values_and_ties(spark):
     a = spark.createDataFrame([(1, "x", 9.0, 1), (1, "y", 5.0, 2)], "query_id long, id string, score double, rank int")
     b = spark.createDataFrame([(1, "z", 0.1, 1), (1, "y", 0.2, 3)], "query_id long, id string, distance double, rank int")
