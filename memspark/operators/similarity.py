@@ -24,8 +24,8 @@ from memspark.session import materialize
 BROADCAST_QUERIES = 2048
 # Rows per block when both sides are shuffled.
 BLOCK_ROWS = 4096
-# Rows beyond which blocks are pruned; fewer make so few blocks that the bounds cost more than they save.
-PRUNE_ROWS = 16_384
+# Rows beyond which blocks are pruned (64 blocks); with fewer blocks the bounds cost more than they save.
+PRUNE_ROWS = 64 * BLOCK_ROWS
 DIGITS = 9
 
 
