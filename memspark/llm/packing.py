@@ -17,7 +17,7 @@ from memspark.llm.codec import codec
 from memspark.llm.rows import light, tidy, whole
 
 #: Bytes of text that are encoded at once; a longer text is by itself.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 #: Bits of a sequence's number inside its task; above them stands the task's number.
 TASK_SHIFT = 40
 
