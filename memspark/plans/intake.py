@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions.time import micros
@@ -79,9 +79,9 @@ def chunks(t: Tables) -> DataFrame:
     return rows.select(F.regexp_extract(ids, "([0-9]+)$", 1).cast("long").alias("first_doc"), F.substring(hashes, 12, 64).alias("content_hash"))
 
 
-def event_lines(t: Tables) -> DataFrame:
-    """The feed as lines of an event log; the lines of ``view`` events are broken."""
-    e = t.feed()
+def event_lines(t: Tables, part: Column | None = None) -> DataFrame:
+    """The feed, or a part of it, as lines of an event log; the lines of ``view`` events are broken."""
+    e = t.feed() if part is None else t.feed().filter(part)
     action = F.when(F.col("event_type").isin("signup", "purchase"), "store").otherwise("update")
     source = F.when(F.col("user_id") % 4 == 0, "local").otherwise("client")
     data = F.struct(action.alias("action"), F.col("event_id").cast("string").alias("memory_id"), source.alias("source"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from memspark.functions.time import micros
 from memspark.operators import affect as af
 from memspark.operators.ordered import meet
+from memspark.plans.intake import event_lines
 from memspark.plans.moods import FEED, FOLD, KINDS, six
 from memspark.plans.registry import query
 from memspark.plans.views import Tables
 from memspark.sources import events as ev
 from memspark.streaming import batch_forms as bf
+from memspark.streaming import event_time as et
 from memspark.streaming import stateful as sf
 
 HALF_DAY = 43_200_000_000
@@ -65,6 +67,25 @@ def gate_stream(t: Tables) -> DataFrame:
     return sf.drain(out, f"{where}/out", f"{where}/checkpoint").select("id", "duplicate")
 
 
+#: A second for each turn of the supplied texts, from 1970-01-01 00:00:01 on; a role that is silent for this long starts afresh.
+SILENCE = 5_000_000_000
+CLOSED = "SELECT (max(epoch_ms(ts)) - 3600000) * 1000 FROM events"
+GATE_LIVES = GATE_SQL.replace("CASE WHEN dup THEN recent ELSE list_append(recent, g)[-5:] END", "CASE WHEN dup THEN held ELSE list_append(held, g)[-5:] END").replace(
+    "SELECT o.role, o.rn, o.id, o.g, w.recent, len(list_filter(w.recent,", f"SELECT o.role, o.rn, o.id, o.g, CASE WHEN (o.id - w.id) * 1000000 > {SILENCE} THEN [] ELSE w.recent END AS held, len(list_filter(held,")
+
+
+def timed_texts(c: DataFrame) -> DataFrame:
+    return chat_texts(c).withColumn("at", F.timestamp_micros((F.col("ord") + 1) * 1_000_000)).drop("ord")
+
+
+@query("d01_duplicate_gate_in_order", f"WITH RECURSIVE {GATE_LIVES} SELECT id, duplicate FROM walk WHERE rn > 0 AND id < (SELECT max(id) FROM o) - 600")
+def gate_in_order(t: Tables) -> DataFrame:
+    """By event time, rows held back until the watermark, ten minutes behind; what it has not passed yet is not out."""
+    out = et.duplicate_gate_in_order(timed_texts(file_stream(t, "conversations")), "10 minutes", SILENCE, threshold=0.35)
+    where = scratch(t, "gate")
+    return et.run_now(out, f"{where}/out", f"{where}/checkpoint")[0].select("id", "duplicate")
+
+
 THROTTLED = f"""{FEED}, tn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, eid) AS rn FROM ev),
     pass AS (SELECT key, eid, us, rn, us AS last, true AS ok FROM tn WHERE rn = 1
       UNION ALL SELECT n.key, n.eid, n.us, n.rn, CASE WHEN n.us - p.last >= {HALF_DAY} THEN n.us ELSE p.last END, n.us - p.last >= {HALF_DAY} FROM pass p JOIN tn n ON n.key = p.key AND n.rn = p.rn + 1),
@@ -91,6 +112,25 @@ def mood_stream(t: Tables) -> DataFrame:
     return done.select("key", "id", six("worry").alias("worry"), six("happiness").alias("happiness"))
 
 
+TWO_DAYS = 172_800_000_000
+MOOD_LIVES = f"""feed_{FEED}, gaps AS (SELECT *, us - lag(us) OVER (PARTITION BY key ORDER BY us, eid) AS gap FROM feed_ev),
+    ev AS (SELECT key || '#' || count(*) FILTER (gap > {TWO_DAYS}) OVER (PARTITION BY key ORDER BY us, eid) AS key, eid, us, ops FROM gaps)"""
+MOOD_CLOSED = "WITH RECURSIVE " + FOLD(THROTTLED.replace(FEED, MOOD_LIVES), "ev2") + f""" SELECT split_part(f.key, '#', 1) AS key, f.eid AS id, floor(max(x) FILTER (dim = 'worry') * 1e6 + 0.5) / 1e6 AS worry, floor(max(x) FILTER (dim = 'happiness') * 1e6 + 0.5) / 1e6 AS happiness
+    FROM fold f JOIN num n ON n.key = f.key AND n.rn = f.rn WHERE n.us < ({CLOSED}) GROUP BY ALL"""
+
+
+@query("d02_throttled_mood_in_order", MOOD_CLOSED)
+def mood_in_order(t: Tables) -> DataFrame:
+    """By event time, an hour of patience; two days of silence end a user's state."""
+    e = file_stream(t, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    steps = af.steps(af.structural_hits(F.col("event_type"), KINDS)).alias("steps")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "at", steps)
+    where = scratch(t, "mood")
+    out = et.throttled_mood_in_order(rows, "1 hour", HALF_DAY, TWO_DAYS)
+    done = et.run_now(out, f"{where}/out", f"{where}/checkpoint")[0]
+    return done.select("key", "id", six("worry").alias("worry"), six("happiness").alias("happiness"))
+
+
 @query("d03_debounced_trigger", """WITH s AS (SELECT epoch_us(ts) AS us, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS gap FROM events),
     b AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= 120000000) OVER (ORDER BY us, event_id) AS burst FROM s)
     SELECT min(us) AS first_at, max(us) + 120000000 AS fire_at, count(*) AS events FROM b GROUP BY burst""")
@@ -119,6 +159,18 @@ def envelopes(e: DataFrame) -> DataFrame:
     return e.select(kind.alias("event_type"), payload.alias("payload"), F.lit("feed").alias("source"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
 
 
+@query("i08_event_log_cursor", """SELECT CAST(event_id AS VARCHAR) AS memory_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM events WHERE event_type IN ('signup', 'purchase') AND user_id % 4 <> 0""")
+def event_log_cursor(t: Tables) -> DataFrame:
+    """The log loaded twice while it grows, and once more with nothing new: each line is taken once."""
+    where = scratch(t, "log")
+    early = F.col("event_id") % 2 == 0
+    for part in (early, ~early, None):
+        if part is not None:
+            event_lines(t, part).write.mode("append").text(f"{where}/log")
+        entries = ev.load_log(t.spark, f"{where}/log", f"{where}/out", f"{where}/checkpoint")
+    return ev.stored_elsewhere(entries, own_source="local").select("memory_id", "timestamp")
+
+
 @query("t17_event_json", """SELECT CASE event_type WHEN 'signup' THEN 'memory.created' WHEN 'click' THEN 'memory.updated' WHEN 'error' THEN 'memory.deleted' ELSE 'dream.finished' END AS event_type, CAST(event_id AS VARCHAR) AS memory_id, 'feed' AS source
     FROM events WHERE event_type <> 'view'""")
 def event_json(t: Tables) -> DataFrame:

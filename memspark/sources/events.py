@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.streaming.stateful import drain
+
 # Fixed values.
 EVENT_TYPES = (
     "memory.created", "memory.updated", "memory.deleted", "memory.conflict", "knowledge.merged", "emotion.changed", "dream.finished",
@@ -18,6 +20,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").load(path)
 
 
+def load_log(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataFrame:
+    """Take the lines that came since the last call, and give all entries taken so far, each once.
+
+    The checkpoint is the cursor: it remembers the files read, so a call after a lost job goes on where that one stopped.
+    A log grows by files; lines added to a file that was already read are not seen.
+    """
+    return drain(parse_log(read_log(spark, path)), out, checkpoint)
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
     """Columns of the log entries in ``value``; malformed lines are dropped."""
     entry = F.from_json("value", LOG_SCHEMA)
