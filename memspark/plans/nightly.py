@@ -12,6 +12,7 @@ from memspark.operators import consolidate as co
 from memspark.operators import filters as fl
 from memspark.operators import graph as gr
 from memspark.operators import lifecycle as lc
+from memspark.operators import scoring as sc
 from memspark.operators import stale as st
 from memspark.plans.registry import query
 from memspark.plans.selection import NOW, as_of
@@ -460,3 +461,28 @@ def custom_reranker(t: Tables) -> DataFrame:
     return out.select("query_id", "id", "rerank_position")
 
 
+def length_or_failure(*columns: list) -> list[float]:
+    """A scorer that breaks down whenever the last column of a request holds a text whose length is a multiple of three."""
+    if any(len(x) % 3 == 0 for x in columns[-1]):
+        raise RuntimeError("model gone")
+    return [float(len(x)) for x in columns[-1]]
+
+
+@query("u04_failing_scorer", """SELECT doc_id, CASE WHEN length(text) % 3 <> 0 THEN CAST(length(text) AS DOUBLE) END AS value, CASE WHEN length(text) % 3 = 0 THEN 'RuntimeError: model gone' END AS reason FROM documents""")
+def failing_scorer(t: Tables) -> DataFrame:
+    """A scorer that fails on a third of the texts: null and a reason for these, answers for all others."""
+    answer = sc.guarded(length_or_failure)(F.col("text")).alias("a")
+    return t.raw("documents").select("doc_id", answer).select("doc_id", "a.value", "a.reason")
+
+
+@query("s05_rerank_failing", """SELECT query_id, id, rerank_position FROM (SELECT f.query_id, f.id, row_number() OVER (PARTITION BY f.query_id ORDER BY CASE WHEN length(m.content) % 3 <> 0 THEN length(m.content) END DESC NULLS LAST, f.position) AS rerank_position
+    FROM fused f JOIN memories_base m ON m.id = f.id WHERE f.position <= 50) WHERE rerank_position <= 10""")
+def failing_reranker(t: Tables) -> DataFrame:
+    """Candidates whose score failed keep their fused order, behind those that have one."""
+    from memspark.operators import search as se
+    from memspark.plans.retrieval import searchable
+
+    corpus = searchable(t, vectors=True)
+    top = se.hybrid_search(corpus, t.queries(), limit=50, pool=50)
+    scorer = sc.guarded(length_or_failure)
+    return se.rerank(top, t.queries(), corpus, 10, scorer=lambda q, c: scorer(q, c)["value"]).select("query_id", "id", "rerank_position")

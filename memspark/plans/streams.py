@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memspark.functions.time import micros
 from memspark.operators import affect as af
 from memspark.operators.ordered import meet
+from memspark.operators.scoring import scored_once
 from memspark.plans.intake import event_lines
 from memspark.plans.moods import FEED, FOLD, KINDS, six
 from memspark.plans.registry import query
@@ -213,6 +214,19 @@ def distinct_texts(t: Tables) -> DataFrame:
     return meet(d.select("doc_id", "content_hash"), scored, ["content_hash"], F.col("doc_id")).groupBy("content_hash").agg(F.count("*").alias("copies"), F.max("chars").alias("chars"))
 
 
+def text_lengths(texts: list[str]) -> list[float]:
+    return [float(len(x)) for x in texts]
+
+
+@query("d06_scored_once", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS value, sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS fresh FROM documents")
+def once(t: Tables) -> DataFrame:
+    """All documents on the day after half of them was scored: only texts not met before are sent to the scorer."""
+    memo = f"{scratch(t, 'memo')}/memo"
+    d = t.raw("documents").select("doc_id", "text")
+    scored_once(d.filter("doc_id % 2 = 0"), "text", text_lengths, memo)
+    return scored_once(d, "text", text_lengths, memo).select("doc_id", "value", "fresh")
+
+
 @query("d06_distinct_texts_stream", "SELECT DISTINCT sha256(event_type || ':' || user_id) AS content_hash FROM events")
 def distinct_stream(t: Tables) -> DataFrame:
     e = file_stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "event_type", "user_id").alias("text"))
