@@ -278,3 +278,32 @@ def run_lengths(t: Tables) -> DataFrame:
     o = t.feed().select("event_id", micros(F.col("ts")).alias("us"), status.alias("status"))
     return bf.run_lengths(o, [], "event_id", "us", "status", 3, 4).select("event_id", "status", "consecutive", "alert")
 
+
+def user_events(t: Tables) -> DataFrame:
+    """The feed as a stream: key, id, at and the columns of the table."""
+    e = file_stream(t, "events")
+    return e.select("*", F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query("d08_turn_throttle_in_order", f"WITH RECURSIVE {TURNS.replace('ORDER BY event_id', 'ORDER BY ts, event_id')} SELECT user_id, event_id, coalesce(held, '') AS text, refreshed FROM walk JOIN events USING (user_id, event_id) WHERE rn > 0 AND epoch_us(ts) < ({CLOSED})")
+def turns_in_order(t: Tables) -> DataFrame:
+    block = F.when(F.col("event_type") == "view", "").otherwise(F.concat_ws(":", "event_type", "event_id"))
+    rows = user_events(t).select("key", "id", "at", block.alias("block"), (F.col("event_type") == "error").alias("failed"))
+    where = scratch(t, "turns")
+    out = et.run_now(et.throttled_turns_in_order(rows, "1 hour"), f"{where}/out", f"{where}/checkpoint")[0]
+    return out.select(F.col("key").cast("bigint").alias("user_id"), F.col("id").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"), "refreshed")
+
+
+@query("d10_liveness_watch", f"""WITH ob AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'error' THEN 'down' WHEN value > 20 THEN 'slow' ELSE 'up' END AS status FROM events WHERE epoch_us(ts) < ({CLOSED})),
+    p AS (SELECT *, lag(status) OVER w AS before, us - lag(us) OVER w AS gap, lead(us) OVER w AS next FROM ob WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    r AS (SELECT *, count(*) FILTER (before IS NULL OR before <> status OR gap > {TWO_DAYS}) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM p),
+    c AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY us, event_id) AS consecutive FROM r)
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, us, status, consecutive, (status = 'down' AND consecutive = 3) OR (status = 'slow' AND consecutive = 4) AS alert FROM c
+    UNION ALL SELECT CAST(user_id AS VARCHAR), -1, us + {TWO_DAYS}, 'down', 0, true FROM p WHERE coalesce(next, ({CLOSED})) - us > {TWO_DAYS}""")
+def liveness_watch(t: Tables) -> DataFrame:
+    """A series of probes for each user; two days of silence are an outage of their own, with id -1."""
+    status = bf.probe_status(F.col("event_type") != "error", F.col("value"), 20.0)
+    where = scratch(t, "liveness")
+    watch = et.liveness_stream(user_events(t).withColumn("status", status), TWO_DAYS, "1 hour", 3, 4)
+    out = et.run_now(watch, f"{where}/out", f"{where}/checkpoint")[0]
+    return out.withColumn("id", F.coalesce("id", F.lit(-1).cast("bigint")))

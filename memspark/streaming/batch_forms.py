@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,21 @@ def session_buffer(entries: DataFrame, key: str, order: str, keep: int = 20, rea
     return last.withColumn("place", -F.col("_back")).drop("_back")
 
 
+def take_turns(blocks: Iterable[str], failures: Iterable[bool], held: Sequence | None, every: int, limit: int | None = None) -> tuple[list, list, list | None]:
+    """(text and refreshed of each turn, [text, age] held at the end) for the turns of one key in order."""
+    held = list(held) if held else None
+    texts, fresh = [], []
+    for new, bad in zip(blocks, failures):
+        refresh = held is None or held[1] >= every
+        if not refresh:
+            held[1] += 1
+        elif not bad:
+            held = [new[:limit], 0] if new else None
+        texts.append(held[0] if held else None)
+        fresh.append(refresh)
+    return texts, fresh, held
+
+
 def throttled_turns(turns: DataFrame, key: str, order: str, block: str, failed: str, every: int = 3, limit: int | None = None) -> DataFrame:
     """(key, order, text, refreshed): the context block that goes with each turn.
 
@@ -41,16 +56,7 @@ def throttled_turns(turns: DataFrame, key: str, order: str, block: str, failed:
     """
 
     def fold(cols: dict[str, np.ndarray], state: str | None):
-        held = json.loads(state) if state else None
-        texts, fresh = [], []
-        for new, bad in zip(cols[block], cols[failed]):
-            refresh = held is None or held[1] >= every
-            if not refresh:
-                held[1] += 1
-            elif not bad:
-                held = [new[:limit], 0] if new else None
-            texts.append(held[0] if held else None)
-            fresh.append(refresh)
+        texts, fresh, held = take_turns(cols[block], cols[failed], json.loads(state) if state else None, every, limit)
         out = {c: cols[c] for c in (key, order)}
         return {**out, "text": np.array(texts, dtype=object), "refreshed": np.array(fresh, dtype=bool)}, json.dumps(held)
 

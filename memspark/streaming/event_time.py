@@ -25,6 +25,7 @@ from memspark.functions import text as tx
 from memspark.functions.time import micros
 from memspark.operators import affect as af
 from memspark.operators.ordered import running_sum, with_previous
+from memspark.streaming import batch_forms as bf
 from memspark.streaming import stateful as sf
 
 LATE = "10 minutes"
@@ -46,6 +47,10 @@ class InOrder(StatefulProcessor):
     def fold(self, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         raise NotImplementedError
 
+    def silenced(self, us: int) -> pd.DataFrame | None:
+        """What to give out when a key has been silent for too long, at ``us``: nothing, unless a subclass says so."""
+        return None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         shape = {"us": "bigint", "id": "bigint", **self.row}
         self.handle = handle
@@ -82,20 +87,25 @@ class InOrder(StatefulProcessor):
             for life in self._lives(pdf, seen):
                 if self._over(seen, int(life["us"].iat[0])):
                     held = None
+                    yield from self._keyed(key, self.silenced(seen + self.forget))
                 out, held = self.fold(life, held)
                 seen = int(life["us"].iat[-1])
-                if len(out):
-                    out.insert(0, "key", key[0])
-                    yield out
+                yield from self._keyed(key, out)
             self.kept.update((seen, *held))
             if self.forget is not None:
                 self._wake(seen + self.forget)
         if self._over(seen, now):
             self.kept.clear()
+            yield from self._keyed(key, self.silenced(seen + self.forget))
 
     def close(self) -> None:
         pass
 
+    def _keyed(self, key: Any, out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        if out is not None and len(out):
+            out.insert(0, "key", key[0])
+            yield out
+
     def _over(self, seen: int | None, us: int) -> bool:
         return self.forget is not None and seen is not None and us - seen > self.forget
 
@@ -202,6 +212,85 @@ def throttled_mood_in_lives(events: DataFrame, interval: int = sf.THROTTLE_MICRO
     return sf.throttled_mood(lives(rows, ["key"], "id", "us", forget), ["key", "_life"], "id", "us", interval).drop("_life")
 
 
+# --- Turns ----------------------------------------------------------------------------------------------
+
+
+class OrderedTurns(InOrder):
+    """The held context block and its age."""
+
+    row = {"block": "string", "failed": "boolean"}
+    held = {"text": "string", "age": "bigint"}
+
+    def __init__(self, every: int, forget: int | None):
+        super().__init__(forget)
+        self.every = every
+
+    def fold(self, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        held = held if held and held[0] is not None else None
+        texts, fresh, held = bf.take_turns(rows["block"], rows["failed"], held, self.every)
+        return pd.DataFrame({"id": rows["id"].to_numpy(), "text": pd.Series(texts, dtype=object), "refreshed": fresh}), tuple(held) if held else (None, 0)
+
+
+def throttled_turns_in_order(turns: DataFrame, late: str = LATE, every: int = 3, forget: int | None = None) -> DataFrame:
+    """``turns`` streams (key string, id bigint, at timestamp, block string, failed boolean); gives (key, id, text, refreshed)."""
+    rows = turns.select("key", "id", "at", micros(F.col("at")).alias("us"), "block", "failed")
+    return ordered_stream(rows, OrderedTurns(every, forget), "at", "key string, id bigint, text string, refreshed boolean", late)
+
+
+# --- Liveness -------------------------------------------------------------------------------------------
+
+
+class Liveness(InOrder):
+    """The status of the last probe and the length of its run; a key that sends nothing for too long is down."""
+
+    row = {"status": "string"}
+    held = {"status": "string", "run": "bigint"}
+
+    def __init__(self, silence: int, alerts: dict[str, int]):
+        super().__init__(silence)
+        self.alerts = alerts
+
+    def fold(self, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        status, run = held or (None, 0)
+        runs = []
+        for now in rows["status"]:
+            status, run = now, run + 1 if run and now == status else 1
+            runs.append(run)
+        alert = [self.alerts.get(s) == n for s, n in zip(rows["status"], runs)]
+        out = pd.DataFrame({"id": rows["id"].to_numpy(), "us": rows["us"].to_numpy(), "status": rows["status"].to_numpy(), "consecutive": runs, "alert": alert})
+        return out, (status, run)
+
+    def silenced(self, us: int) -> pd.DataFrame:
+        return pd.DataFrame({"id": pd.Series([None], dtype="Int64"), "us": [us], "status": ["down"], "consecutive": [0], "alert": [True]})
+
+
+WATCHED = "key string, id bigint, us bigint, status string, consecutive bigint, alert boolean"
+
+
+def liveness_stream(probes: DataFrame, silence: int, late: str = LATE, down_alert: int = 20, slow_alert: int = 40) -> DataFrame:
+    """``probes`` streams (key string, id bigint, at timestamp, status string); gives the run length after each probe.
+
+    When a key was silent for more than ``silence`` microseconds, a row without id says "down", with an alert, at the
+    time it should have spoken; runs start afresh after it.
+    """
+    rows = probes.select("key", "id", "at", micros(F.col("at")).alias("us"), "status")
+    return ordered_stream(rows, Liveness(silence, {"down": down_alert, "slow": slow_alert}), "at", WATCHED, late)
+
+
+def liveness(probes: DataFrame, silence: int, until: int, down_alert: int = 20, slow_alert: int = 40) -> DataFrame:
+    """Batch form of ``liveness_stream`` for all that lies before the time ``until``."""
+    rows = probes.select("key", "id", micros(F.col("at")).alias("us"), "status").filter(F.col("us") < until)
+    split = lives(rows, ["key"], "id", "us", silence)
+    runs = bf.run_lengths(split, ["key", "_life"], "id", "us", "status", down_alert, slow_alert)
+    spoke = split.groupBy("key", "_life").agg(F.max("us").alias("seen"))
+    newest = split.groupBy("key").agg(F.max("_life").alias("_newest"))
+    on = F.col("key").eqNullSafe(F.col("_key"))
+    ends = spoke.join(newest.withColumnRenamed("key", "_key"), on).filter((F.col("_life") < F.col("_newest")) | (F.col("seen") + silence < until))
+    silent = ends.select("key", F.lit(None).cast("bigint").alias("id"), (F.col("seen") + silence).alias("us"), F.lit("down").alias("status"),
+                         F.lit(0).cast("bigint").alias("consecutive"), F.lit(True).alias("alert"))
+    return runs.select("key", "id", "us", "status", F.col("consecutive").cast("bigint").alias("consecutive"), "alert").unionByName(silent)
+
+
 # --- Running --------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memspark.functions import lexicons as lx
 from memspark.operators import affect as af
 from memspark.sources import events as ev
+from memspark.streaming import batch_forms as bf
 from memspark.streaming import event_time as et
 
 SECOND = 1_000_000
@@ -93,6 +94,35 @@ def test_mood_in_any_order_equals_batch(spark, tmp_path):
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in got)
 
 
+def test_turns_in_any_order_equal_batch(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(k, i, us, r.choice(["", "one", "two"]), r.random() < 0.3) for k, i, us, _ in texts()]
+    shape = "key string, id long, us long, block string, failed boolean"
+    stream = in_files(spark, rows, tmp_path, 3, 10, shape)
+    out, late, _ = et.run_now(et.throttled_turns_in_order(stream, "60 seconds"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    # Ids rise with time, so the batch form may order by them.
+    batch = bf.throttled_turns(spark.createDataFrame(rows, shape), "key", "id", "block", "failed")
+    closed = before(rows, 60)
+    want = {(x["id"], x["text"], x["refreshed"]) for x in batch.collect() if x["id"] in closed}
+    assert late == 0 and want and {(x["id"], x["text"], x["refreshed"]) for x in out.collect()} == want
+
+
+def test_liveness_in_any_order_equals_batch_with_a_restart(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(k, i, us, r.choice(["up", "down", "down", "slow"])) for k, i, us, _ in texts()]
+    shape = "key string, id long, us long, status string"
+    make = lambda: et.liveness_stream(at_stream(spark, tmp_path, shape), 200 * SECOND, "60 seconds", 2, 2)
+    for part in (rows[:120], rows[120:]):
+        in_files(spark, part, tmp_path, 2, 8, shape)
+        out, late, _ = et.run_now(make(), f"{tmp_path}/out", f"{tmp_path}/cp")
+        assert late == 0
+    end = (max(x[2] for x in rows) // 1000 - 60_000) * 1000
+    want = et.liveness(at(spark.createDataFrame(rows, shape)), 200 * SECOND, end, 2, 2)
+    got = out.collect()
+    assert sorted(map(repr, got)) == sorted(repr(x) for x in want.select(out.columns).collect())
+    assert any(x["id"] is None and x["alert"] for x in got) and any(x["id"] is not None and x["alert"] for x in got)
+
+
 def test_rows_without_time_and_empty_input(spark, tmp_path):
     rows = [("a", 1, None, "x"), ("a", 2, SECOND, "x"), ("a", 3, 100 * SECOND, "y")]
     stream = in_files(spark, rows, f"{tmp_path}/some", 1, 0)
