@@ -228,3 +228,27 @@ def test_layered_recall_excludes_the_query_itself(spark):
     assert got == [("preconscious", "m1", round((1 / 62 + 1 / 61) * 1.15, 4)), ("conscious", None, round(2 / 61, 4))]
     own = se.layered_recall(s, fused, c, q, mood, 5, include_self=True).filter("layer = 'conscious'").count()
     assert own == 2
+
+
+def test_neighbour_search_writes_vectors_once_and_packed(spark, monkeypatch):
+    # Sparse vectors as of texts, some equal, in many small blocks: what is written must not grow with the pairs of blocks.
+    r = np.random.default_rng(9)
+    v = np.where(r.random((300, 512)) < 0.1, r.integers(-2, 3, (300, 512)), 0).astype(float)
+    v[200:] = v[r.integers(0, 40, 100)]
+    df = spark.createDataFrame([(f"v{i:03d}", x.tolist(), i) for i, x in enumerate(v)], "id string, embedding array<double>, t long")
+    written = []
+    monkeypatch.setattr(si, "materialize", lambda d, f=si.materialize: written.append(f(d)) or written[-1])
+    for kw in ({}, {"earlier_by": "t"}, {"min_similarity": 0.5}):
+        written.clear()
+        got = sorted(tuple(x) for x in si.knn_within(df, 4, block_rows=16, **kw).collect())
+        m = si._unit(v)
+        s = np.round(m @ m.T, si.DIGITS)
+        want = []
+        for i in range(300):
+            near = [j for j in range(300) if j != i and (j < i or "earlier_by" not in kw) and s[i, j] >= kw.get("min_similarity", -2)]
+            for rank, j in enumerate(sorted(near, key=lambda j: (-s[i, j], j))[:4], 1):
+                want.append((f"v{i:03d}", f"v{j:03d}", s[i, j], rank))
+        assert m.any(axis=1).all() and [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in sorted(want)], kw
+        assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], atol=1e-9)
+        (blocks,) = written
+        assert sum(len(x["vectors"]) for x in blocks.select("vectors").collect()) < v.nbytes / 4
