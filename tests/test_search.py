@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,26 @@ def test_neighbour_search_writes_vectors_once_and_packed(spark, monkeypatch):
         assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], atol=1e-9)
         (blocks,) = written
         assert sum(len(x["vectors"]) for x in blocks.select("vectors").collect()) < v.nbytes / 4
+
+
+def test_vectors_are_made_and_searched_in_slices(spark, monkeypatch):
+    # However many rows an Arrow batch holds, no more than a slice of it is a matrix at a time.
+    texts = spark.range(700).repartition(1).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("word "), F.col("id") % 97).alias("t"))
+    want = {r["id"]: r["e"] for r in texts.select("id", vec.hash_embedding(F.col("t"), 64).alias("e")).collect()}
+    assert all(want[str(i)] == want[str(i + 97)] for i in range(600)) and want["1"] != want["2"]
+    seen = []
+    monkeypatch.setattr(si, "_search_block", lambda best, qs, qm, rows, m, f=si._search_block: seen.append(len(m)) or f(best, qs, qm, rows, m))
+
+    class Local:
+        """The rows of a frame as one batch, searched here."""
+        sparkSession = spark
+
+        def mapInArrow(self, search, schema):
+            e = pa.array([want[str(i)] for i in range(700)], pa.list_(pa.float64()))
+            cols = {"id": pa.array([str(i) for i in range(700)])} | {n: pa.nulls(700, pa.string()) for n in ("user_id", "agent_id", "type")}
+            return pa.Table.from_batches(search([pa.RecordBatch.from_pydict(cols | {"importance": pa.nulls(700, pa.float64()), "embedding": e})])).to_pandas()
+
+    asked = pd.DataFrame({"query_id": [1], "user_id": [None], "agent_id": [None], "type": [None], "exclude_noise": [False], "embedding": [want["5"]]})
+    out = si._topk_broadcast(Local(), asked, 3, "")
+    assert out.sort_values(["distance", "id"])["id"].tolist() == ["102", "199", "296"]
+    assert sum(seen) == 700 and max(seen) <= si.SEARCH_ROWS
