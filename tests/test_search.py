@@ -277,3 +277,15 @@ def test_vectors_are_made_and_searched_in_slices(spark, monkeypatch):
     out = si._topk_broadcast(Local(), asked, 3, "")
     assert out.sort_values(["distance", "id"])["id"].tolist() == ["102", "199", "296"]
     assert sum(seen) == 700 and max(seen) <= si.SEARCH_ROWS
+
+
+def test_equal_requests_are_searched_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"red w{i} {'blue' if i % 3 else 'green'}", f"u{i % 2}") for i in range(30)], "id string, text string, user_id string")
+    corpus = docs.withColumn("tokens", tx.tokens(F.col("text"))).withColumn("embedding", vec.hash_embedding(F.col("text")))
+    texts = ["red", "blue", None, "red blue"]
+    asked = spark.createDataFrame([(i, texts[i % 4], [None, "u0"][i // 4 % 2]) for i in range(40)], "query_id long, text string, user_id string")
+    plain = {tuple(r) for r in se._hybrid(corpus, asked, 5, 8, ("user_id",), "hash").collect()}
+    counted = []
+    monkeypatch.setattr(se, "search_fulltext", lambda c, q, k, f=se.search_fulltext, **kw: counted.append(q.count()) or f(c, q, k, **kw))
+    got = {tuple(r) for r in se.hybrid_search(corpus, asked, limit=5, pool=8, scopes=("user_id",)).collect()}
+    assert got and got == plain and counted == [8]
