@@ -56,6 +56,51 @@ def merge(sym: list[int], pairs: dict[int, int]) -> list[int]:
     return sym
 
 
+#: Words up to so many bytes are merged many at a time, in matrices of widths that are multiples of ``WIDTH_STEP``.
+MATRIX_BYTES, WIDTH_STEP = 24, 4
+#: Stands for no symbol, and for no merged symbol: above all symbols.
+NONE = (1 << 20) - 1
+
+
+class Merger:
+    """Byte-pair merging of many short words at once: in each round every word that has a pair merges the one it would merge next."""
+
+    def __init__(self, pairs: dict[int, int]):
+        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        made = np.fromiter(pairs.values(), np.int32, len(pairs))
+        order = np.argsort(keys)
+        # The last key is above all pairs, so that every search ends inside.
+        self.keys, self.made = np.append(keys[order], 1 << 62), np.append(made[order], np.int32(NONE))
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merged symbol of each pair; its order is the rank."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], NONE).astype(np.int32)
+
+    def merge(self, sym: np.ndarray) -> np.ndarray:
+        """``sym``: a row of symbols for each word, ``NONE`` at its end. As ``merge`` for each row."""
+        out, rows = np.full_like(sym, NONE), np.arange(len(sym))
+        made = self._pair(sym[:, :-1], sym[:, 1:])
+        while len(rows) and made.shape[1]:
+            i = made.argmin(axis=1)
+            best = made[np.arange(len(rows)), i]
+            alive = best < NONE
+            if not alive.all():
+                out[rows[~alive], : sym.shape[1]] = sym[~alive]
+                rows, sym, made, i, best = rows[alive], sym[alive], made[alive], i[alive], best[alive]
+            all_, after = np.arange(len(rows)), np.arange(sym.shape[1] - 1) > i[:, None]
+            sym = np.where(after, sym[:, 1:], sym[:, :-1])
+            sym[all_, i] = best
+            made = np.where(after[:, :-1], made[:, 1:], made[:, :-1])
+            right = np.flatnonzero(i < made.shape[1])
+            made[right, i[right]] = self._pair(best[right], sym[right, i[right] + 1])
+            left = np.flatnonzero(i > 0)
+            made[left, i[left] - 1] = self._pair(sym[left, i[left] - 1], best[left])
+        out[rows, : sym.shape[1]] = sym
+        return out
+
+
 class Transducer:
     """Symbols of a word in, tokens out as soon as they are stable; what it holds doesn't grow with the word.
 
@@ -151,6 +196,7 @@ class Codec:
         self.pieces = LOWER_PIECES if self.loose and self.lower else None if self.loose or spec["normalizer"] else PIECES
         self.decoder = Decoder(file)
         self.joint = "" if self.decoder.bytes else " "
+        self.merger, self.id_array = Merger(self.pairs), np.array(self.ids, dtype=np.int64)
         self.words, self.seen = vocab.Cache(vocab.CACHE_WORDS), vocab.Cache(vocab.CACHE_UNITS)
 
     def word(self, symbols: bytes | list[int]) -> Iterator[int]:
@@ -202,9 +248,7 @@ class Codec:
 
         Texts are cut before white space, equal units encoded once, and the units' bytes put together by an Arrow ``take``.
         """
-        odd = pc.match_substring_regex(texts, vocab.OTHER_SPACE) if not self.loose else pa.array(np.zeros(len(texts), bool))
-        for s in self.special_ids:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = self._odd(texts)
         distinct, index, first = vocab.units(texts)
         made = [self.unit(u) for u in distinct]
         ids = _joined(pa.array(made, pa.large_binary()), index, first)
@@ -212,7 +256,7 @@ class Codec:
             back = [self.joint + self.decode(m) if (m := np.frombuffer(b, "<u4").tolist()) else "" for b in made]
             decoded = _joined(pa.array(back, pa.large_string()), index, first)
         skip = len(self.joint)
-        for i, rare in enumerate(odd.to_numpy(zero_copy_only=False)):
+        for i, rare in enumerate(odd):
             if rare:
                 whole = [*self.stream(texts[i].as_py())]
                 yield np.array(whole, dtype="<u4").tobytes(), self.decode(whole).encode() if decoding else None
@@ -220,6 +264,101 @@ class Codec:
                 yield ids(i), decoded(i)[skip:] if decoding else None
 
 
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be read as a whole: with special strings, or white space that doesn't cut here."""
+        odd = pc.match_substring_regex(texts, vocab.OTHER_SPACE) if not self.loose else pa.array(np.zeros(len(texts), bool))
+        for s in self.special_ids:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def encoded(self, texts: pa.Array) -> Iterator[memoryview | bytes]:
+        """The identifiers of each text, as ``texts`` gives them. From call to call only odd or long words are remembered.
+
+        Texts are cut into words by the kinds of their bytes, and the different words merged many at a time.
+        """
+        if self.pieces is not LOWER_PIECES:
+            yield from (b for b, _ in self.texts(texts, decoding=False))
+            return
+        odd = self._odd(texts)
+        words, first = _lower_words(texts)
+        words = words.dictionary_encode()
+        values, place = self._merged(words.dictionary)
+        ids = _joined(values, place[words.indices.to_numpy()], first)
+        for i, rare in enumerate(odd):
+            yield np.array([*self.stream(texts[i].as_py())], dtype="<u4").tobytes() if rare else ids(i)
+
+    def _merged(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(the identifiers of different words as bytes, in some order, and each word's place in it)."""
+        begin, text = _bytes(words)
+        size = np.diff(begin)
+        odd = np.zeros(len(words), bool)
+        odd[np.searchsorted(begin, np.flatnonzero(_odd_bytes(text)), side="right") - 1] = True
+        wide = np.where(odd | (size > MATRIX_BYTES), 0, -(-size // WIDTH_STEP) * WIDTH_STEP)
+        place, parts, done = np.zeros(len(words), np.int64), [], 0
+        for width in range(WIDTH_STEP, MATRIX_BYTES + 1, WIDTH_STEP):
+            own = np.flatnonzero(wide == width)
+            at = np.minimum(begin[own, None] + np.arange(width), len(text) - 1)
+            sym = np.where(np.arange(width) < size[own, None], text[at].astype(np.int32), np.int32(NONE))
+            sym[np.arange(len(own)), size[own] - 1] += self.ending
+            sym = self.merger.merge(sym)
+            there = sym != NONE
+            ids = self.id_array[sym[there]].astype("<u4")
+            offsets = np.append(0, np.cumsum(there.sum(axis=1))) * 4
+            parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+            place[own] = done + np.arange(len(own))
+            done += len(own)
+        rest = np.flatnonzero(wide == 0)
+        place[rest] = done + np.arange(len(rest))
+        parts.append(pa.array([self.unit(w) for w in words.take(pa.array(rest)).to_pylist()], pa.large_binary()))
+        return pa.concat_arrays(parts), place
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text begins and the last one ends, the bytes of all) of an Arrow array of large strings."""
+    buffers = texts.buffers()
+    at = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return at - at[0], data
+
+
+def _odd_bytes(b: np.ndarray) -> np.ndarray:
+    """Which bytes belong to no character of ``vocab.PLAIN``, or are apostrophes, which may begin a word of their own."""
+    after, before = np.append(b[1:], 0), np.append(0, b[:-1])
+    latin = ((b == 0xC3) & (after != 0x97) & (after != 0xB7)) | ((b >= 0x80) & (b < 0xC0) & (before == 0xC3) & (b != 0x97) & (b != 0xB7))
+    return ~(((b >= 32) & (b < 127) & (b != 39)) | ((b >= 9) & (b <= 13)) | latin)
+
+
+def _lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, in lower case; where each text's words begin), cut as ``LOWER_PIECES`` does.
+
+    What stands between white space and has an odd byte is one word here and keeps its case; see ``_odd_bytes``. The last
+    array has one entry more than there are texts.
+    """
+    rows, b = _bytes(texts.cast(pa.large_string()))
+    if not len(b):
+        return pa.array([], pa.large_string()), np.zeros(len(rows), np.int64)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = rows[:-1][rows[:-1] < rows[1:]]
+    begins[starts] = ~space[starts]
+    number = np.cumsum(begins, dtype=np.int32)
+    odd = np.zeros(int(number[-1]) + 1, bool)
+    # White space has the number of the word before it, but is never odd.
+    odd[number[_odd_bytes(b)]] = True
+    odd = odd[number]
+    upper = ((b >= 65) & (b <= 90)) | ((b >= 0x80) & (b <= 0x9E))
+    low = np.where(upper & ~odd, b + 32, b).astype(np.uint8)
+    digit = (b >= 48) & (b <= 57)
+    letter = ((low >= 97) & (low <= 122)) | (b >= 0x80)
+    kind = np.where(digit, 1, np.where(letter, 2, 3)).astype(np.uint8)
+    begins[1:] |= ~space[1:] & ~odd[1:] & ((kind[1:] != kind[:-1]) | digit[1:])
+    kept = np.flatnonzero(~space)
+    offsets = np.append(np.flatnonzero(begins[kept]), len(kept))
+    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(low[kept]))
+    return words, np.append(0, np.cumsum(begins, dtype=np.int64))[rows]
+
+
 def _joined(values: pa.Array, index: np.ndarray, first: np.ndarray):
     """A function from a text's number to the bytes of its units' ``values``, one after the other."""
     taken = values.take(pa.array(index))

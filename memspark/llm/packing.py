@@ -179,7 +179,7 @@ def pack_documents(
                 own = batch.column(0).slice(done, len(part)).to_pylist()
                 quiet = batch.column(2).slice(done, len(part)).to_numpy(zero_copy_only=False)
                 done += len(part)
-                made = [bytes(b) + end for b, _ in codec(file).texts(part, decoding=False)]
+                made = [bytes(b) + end for b in codec(file).encoded(part)]
                 # Not the whole part at once, so that the pool stays near its size.
                 for i in range(0, len(made), packer.pool):
                     some = range(i, min(len(made), i + packer.pool))

@@ -33,6 +33,22 @@ def test_codec_equals_the_library(name):
         assert bytes(decoded).decode() == library.decode(want, skip_special_tokens=False), text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_many_texts_at_once_are_encoded_as_by_the_library(name):
+    file = vocab.path(name)
+    library, own = Tokenizer.from_file(file), codec.codec(file)
+    some = [*texts(), "naïve CAFÉ, O'Neil×3÷2 rock'n'roll", "abcdefghijklmnopqrstuvwxyz" * 2, "\x0bab\x00c d\x7fe"]
+    for part in (pa.array(some), pa.array(["skipped", *some]).slice(1), pa.array(["", ""]), pa.array([], pa.string())):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in own.encoded(part)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in part.to_pylist()]
+
+
+def test_packing_remembers_no_common_words():
+    own = codec.Codec(vocab.path("word_bpe_49k.json"))
+    list(own.encoded(pa.array([" ".join(f"Word{c}x {c}thing," for c in "abcdefgh")])))
+    assert not own.seen and not own.words
+
+
 def test_counts_equal_the_library():
     file = vocab.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(file), token_count.counter(file)
