@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,6 @@ MIN_DECAY_MICROS = 3_600_000
 def trigger_hits(text: Column, lexicon: Lexicon = FULL, negations: Sequence[str] = lx.NEGATIONS,
                  window: int = lx.NEGATION_WINDOW) -> Column:
     """Array of (keyword, shifts) in lexicon order. Only the first occurrence of a keyword is looked at."""
-    low = F.lower(tx.text_or_empty(text))
     entries = [
         F.struct(
             F.lit(k).alias("keyword"),
@@ -40,34 +39,46 @@ def trigger_hits(text: Column, lexicon: Lexicon = FULL, negations: Sequence[str]
     ]
     neg = F.array(*[F.lit(n) for n in negations])
 
-    def holds(e: Column) -> Column:
-        at = F.instr(low, e["keyword"])
-        start = F.greatest(F.lit(1), at - window)
-        before = F.substring(low, start, at - start)
-        return (at > 0) & ~F.exists(neg, lambda n: F.contains(before, n))
+    def holds(low: Column, e: Column) -> Column:
+        def affirmed(at: Column) -> Column:
+            start = F.greatest(F.lit(1), at - window)
+            return (at > 0) & _once(F.substring(low, start, at - start), lambda before: ~F.exists(neg, lambda n: F.contains(before, n)))
 
-    return F.filter(F.array(*entries), holds)
+        return _once(F.instr(low, e["keyword"]), affirmed)
+
+    return _once(F.lower(tx.text_or_empty(text)), lambda low: F.filter(F.array(*entries), lambda e: holds(low, e)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def affect(text: Column, lexicon: Lexicon = FULL, negations: Sequence[str] = lx.NEGATIONS, chars: int | None = None) -> Column:
     """struct(dominant, valence, color) of a text, or of its first ``chars`` characters."""
     shifts = F.flatten(F.transform(trigger_hits(tx.opening(text, chars), lexicon, negations), lambda h: h["shifts"]))
-    dims = F.array_distinct(F.transform(shifts, lambda s: s["dim"]))
-    sums = F.transform(
-        dims,
-        lambda d, i: F.struct(
-            F.abs(_sum_of(shifts, lambda s: s["dim"] == d)).alias("size"), (-i).alias("back"), d.alias("dim")
-        ),
-    )
-    dominant = F.array_max(sums)["dim"]
-    good = _sum_of(shifts, lambda s: s["dim"].isin(*lx.POSITIVE_DIMS))
-    bad = _sum_of(shifts, lambda s: s["dim"].isin(*lx.NEGATIVE_DIMS))
     colors = F.create_map(*[F.lit(x) for kv in lx.DIMENSION_COLOR.items() for x in kv])
-    return F.struct(
-        dominant.alias("dominant"),
-        F.round(clamp(good - bad, -1.0, 1.0), 3).alias("valence"),
-        F.coalesce(F.try_element_at(colors, dominant), F.lit(lx.DEFAULT_COLOR)).alias("color"),
-    )
+
+    def largest(shifts: Column) -> Column:
+        dims = F.array_distinct(F.transform(shifts, lambda s: s["dim"]))
+        sums = F.transform(
+            dims,
+            lambda d, i: F.struct(
+                F.abs(_sum_of(shifts, lambda s: s["dim"] == d)).alias("size"), (-i).alias("back"), d.alias("dim")
+            ),
+        )
+        return F.array_max(sums)["dim"]
+
+    def feel(shifts: Column, dominant: Column) -> Column:
+        good = _sum_of(shifts, lambda s: s["dim"].isin(*lx.POSITIVE_DIMS))
+        bad = _sum_of(shifts, lambda s: s["dim"].isin(*lx.NEGATIVE_DIMS))
+        return F.struct(
+            dominant.alias("dominant"),
+            F.round(clamp(good - bad, -1.0, 1.0), 3).alias("valence"),
+            F.coalesce(F.try_element_at(colors, dominant), F.lit(lx.DEFAULT_COLOR)).alias("color"),
+        )
+
+    return _once(shifts, lambda s: _once(largest(s), lambda d: feel(s, d)))
 
 
 def _sum_of(shifts: Column, keep) -> Column:

@@ -218,6 +218,10 @@ def test_knowledge_upsert_guard(spark):
     assert got["g"]["tags"] == ["dream-cluster:g", "z", "k", "auto-knowledge"] and got["g"]["importance"] == 0.9 and got["g"]["existing_id"] == "m1"
 
 
+def test_affect_works_the_text_out_once(spark):
+    assert str(af.affect(F.col("s"))).count("lower(") == 1
+
+
 def test_negation_and_affect(spark):
     got = ask(spark, ["I am not happy, very happy", "so happy and tired", "不开心", ""], lambda c: F.transform(af.trigger_hits(c), lambda h: h["keyword"]))
     assert got == [[], ["happy", "tired"], [], []]
