@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from memspark.functions import lexicons as lx
 from memspark.functions import text as tx
 from memspark.functions.time import clamp, ntz
+from memspark.functions import vectors as vec
 from memspark.operators import affect as af
 from memspark.operators import consolidate as co
 from memspark.operators import context as cx
@@ -218,6 +219,14 @@ def test_knowledge_upsert_guard(spark):
     assert got["g"]["tags"] == ["dream-cluster:g", "z", "k", "auto-knowledge"] and got["g"]["importance"] == 0.9 and got["g"]["existing_id"] == "m1"
 
 
+def test_sparse_embedding_keeps_rows_without_an_id_and_adds_up_repeated_ones(spark):
+    rows = spark.createDataFrame([(None, "one two"), (1, "one"), (1, "two")], "id long, s string")
+    got = {}
+    for r in vec.hash_embedding_sparse(rows, "id", "s").collect():
+        got.setdefault(r.id, {})[r["dim"]] = round(r.weight, 9)
+    assert got[None] == got[1] and len(got[1]) == 2
+
+
 def test_affect_works_the_text_out_once(spark):
     assert str(af.affect(F.col("s"))).count("lower(") == 1
 
