@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.components import components
-from memspark.llm.rows import attach, kept, map_text, same, tidy
+from memspark.llm.rows import attach, few, kept, lookup, map_text, same, tidy
 from memspark.llm.simhash import close_pairs, join_labels
 from memspark.session import small_enough
 
@@ -42,6 +42,8 @@ HELD_LINKS = 1 << 20
 SHORT = 80
 #: Shingles of a part of a group whose sets are compared outright; each pair of parts is one task's work.
 GROUP_SHINGLES = 1 << 20
+#: Short rows that a set of shingles counts as where small tables are put into few parts.
+SET_ROWS = 8
 #: Pairs of texts, and meetings of a shingle in two texts, counted at once when sets are compared.
 BLOCK_PAIRS = 1 << 20
 #: Texts of a group after whose work a worker gives its freed memory back.
@@ -175,7 +177,7 @@ def dealt(prints: DataFrame, by: Tries) -> DataFrame:
 
     # Rows of no word have no shingle to share; their one print is linked to none.
     under = prints.filter("print <> 0").select("print", "sketch").mapInArrow(deal, "t int, node long, print long, sketch binary")
-    wide = kept(under.groupBy("t", "node").count().filter(F.col("count") > PART_TEXTS))
+    wide = kept(few(under.groupBy("t", "node").count().filter(F.col("count") > PART_TEXTS), tables << cut))
     return paired(under, ["t", "node"], wide.select("t", "node", F.ceil(F.col("count") / PART_TEXTS).cast("long").alias("parts")))
 
 
@@ -329,9 +331,10 @@ def exact_links(texts: DataFrame, group: list[str], sets: DataFrame, similarity:
 
     ``sets`` is (print, set). A group with over ``GROUP_SHINGLES`` shingles is cut into parts, each pair of them one task's work.
     """
-    full = kept(texts.join(sets.select("print", "set"), "print"))
+    n = texts.count()
+    full = few(kept(few(texts, n).join(sets.select("print", "set"), "print")), SET_ROWS * n)
     total = full.groupBy(*group).agg(F.sum(F.size("set")).alias("n")).filter(F.col("n") > GROUP_SHINGLES)
-    parts = kept(total.select(*group, F.ceil(F.col("n") / GROUP_SHINGLES).cast("long").alias("parts")))
+    parts = kept(few(total.select(*group, F.ceil(F.col("n") / GROUP_SHINGLES).cast("long").alias("parts")), n))
     rows = paired(full.select(*[F.col(c).alias(f"__{c}") for c in group], "print", "part", "set"), [f"__{c}" for c in group],
                   parts.select(*[F.col(c).alias(f"__{c}") for c in group], "parts"))
 
@@ -346,13 +349,14 @@ def exact_links(texts: DataFrame, group: list[str], sets: DataFrame, similarity:
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """(print, set): the distinct shingles of the texts of ``wanted`` (print), which are read again.
+    """(print, set): the distinct shingles of the texts of ``wanted`` (print), which are read again. Its other columns are kept.
 
     ``docs`` is (__key, __text). Only the hashes of these texts are moved.
     """
-    wanted = kept(wanted.select("print").distinct().join(prints.select("print", F.col("least").alias("__key")), "print"))
-    keys = wanted.select("__key").distinct()
-    texts = same(docs, keys, ["__key"], "left_semi", broadcast=small_enough(keys, BROADCAST_KEYS))
+    wanted = kept(prints.select("print", F.col("least").alias("__key")).join(wanted.distinct(), "print"))
+    n = wanted.count()
+    wanted = few(wanted, n)
+    texts = same(docs, wanted.select("__key"), ["__key"], "left_semi", broadcast=n <= BROADCAST_KEYS)
 
     def work():
         def batch(texts: pa.Array) -> dict:
@@ -362,7 +366,8 @@ def sets_of(wanted: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -
         return batch
 
     made = map_text(texts, "__key", "__text", "print long, set array<long>", work)
-    return kept(made.join(wanted.select("print"), "print").select("print", "set").dropDuplicates(["print"]))
+    sets = kept(made.join(lookup(wanted.drop("__key"), n), "print").dropDuplicates(["print"]))
+    return few(sets, SET_ROWS * n)
 
 
 def settled(links: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -370,10 +375,10 @@ def settled(links: DataFrame, docs: DataFrame, prints: DataFrame, words: int, si
 
     A text with very many links is broadcast (see ``attach``).
     """
-    ends = kept(links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("links")))
-    sets = kept(sets_of(ends, docs, prints, words).join(ends, "print"))
     total = links.count()
-    both = links
+    both = links = few(links, total)
+    ends = kept(few(links.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("links")), 2 * total))
+    sets = sets_of(ends, docs, prints, words)
     for end in ("a", "b"):
         facts = sets.select(F.col("print").alias(end), F.col("set").alias(f"set_{end}"), "links")
         both = attach(both, facts, [end], "links", total).drop("links")
@@ -387,8 +392,8 @@ def short_links(docs: DataFrame, prints: DataFrame, words: int, similarity: floa
     Two sets that are similar enough share one of the first ``size - ceil(similarity * size) + 1`` shingles of each, in any
     order common to all; the rarest come first here. Sets that share such a shingle are compared outright.
     """
-    few = prints.filter((F.col("print") != 0) & (F.col("shingles") <= math.floor(SHORT / similarity + 1e-9)))
-    sets = sets_of(few, docs, prints, words)
+    short = prints.filter((F.col("print") != 0) & (F.col("shingles") <= math.floor(SHORT / similarity + 1e-9)))
+    sets = sets_of(short.select("print"), docs, prints, words)
     each = kept(sets.select("print", F.size("set").alias("size"), F.explode("set").alias("shingle")))
     held = kept(each.groupBy("shingle").agg(F.count("*").alias("texts")))
     counted = attach(each, held, ["shingle"], "texts", each.count())
@@ -405,18 +410,24 @@ def verified_links(docs: DataFrame, prints: DataFrame, words: int, similarity: f
     First each group's forests are settled. A group in which one of these links fails and that has other pairs is walked again
     over the components so far, and the texts that still have an open pair are compared with one another outright.
     """
-    by = tries(prints.count(), similarity)
+    n = prints.count()
+    by = tries(n, similarity)
     rows = dealt(prints, by)
+    prints = few(prints, n)
     found = kept(similar_links(rows, by))
-    good = kept(settled(found.select("a", "b").distinct(), docs, prints, words, similarity))
-    failed = kept(found.filter("more").join(good, ["a", "b"], "left_anti").select("t", "node", "x", "y").distinct())
+    total = found.count()
+    found = few(found, total)
+    links = kept(few(found.select("a", "b").distinct(), total))
+    good = few(kept(settled(links, docs, prints, words, similarity)), total)
+    failed = found.filter("more").join(lookup(good, total), ["a", "b"], "left_anti").select("t", "node", "x", "y").distinct()
+    failed = kept(few(failed, total))
     if failed.isEmpty():
         return good
     roots = components(good).withColumnRenamed("node", "print")
-    texts = kept(open_texts(rows, by, failed, roots))
+    texts = kept(open_texts(rows, by, failed, lookup(roots, 2 * total)))
     if texts.isEmpty():
         return good
-    sets = sets_of(texts, docs, prints, words)
+    sets = sets_of(texts.select("print"), docs, prints, words)
     return good.unionByName(exact_links(texts, ["t", "node", "x", "y"], sets, similarity))
 
 
@@ -433,10 +444,12 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     rows = kept(sketches(docs, "__key", "__text", words))
     prints = kept(rows.groupBy("print").agg(F.count("*").alias("size"), F.min("__key").alias("least"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
-    links = verified_links(docs, prints, words, similarity).unionByName(short_links(docs, prints, words, similarity))
-    roots = components(links).withColumnRenamed("node", "print")
-    grouped = kept(prints.select("print", "size", "least").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
-    of_print = attach(grouped, ids, ["root"], "prints", grouped.count()).select("print", "size", "component_id")
-    out = attach(rows.select("__key", "print"), kept(of_print), ["print"], "size", rows.count())
+    links = verified_links(docs, prints, words, similarity)
+    n = prints.count()
+    prints = few(prints, n)
+    roots = components(links.unionByName(short_links(docs, prints, words, similarity))).withColumnRenamed("node", "print")
+    grouped = kept(few(prints.select("print", "size", "least").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), n))
+    ids = few(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), n)
+    of_print = kept(few(attach(grouped, ids, ["root"], "prints", n).select("print", "size", "component_id"), n))
+    out = attach(rows.select("__key", "print"), of_print, ["print"], "size", rows.count())
     return out.select(F.col("__key").alias(key), "component_id")

@@ -20,6 +20,10 @@ BATCH_BYTES = 8 << 20
 ROW_GROUP_BYTES = 32 << 20
 #: A key with at least this many rows may be hot; see ``attach``.
 HOT_ROWS = 2_000
+#: Rows of keys or links, as many as a part of a small table should hold; it has a part for each of these, or two for each core.
+PART_ROWS = 20_000
+#: Rows of keys or links up to which they are broadcast, not dealt out to parts that would hold a few each.
+FEW_ROWS = 100_000
 #: At most so many keys can each hold more than one part in this many of all rows.
 HOT_PARTS = 10_000
 
@@ -103,3 +107,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
     return materialize(df)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` short rows (keys, prints, links), in no more parts than those fill.
+
+    Each part of a table costs a task, its files and its lines in the event log, however small; a loop over small tables pays
+    that in each round. Parts are put together without a shuffle, and never fewer than keep all cores busy.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
+def lookup(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, the right side of a join, of at most ``rows`` short rows: broadcast if they are few."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df

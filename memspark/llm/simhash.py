@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.components import components
-from memspark.llm.rows import attach, kept, map_text, same
+from memspark.llm.rows import attach, few, kept, map_text, same
 from memspark.session import small_enough
 
 #: Fingerprints wanted under one top node of the trie; the depth at which the trie is cut follows from it.
@@ -219,7 +219,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     found = kept(near_duplicates(docs, key, text, words, budget) if groups is None else groups)
     stays = F.col(key).eqNullSafe(F.col("component_id"))
-    gone = found.filter(~stays).select(key).distinct()
+    n = found.count()
+    found = few(found, n)
+    gone = kept(few(found.filter(~stays).select(key).distinct(), n))
     out = same(docs, gone, [key], "left_anti", broadcast=small_enough(gone, BROADCAST_KEYS))
-    repeated = found.filter(stays).groupBy(key).count().filter("count > 1")
+    repeated = few(found.filter(stays).groupBy(key).count().filter("count > 1"), n)
     return out if repeated.isEmpty() else out.dropDuplicates([key])

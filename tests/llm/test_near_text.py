@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from memspark.llm import near_text
+from memspark.llm import near_text, rows
+from memspark.llm.components import components
 
 
 def runs(text, n=5):
@@ -119,3 +120,28 @@ def test_short_texts_at_the_threshold_are_all_linked(spark, monkeypatch, part):
     texts += [f"one start for all {' '.join(f'u{k}x{i}' for i in range(20))}" for k in range(40)]
     got = near_text.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 if i < 120 else i for i in range(160)}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components_of_few_links_take_few_tasks(many_chunks, monkeypatch, few):
+    """Each task leaves files and a line in the event log; with 100 parts a table this took 9,418 tasks before."""
+    spark, sc = many_chunks, many_chunks.sparkContext
+    monkeypatch.setattr(rows, "FEW_ROWS", few, raising=False)
+    r = random.Random(6)
+    nodes = r.sample(range(10**6), 60)
+    links = spark.createDataFrame(list(zip(nodes, nodes[1:40] + nodes[41:], strict=False)), "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    sc.setJobGroup(f"few-{few}", "components of few links")
+    try:
+        got = {x.node: x.root for x in components(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        sc.setJobGroup("", "")
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup(f"few-{few}") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert sum(s.numCompletedTasks for s in stages if s) < (1_500 if few else 4_000)
+    first, want = {}, {}
+    for a, b in zip(nodes, nodes[1:40] + nodes[41:], strict=False):
+        x, y = want.get(a, a), want.get(b, b)
+        first |= {a: 1, b: 1}
+        want |= {n: min(x, y) for n in first if want.get(n, n) in (x, y)}
+    assert got == want
