@@ -7,6 +7,7 @@ Spark moves blocks of vectors; each task multiplies two blocks and keeps only wh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.operators.filters import top_per_group
 from memspark.operators.ordered import meet
-from memspark.operators.pruning import SLACK, blocked
+from memspark.operators.pruning import LEAVES, SLACK, Space, fit, sampled
 from memspark.session import materialize
 
 # Queries up to this many are sent to every task as one matrix (at 1024 dimensions: 16 MB).
@@ -217,16 +219,16 @@ def knn_within(
     for c in scope:  # a null is equal to nothing
         r = r.filter(F.col(c).isNotNull())
     key = F.to_json(F.struct(*scope)) if scope else F.lit("")
-    # The vectors may be made on the fly: they are not read to count, and never written as plain arrays.
+    # The vectors may be made on the fly: they are not read to count, made once, and never written or dealt out as plain arrays.
     r = r.select(F.col("id").cast("string").alias("id"), when, key.alias("_scope"), "embedding")
     total = r.count()
+    sizes = r.groupBy("_scope").agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
     if total > prune_rows:
-        r = _lying_together(r, total, block_rows)
+        r = _lying_together(r, sizes, total, block_rows)
     else:
-        sizes = r.groupBy("_scope").agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
         r = meet(r, sizes, ["_scope"], F.col("id")).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-        r = r.withColumn("_x", F.array().cast("array<float>"))
-    r = r.select("_scope", F.col("_block").cast("long").alias("_block"), "id", "_t", "_x", "embedding")
+        r = _coded(r.select("_scope", F.col("_block").cast("long").alias("_block"), "id", "_t", "embedding"))
+    r = r.select("_scope", "_block", "id", "_t", "_x", "_width", "_vector")
 
     def pack(table: pa.Table) -> pa.Table:
         return _packed(table, k, bool(earlier_by), min_similarity)
@@ -239,14 +241,54 @@ def knn_within(
     many = blocks.groupBy("_scope").count().filter("count > 1").select("_scope")
     shared = meet(blocks.select("_scope", "_block"), many, ["_scope"], F.col("_block")).count()
     if shared:
-        found = found.unionByName(_other_blocks(blocks, shared, k, bool(earlier_by), min_similarity))
+        found = found.unionByName(_other_blocks(blocks, many, shared, k, bool(earlier_by), min_similarity))
     return top_per_group(found, ["id"], [F.col("similarity").desc(), F.col("neighbour")], k)
 
 
-def _lying_together(r: DataFrame, total: int, block_rows: int) -> DataFrame:
-    """Rows with the block they lie in (_block) and what the principal axes show of them (_x); null and zero vectors leave."""
-    seen, _ = blocked(r.select(F.col("id").alias("_row"), "_scope", "_t", "embedding"), total, block_rows)
-    return r.drop("_t", "_scope").join(seen.withColumnRenamed("_row", "id"), "id")
+def _coded(r: DataFrame, space: Space | None = None) -> DataFrame:
+    """``r`` with _width and _vector, the unit vector compressed by itself, for embedding; null and zero vectors leave.
+
+    _x is what the axes of ``space`` show of it, _leaf where its tree puts it; without one they are empty and 0.
+    """
+    own = [f for f in r.schema.fields if f.name != "embedding"]
+    made = T._parse_datatype_string("_x array<float>, _leaf long, _width int, _vector binary").fields
+    names = [f.name for f in (*own, *made)]
+    shared = r.sparkSession.sparkContext.broadcast(space)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SEARCH_ROWS):
+                b = batch.slice(start, SEARCH_ROWS)
+                b = b.filter(pc.is_valid(b.column("embedding")))
+                m = _matrix(b.column("embedding"))
+                live = m.any(axis=1)
+                if not live.any():
+                    continue
+                b, m = b.filter(pa.array(live)), m[live]
+                n = len(m)
+                x, leaf = shared.value.place(m) if shared.value is not None else (np.zeros((n, 0), np.float32), np.zeros(n, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                vectors = pa.array([pa.compress(v, codec="zstd", asbytes=True) for v in m], pa.binary())
+                columns = [*[b.column(f.name) for f in own], lists, pa.array(leaf), pa.array(np.full(n, m.shape[1], np.int32)), vectors]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return r.mapInArrow(code, T.StructType([*own, *made]))
+
+
+def _lying_together(r: DataFrame, sizes: DataFrame, total: int, block_rows: int) -> DataFrame:
+    """Rows, coded, with the block they lie in (_block) and what the principal axes show of them (_x).
+
+    A scope of several blocks is cut where the tree over the axes is cut, only as deep as it has blocks, and what is still
+    larger than a block by hash: a small scope gives few blocks, not one for each leaf.
+    """
+    space = fit(sampled(r.withColumnRenamed("id", "_row"), total), min(LEAVES, -(-total // block_rows)))
+    depth = int(np.log2(len(space.axis) + 1))
+    seen = meet(materialize(_coded(r, space)), sizes, ["_scope"], F.col("id"))
+    down = F.least(F.lit(depth), F.ceil(F.log2("_blocks")))
+    seen = seen.withColumn("_node", F.floor(F.col("_leaf") / F.pow(F.lit(2.0), F.lit(depth) - down)))
+    parts = seen.groupBy("_scope", "_node").agg(F.ceil(F.count("*") / block_rows).alias("_parts"))
+    seen = meet(seen, parts, ["_scope", "_node"], F.col("id"))
+    return seen.withColumn("_block", F.col("_node") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("_parts")))
 
 
 #: Blocks a task of the product holds of the right side (at some 500 bytes a row and 4,096 rows: 64 MB), parts of the left.
@@ -262,11 +304,10 @@ _BLOCK_SHAPE = (
 
 
 def _packed(table: pa.Table, k: int, earlier: bool, min_similarity: float | None) -> pa.Table:
-    """One row for a block: its unit vectors compressed, and the neighbours its rows have inside it. None is zero or null."""
-    table = table.filter(pc.is_valid(table.column("embedding")))
-    m = _matrix(table.column("embedding"))
-    live = m.any(axis=1)
-    m, table = m[live], table.filter(pa.array(live))
+    """One row for a block: its unit vectors compressed, and the neighbours its rows have inside it."""
+    widths = table.column("_width").to_pylist()
+    m = np.frombuffer(b"".join([pa.decompress(v.as_buffer(), w * 8, codec="zstd", asbytes=True) for v, w in zip(table.column("_vector"), widths, strict=True)]))
+    m = m.reshape(len(widths), -1) if widths else np.zeros((0, 0))
     ids = table.column("id").to_pandas().to_numpy(dtype=object)
     t = table.column("_t").to_numpy()
     x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
@@ -293,27 +334,37 @@ def _packed(table: pa.Table, k: int, earlier: bool, min_similarity: float | None
 
 def _exact(best: _Best, start: int, am, at, ai, bm, bt, bi, floors: np.ndarray, earlier: bool) -> None:
     """Rows of ``b`` added to the best of the rows ``start``... of ``a``: all products in double precision."""
+    code = np.unique(np.concatenate([ai, bi]), return_inverse=True)[1]  # numbers in the order of the ids compare faster
+    ac, bc = code[: len(ai)], code[len(ai) :]
     for low in range(0, len(am), STRIPE):
         sims = np.round(am[low : low + STRIPE] @ bm.T, DIGITS)
         for j in range(len(sims)):
             i = low + j
-            ok = (sims[j] >= floors[i]) & (bi != ai[i])
+            ok = (sims[j] >= floors[i]) & (bc != ac[i])
             if earlier:
-                ok &= (bt < at[i]) | ((bt == at[i]) & (bi < ai[i]))
+                ok &= (bt < at[i]) | ((bt == at[i]) & (bc < ac[i]))
             if ok.any():
                 best.add(start + i, -sims[j][ok], bi[ok])
 
 
 class _Block:
-    """A block as it comes from the product; ``side`` is the prefix of its columns."""
+    """A block as it comes from the product; ``side`` is the prefix of its columns. Vectors are unpacked when asked for."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, side: str):
+        row = {n: batch.column(f"{side}{n}")[i] for n in ("ids", "times", "width", "vectors", "seen")}
+        self.ids = row["ids"].values.to_pandas().to_numpy(dtype=object)
+        self.t = row["times"].values.to_numpy(zero_copy_only=False)
+        self.width, self.packed = row["width"].as_py(), row["vectors"].as_py()
+        self.x = np.frombuffer(row["seen"].as_py(), dtype=np.float32).reshape(len(self.ids), -1)
 
-    def __init__(self, row: dict, side: str):
-        self.ids = np.array(row[f"{side}ids"], dtype=object)
-        self.t = np.array(row[f"{side}times"], dtype=np.int64)
-        n, width = len(self.ids), row[f"{side}width"]
-        self.m = np.frombuffer(pa.decompress(row[f"{side}vectors"], n * width * 8, codec="zstd"), dtype=np.float64).reshape(n, width)
-        self.rough = self.m.astype(np.float32)
-        self.x = np.frombuffer(row[f"{side}seen"], dtype=np.float32).reshape(n, -1)
+    @cached_property
+    def m(self) -> np.ndarray:
+        n = len(self.ids)
+        return np.frombuffer(pa.decompress(self.packed, n * self.width * 8, codec="zstd"), dtype=np.float64).reshape(n, self.width)
+
+    @cached_property
+    def rough(self) -> np.ndarray:
+        return self.m.astype(np.float32)
 
 
 def _search_other(a: _Block, b: _Block, best: _Best, floors: np.ndarray, k: int, earlier: bool) -> None:
@@ -326,12 +377,17 @@ def _search_other(a: _Block, b: _Block, best: _Best, floors: np.ndarray, k: int,
         v, lo, hi = a.x.astype(np.float64), b.x.min(axis=0), b.x.max(axis=0)
         apart = (np.maximum(0, np.maximum(lo - v, v - hi)) ** 2).sum(axis=1)
         look = look[apart <= 2 - 2 * floors + SLACK]
+    if not len(look):
+        return
     # Rounding of a sum of products of unit vectors, term by term, and that of the digits kept.
-    slack = 2.0 ** -23 * (b.m.shape[1] + 8) + 10.0**-DIGITS
+    slack = 2.0 ** -23 * (b.width + 8) + 10.0**-DIGITS
     for low in range(0, len(look), STRIPE):
         part = look[low : low + STRIPE]
         rough = a.rough[part] @ b.rough.T
         near = rough >= (floors[part] - slack).astype(np.float32)[:, None]
+        if not earlier and len(b.ids) > k and np.count_nonzero(near) > 4 * k * len(part):
+            # The k best of the block by these products are at least so near; what is surely farther is none of the k.
+            near &= rough >= (np.partition(rough, -k, axis=1)[:, -k].astype(np.float64) - 2 * slack).astype(np.float32)[:, None]
         if np.count_nonzero(near) > 32 * len(part):
             own = _Best(k, len(part))
             _exact(own, 0, a.m[part], a.t[part], a.ids[part], b.m, b.t, b.ids, floors[part], earlier)
@@ -359,9 +415,10 @@ def _search_other(a: _Block, b: _Block, best: _Best, floors: np.ndarray, k: int,
                 floors[i] = max(floors[i], -d[-1])
 
 
-def _other_blocks(blocks: DataFrame, count: int, k: int, earlier: bool, min_similarity: float | None) -> DataFrame:
-    """(id, neighbour, similarity) between different blocks of a scope: at most ``k`` of a row from each part of the right side."""
+def _other_blocks(blocks: DataFrame, many: DataFrame, count: int, k: int, earlier: bool, min_similarity: float | None) -> DataFrame:
+    """(id, neighbour, similarity) between different blocks of a scope (of those in ``many``): at most ``k`` of a row from each part of the right side."""
     cols = ["_scope", "_block", "ids", "times", "first", "last", "width", "vectors", "seen", "floors"]
+    blocks = meet(blocks, many, ["_scope"], F.col("_block"))
     left = blocks.select(*[F.col(c).alias(f"a_{c}") for c in cols]).repartition(min(count, LEFT_PARTS))
     right = blocks.select(*[F.col(c).alias(f"b_{c}") for c in cols if c not in ("last", "floors")]).repartition(-(-count // RIGHT_BLOCKS))
     # Not written as an equality: a join by key would send all blocks of one large scope to one task.
@@ -380,14 +437,13 @@ def _other_blocks(blocks: DataFrame, count: int, k: int, earlier: bool, min_simi
         at, a, best, floors = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if at != (row["a__scope"], row["a__block"]):
+                here = (batch.column("a__scope")[i].as_py(), batch.column("a__block")[i].as_py())
+                if at != here:
                     if a is not None:
                         yield emit(a, best)
-                    at = (row["a__scope"], row["a__block"])
-                    a = _Block(row, "a_")
-                    best, floors = _Best(k, len(a.ids)), np.frombuffer(row["a_floors"]).copy()
-                _search_other(a, _Block(row, "b_"), best, floors, k, earlier)
+                    at, a = here, _Block(batch, i, "a_")
+                    best, floors = _Best(k, len(a.ids)), np.frombuffer(batch.column("a_floors")[i].as_py()).copy()
+                _search_other(a, _Block(batch, i, "b_"), best, floors, k, earlier)
         if a is not None:
             yield emit(a, best)
 

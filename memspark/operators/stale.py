@@ -19,7 +19,8 @@ def flag_stale(memories: DataFrame, k: int = 5, max_distance: float = STALE_DIST
     """(memories with the tag, conflicts). Each active row is compared with the ``k - 1`` nearest earlier rows of its
     user, agent and type; the first newer row to overtake an old one is recorded. Equal texts do not count."""
     m = fl.active(memories).withColumn("_t", micros(F.col("created_at")))
-    near = knn_within(m, k - 1, scope=["user_id", "agent_id", "type"], earlier_by="_t")
+    # The best of those near enough are the best, as far as they are near enough; the last digit is settled below.
+    near = knn_within(m, k - 1, scope=["user_id", "agent_id", "type"], earlier_by="_t", min_similarity=1 - max_distance - 1e-8)
     close = near.withColumn("distance", 1 - F.col("similarity")).filter(F.round("distance", 9) <= max_distance)
     new = m.select("id", "user_id", "agent_id", "type", "_t", F.sha2(tx.strip(F.col("content")), 256).alias("_new"))
     old = m.select(F.col("id").alias("neighbour"), F.sha2(tx.strip(F.col("content")), 256).alias("_old"),

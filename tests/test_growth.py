@@ -2,7 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import arrow_udf
+
 from memspark.llm.components import components
+from memspark.operators import similarity as si
 from memspark.session import materialize
 
 
@@ -20,3 +27,28 @@ def test_components_of_a_chain_in_many_rounds(spark):
     made = components(spark.createDataFrame(list(zip(names, names[1:])), "a long, b long"))
     assert made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
     assert sorted(map(tuple, made.collect())) == [(n, 0) for n in range(1000)]
+
+
+def test_small_scopes_give_few_blocks_and_vectors_are_made_once(spark, monkeypatch):
+    # 20 scopes of 40 rows each, one of 800: with blocks of 16 rows, a scope is cut as its size asks, not once for each leaf.
+    r = np.random.default_rng(6)
+    v = r.normal(size=(1600, 12))
+    made = spark.sparkContext.accumulator(0)
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(i: pa.Array) -> pa.Array:
+        made.add(len(i))
+        return pa.array([v[x].tolist() for x in i.to_pylist()], pa.list_(pa.float64()))
+
+    n = F.col("id")
+    df = spark.range(1600).select(n.cast("string").alias("id"), embed(n).alias("embedding"), F.when(n < 800, "all").otherwise((n % 20).cast("string")).alias("s"), n.alias("t"))
+    written = []
+    monkeypatch.setattr(si, "materialize", lambda d, f=si.materialize: written.append(f(d)) or written[-1])
+    for kw in ({"earlier_by": "t"}, {"min_similarity": 0.5}):
+        want = sorted(tuple(x) for x in si.knn_within(df, 3, scope=["s"], block_rows=1000, **kw).collect())
+        before = made.value
+        got = si.knn_within(df, 3, scope=["s"], block_rows=16, prune_rows=0, **kw)
+        assert made.value - before <= 1600 + 1600  # the sample on which axes are fitted is all rows of so small a table
+        assert sorted(tuple(x) for x in got.collect()) == want
+        blocks = written[-1].groupBy("_scope").count()
+        assert blocks.filter("_scope not like '%all%'").agg(F.max("count")).first()[0] <= 8
