@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from memspark.llm.components import components
+from memspark.operators import graph as gr
 from memspark.operators import similarity as si
 from memspark.session import materialize
 
@@ -52,3 +54,31 @@ def test_small_scopes_give_few_blocks_and_vectors_are_made_once(spark, monkeypat
         assert sorted(tuple(x) for x in got.collect()) == want
         blocks = written[-1].groupBy("_scope").count()
         assert blocks.filter("_scope not like '%all%'").agg(F.max("count")).first()[0] <= 8
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_walks_write_a_row_for_an_entity_not_for_each_query(spark, bound, monkeypatch):
+    # 90 walks over a hub, its 150 leaves and a ring; each is asked by three queries, some of two starts, one of a null.
+    monkeypatch.setattr(gr, "BROADCAST_ROWS", bound, raising=False)
+    monkeypatch.setattr(gr, "HUB_LINKS", 100, raising=False)
+    links = [("hub", f"v{i}") for i in range(150)] + [(f"v{i}", f"v{(i + 1) % 150}") for i in range(150)] + [("v3", "v3"), ("v5", "x"), ("x", "y")]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    asked = {q: ({f"v{q % 90}", "y"} if q % 30 == 0 else {f"v{q % 90}"}) for q in range(270)} | {300: {None}}
+    want = set()
+    for q, starts in asked.items():
+        seen, front = set(starts), set(starts)
+        want |= {(q, s, 0) for s in starts}
+        for d in (1, 2):
+            front = {y for x in front for y in near.get(x, ())} - seen
+            seen |= front
+            want |= {(q, y, d) for y in front}
+    written = []
+    monkeypatch.setattr(gr, "materialize", lambda d, f=gr.materialize: written.append(f(d)) or written[-1])
+    relations = spark.createDataFrame([(a, b, f"{a}>{b}", "to", 1.0) for a, b in links], "source_id string, target_id string, relation_id string, relation_type string, weight double")
+    starts = spark.createDataFrame([(q, s) for q, ids in asked.items() for s in ids], "query_id long, id string")
+    got = [tuple(r) for r in gr.neighbours_by_depth(None, relations, starts, 2).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(w.count() for w in written) < 1200
