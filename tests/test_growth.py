@@ -11,6 +11,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from memspark.llm.components import components
 from memspark.operators import graph as gr
+from memspark.operators import search as se
 from memspark.operators import similarity as si
 from memspark.session import materialize
 
@@ -82,3 +83,31 @@ def test_walks_write_a_row_for_an_entity_not_for_each_query(spark, bound, monkey
     got = [tuple(r) for r in gr.neighbours_by_depth(None, relations, starts, 2).collect()]
     assert len(got) == len(want) and set(got) == want
     assert sum(w.count() for w in written) < 1200
+
+
+def test_block_search_copies_nothing_for_pairs_of_blocks(spark, monkeypatch):
+    # 200 queries and 300 rows in blocks of 16: some 250 pairs of blocks, but each vector is written once and packed.
+    monkeypatch.setattr(si, "BLOCK_ROWS", 16)
+    r = np.random.default_rng(8)
+    v = np.where(r.random((500, 256)) < 0.1, r.integers(-2, 3, (500, 256)), 0).astype(float)
+    c = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(v[:300])], "id string, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[300:])], "query_id long, embedding array<double>")
+    want = sorted(tuple(x) for x in si.vector_topk(c, q, 5).collect())
+    written = []
+    monkeypatch.setattr(si, "materialize", lambda d, f=si.materialize: written.append(f(d)) or written[-1])
+    got = si.vector_topk(c, q, 5, max_broadcast=0)
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) == 1000
+    assert sum(len(x["vectors"]) for w in written for x in w.select("vectors").collect()) < v.nbytes / 4
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_does_not_deal_texts_out_by_query(spark):
+    talk = spark.createDataFrame([(q, t, "red sky" if t else "a RED sun") for q in range(3) for t in range(3)], "query_id long, seq int, text string")
+    corpus = spark.createDataFrame([("a", "Red sky ", ["x"]), ("b", "blue", ["src1"]), ("c", "blue", []), ("d", " ", [])], "id string, content string, tags array<string>")
+    fused = spark.createDataFrame([(q, i, p + 1) for q in range(3) for p, i in enumerate("abcd")], "query_id long, id string, position int")
+    ask = spark.createDataFrame([(q, "red") for q in range(3)], "query_id long, text string")
+    out = se.layered_recall(talk, fused, corpus, ask, lambda t: F.when(F.array_contains(t, "src1"), 0.15).otherwise(0.0), 3)
+    got = sorted((r["query_id"], r["position"], r["layer"], r["id"], r["content"]) for r in out.collect())
+    assert [x[1:] for x in got if x[0] == 1] == [(1, "preconscious", "b", "blue"), (2, "conscious", None, "a RED sun"), (3, "conscious", None, "red sky")]
+    plan = out.select("query_id", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(" in plan and all("tags" not in x.split(")")[0] for x in plan.split("collect_list(struct(")[1:])
