@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from memspark.operators import similarity as si
 from memspark.operators.ordered import join_hot
-from memspark.operators.similarity import DIGITS, _unit, earliest_match
+from memspark.operators.similarity import DIGITS
 from memspark.session import materialize, small_enough
 
 BROADCAST_ROWS = 200_000
@@ -95,47 +98,163 @@ def dedupe_vectors(rows: DataFrame, order_col: str = "ord", threshold: float = 0
     Equal vectors collapse to the first. The earliest ``sweep`` rows are walked in one task, everything near the rows they
     leave is removed, and the next ones follow: twice as many, up to ``MOST_SWEEP``, where little was removed. So each pair
     of a kept row and a later row is multiplied once, whatever chains there are, and the number of rounds follows the rows
-    that are kept. Pairs never leave a task.
+    that are kept. Vectors are written once, packed into blocks in their order. The driver holds one bit a row, which says
+    what is still open, and of a round the packed vectors of the rows that are kept, at most ``MOST_SWEEP``.
     """
     r = rows.select("id", F.col(order_col).cast("bigint").alias("ord"), "embedding")
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    r = materialize(r.withColumn("_len", F.coalesce(length, F.lit(0.0))))
-    kept = r.filter("_len = 0").select("id")
-    vectors = r.filter("_len > 0").withColumn("_print", F.sha2(F.to_json("embedding"), 256))
-    first = vectors.groupBy("_print").agg(F.min(F.struct("ord", "id", "embedding")).alias("r"))
-    todo = materialize(first.select("r.*"))
-    left = todo.count()
+    coded = materialize(si._coded(r))
+    kept = r.select("id", "ord").join(coded.select("ord"), "ord", "left_anti").select("id")
+    first = coded.groupBy(F.sha2("_vector", 256).alias("_print")).agg(F.min("ord").alias("ord"))
+    blocks = _in_order(coded.join(first.select("ord"), "ord", "left_semi"))
+    sizes = sorted(tuple(x) for x in blocks.select("first", F.size("ids")).collect())
+    open_ = {at: np.ones(n, dtype=bool) for at, n in sizes}
+    stays = {at: np.zeros(n, dtype=bool) for at, n in sizes}
+    left = sum(n for _, n in sizes)
     while left:
-        head = materialize(todo.orderBy("ord").limit(sweep))
-        leaders = materialize(_leaders(head, threshold))
-        kept = kept.unionByName(leaders.select("id"))
-        last = head.agg(F.max("ord")).first()[0]
-        rest = todo.filter(F.col("ord") > last)
-        near = earliest_match(rest, leaders, threshold)
-        todo = materialize(rest.join(near, "id", "left_anti"))
-        before, left = left, todo.count()
+        head, wanted = {}, sweep
+        for at, _ in sizes:
+            some = np.flatnonzero(open_[at])[:wanted]
+            if len(some):
+                head[at], wanted = some, wanted - len(some)
+            if not wanted:
+                break
+        last = max(head)
+        found = _leaders(blocks.filter(F.col("first").between(min(head), last)), head, threshold)
+        for at, some in head.items():
+            open_[at][some] = False
+        for at, i in zip(found["at"], found["place"], strict=True):
+            stays[at][i] = True
+        rest = {at: np.packbits(flags) for at, flags in open_.items() if flags.any()}
+        if rest:
+            for at, gone in _near(blocks.filter(F.col("first") >= min(rest)), rest, found, threshold):
+                open_[at] &= ~np.unpackbits(np.frombuffer(gone, np.uint8), count=len(open_[at])).astype(bool)
+        before, left = left, sum(int(x.sum()) for x in open_.values())
         if left > before / 2:
             sweep = min(2 * sweep, max(sweep, MOST_SWEEP))
-    return kept
+    flags = rows.sparkSession.sparkContext.broadcast({at: np.packbits(x) for at, x in stays.items()})
+    schema = T.StructType([rows.schema["id"]])
 
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values
+                stay = np.unpackbits(flags.value[batch.column("first")[i].as_py()], count=len(ids)).astype(bool)
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(stay))], names=["id"])
 
-def _leaders(head: DataFrame, threshold: float) -> DataFrame:
-    """The rows of a prefix of bounded size that the plain walk keeps, walked in one task."""
-    names = head.columns
+    return kept.unionByName(blocks.select("first", "ids").mapInArrow(chosen, schema))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame(columns=names)]).sort_values("ord")
-        if pdf.empty:
-            return
-        m = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
+
+def _in_order(coded: DataFrame) -> DataFrame:
+    """(first, ids, width, vectors): coded rows as blocks of ``BLOCK_ROWS`` or fewer, each a stretch of the order that begins at ``first``."""
+    size, n = si.BLOCK_ROWS, coded.count()
+    names = ["first", "ids", "width", "vectors"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(table: pa.Table) -> pa.RecordBatch:
+            m = si._joined(table)
+            row = [table.column("ord").slice(0, 1).combine_chunks(), pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)),
+                   pa.array([m.shape[1]], pa.int32()), pa.array([pa.compress(np.ascontiguousarray(m), codec="zstd", asbytes=True)], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=names)
+
+        waiting = None
+        for batch in batches:
+            waiting = pa.Table.from_batches([batch] if waiting is None else [*waiting.to_batches(), batch])
+            while len(waiting) >= size:
+                yield block(waiting.slice(0, size))
+                waiting = waiting.slice(size)
+        if waiting is not None and len(waiting):
+            yield block(waiting)
+
+    parts = max(1, -(-n // size))
+    rows = coded.select("ord", "id", "_width", "_vector").repartitionByRange(parts, "ord").sortWithinPartitions("ord")
+    kind = coded.schema["id"].dataType.simpleString()
+    # Dealt anew, so that the blocks of a late round are spread over the tasks too.
+    return materialize(rows.mapInArrow(pack, f"first long, ids array<{kind}>, width int, vectors binary").repartition(min(parts, 4 * coded.sparkSession.sparkContext.defaultParallelism)))
+
+
+def _unpacked(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    n, width = len(batch.column("ids")[i]), batch.column("width")[i].as_py()
+    return np.frombuffer(pa.decompress(batch.column("vectors")[i].as_py(), n * width * 8, codec="zstd")).reshape(n, width)
+
+
+def _hits(a: np.ndarray, b: np.ndarray, threshold: float, rough: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are within the threshold: by single precision (``rough``), in double where that doesn't settle it."""
+    slack = 2.0**-23 * (a.shape[1] + 8) + 10.0**-DIGITS
+    sims = rough[0] @ rough[1].T
+    hit = sims >= np.float32(threshold + slack)
+    i, j = np.nonzero((sims >= np.float32(threshold - slack)) & ~hit)
+    for c in range(0, len(i), 4096):
+        x, y = i[c : c + 4096], j[c : c + 4096]
+        hit[x, y] = np.round(np.einsum("ij,ij->i", a[x], b[y]), DIGITS) >= threshold
+    return hit
+
+
+def _leaders(blocks: DataFrame, head: dict, threshold: float) -> dict:
+    """Of the rows of a prefix of bounded size (``head``: places by block) those that the plain walk keeps: at, place, width, vectors (packed)."""
+    shared = blocks.sparkSession.sparkContext.broadcast(head)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (at := batch.column("first")[i].as_py()) in shared.value:
+                    parts[at] = _unpacked(batch, i)[shared.value[at]]
+        order = sorted(parts)
+        m = np.concatenate([parts[at] for at in order])
+        at, place = np.concatenate([np.full(len(parts[x]), x) for x in order]), np.concatenate([shared.value[x] for x in order])
+        parts = None
+        f = m.astype(np.float32)
         stays = np.zeros(len(m), dtype=bool)
         for start in range(0, len(m), 512):
-            own = m[start : start + 512]
-            open_ = ~(np.round(own @ m[:start][stays[:start]].T, DIGITS) >= threshold).any(axis=1)
-            inside = np.round(own @ own.T, DIGITS) >= threshold
-            for i in np.flatnonzero(open_).tolist():
+            own, part = m[start : start + 512], f[start : start + 512]
+            free = np.ones(len(own), dtype=bool)
+            for low in range(0, start, 2048):
+                some = low + np.flatnonzero(stays[low : min(start, low + 2048)])
+                look = np.flatnonzero(free)
+                free[look] = ~_hits(own[look], m[some], threshold, (part[look], f[some])).any(axis=1)
+            inside = _hits(own, own, threshold, (part, part))
+            for i in np.flatnonzero(free).tolist():
                 if not (inside[i, :i] & stays[start : start + i]).any():
                     stays[start + i] = True
-        yield pdf[stays]
+        packed = pa.compress(np.ascontiguousarray(m[stays]), codec="zstd", asbytes=True)
+        columns = [pa.array([at[stays].tolist()], pa.list_(pa.int64())), pa.array([place[stays].tolist()], pa.list_(pa.int64())),
+                   pa.array([m.shape[1]], pa.int32()), pa.array([packed], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "place", "width", "vectors"])
+
+    out = blocks.repartition(1).mapInArrow(walk, "at array<long>, place array<long>, width int, vectors binary").first().asDict()
+    shared.unpersist()
+    return out
+
+
+def _near(blocks: DataFrame, open_: dict, leaders: dict, threshold: float) -> list[tuple[int, bytes]]:
+    """(first, gone): by block the bits of the open rows that are within the threshold of a leader, all of which come before them."""
+    shared = blocks.sparkSession.sparkContext.broadcast((open_, len(leaders["at"]), leaders["width"], bytes(leaders["vectors"])))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, n, width, packed = shared.value
+        b = f = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, rows = batch.column("first")[i].as_py(), len(batch.column("ids")[i])
+                if at not in flags:
+                    continue
+                if b is None:
+                    b = np.frombuffer(pa.decompress(packed, n * width * 8, codec="zstd")).reshape(n, width)
+                    f = b.astype(np.float32)
+                todo = np.flatnonzero(np.unpackbits(flags[at], count=rows))
+                m = _unpacked(batch, i)
+                gone = np.zeros(rows, dtype=np.uint8)
+                for low in range(0, len(todo), si.STRIPE):
+                    mine = todo[low : low + si.STRIPE]
+                    for c in range(0, n, 2048):
+                        a = m[mine]
+                        hit = _hits(a, b[c : c + 2048], threshold, (a.astype(np.float32), f[c : c + 2048])).any(axis=1)
+                        gone[mine[hit]], mine = 1, mine[~hit]
+                        if not len(mine):
+                            break
+                if gone.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(gone).tobytes()], pa.binary())], names=["first", "gone"])
 
-    return head.repartition(1).mapInPandas(walk, head.schema)
+    out = [(x["first"], bytes(x["gone"])) for x in blocks.mapInArrow(look, "first long, gone binary").collect()]
+    shared.unpersist()
+    return out

@@ -55,8 +55,10 @@ FIRST_COME = """
     {FIRST_COME}
     SELECT id FROM ordered WHERE list_contains((SELECT arg_max(kept, rn) FROM walk), rn)""")
 def near_duplicates(t: Tables) -> DataFrame:
-    m = t.with_embedding(fl.active(t.memories_base()))
-    return cl.dedupe_vectors(co.in_creation_order(m.select("id", "created_at", "embedding")))
+    m = fl.active(t.memories_base())
+    # Numbered before there are vectors, which would be dealt out and written with the rows.
+    order = co.in_creation_order(m.select("id", "created_at")).select("id", "ord")
+    return cl.dedupe_vectors(t.with_embedding(m.join(order, "id").select("id", "ord", "content", "summary")))
 
 
 @query("v03_near_duplicates_given_vectors", f"""WITH RECURSIVE ordered AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),

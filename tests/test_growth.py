@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from memspark.llm.components import components
+from memspark.operators import cluster as cl
 from memspark.operators import graph as gr
 from memspark.operators import search as se
 from memspark.operators import similarity as si
@@ -111,3 +112,22 @@ def test_recall_does_not_deal_texts_out_by_query(spark):
     assert [x[1:] for x in got if x[0] == 1] == [(1, "preconscious", "b", "blue"), (2, "conscious", None, "a RED sun"), (3, "conscious", None, "red sky")]
     plan = out.select("query_id", "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(" in plan and all("tags" not in x.split(")")[0] for x in plan.split("collect_list(struct(")[1:])
+
+
+def test_rounds_of_near_duplicates_write_no_vectors(spark, monkeypatch):
+    # 400 rows, most of them kept, in rounds of 20: vectors are coded once and packed once, however many rounds there are.
+    r = np.random.default_rng(11)
+    v = r.normal(size=(400, 16))
+    v[200:300] = v[r.integers(0, 200, 100)] + 0.01 * r.normal(size=(100, 16))
+    v[300:320] = v[:20]
+    monkeypatch.setattr(si, "BLOCK_ROWS", 32)
+    written = []
+    monkeypatch.setattr(cl, "materialize", lambda d, f=cl.materialize: written.append(d.columns) or f(d))
+    df = spark.createDataFrame([(f"v{i}", 3 * i, x.tolist()) for i, x in enumerate(v)], "id string, ord long, embedding array<double>")
+    got = {x["id"] for x in cl.dedupe_vectors(df.repartition(3), threshold=0.95, sweep=20).collect()}
+    u, want = v / np.linalg.norm(v, axis=1, keepdims=True), []
+    for i in range(400):
+        if not want or (np.round(u[want] @ u[i], 9) < 0.95).all():
+            want.append(i)
+    assert got == {f"v{i}" for i in want} and 150 < len(want) < 300
+    assert len(written) == 2 and "embedding" not in written[0] + written[1]
